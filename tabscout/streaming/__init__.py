@@ -1,0 +1 @@
+"""Intentionally empty: no check in scope reads a stream or keeps stream state."""
