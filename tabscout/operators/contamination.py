@@ -283,6 +283,11 @@ def measure_near_duplicates_head(
     )
 
 
+def _shifted(place: Column) -> Column:
+    """A coarse coordinate and its two neighbours."""
+    return F.array(place - 1, place, place + 1)
+
+
 def _cells(vector: Column, side: float) -> Column:
     return F.transform(vector, lambda x: F.floor(x / side))
 
@@ -333,16 +338,13 @@ def measure_near_duplicates(
     def coarse(u: Column) -> list[Column]:
         return [F.floor(F.element_at(u, i + 1) / wide).cast("int") for i in probe]
 
-    steps = F.array(*[F.lit(d) for d in (-1, 0, 1)])
     places = [f"p{j}" for j in range(len(probe))]
     keyed = left_over.select("u", "n", *[c.alias(p) for c, p in zip(coarse(F.col("u")), places)])
     around = keyed.groupBy(*places).agg(F.lit(1).alias("one")).select(*places)
     around = around.select(*[F.col(p).alias(f"home_{p}") for p in places], *places)
     for p in places:
         others = [c for c in around.columns if c != p]
-        around = around.select(
-            *others, F.explode(F.transform(steps, lambda d, p=p: F.col(f"home_{p}") + d)).alias(p)
-        )
+        around = around.select(*others, F.explode(_shifted(F.col(f"home_{p}"))).alias(p))
     train_units = (
         a.distinct()
         .select("u", *[c.alias(p) for c, p in zip(coarse(F.col("u")), places)])

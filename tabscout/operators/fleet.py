@@ -8,7 +8,8 @@ Tables used here, one row per line of the list:
 * performance: what ``performance`` makes of the two, one row per audit.
 
 ``by`` names the columns that own a history (a team, a user); an empty ``by``
-is one global history. ``audit`` orders an owner's audits. Per-owner sequences
+is one global history. ``audit`` orders an owner's audits and is unique within an
+owner. Per-owner sequences
 are cut to a bounded number of audits before they are put together, except in
 ``tune_threshold``, whose input is one row per audit of one owner.
 """
@@ -509,7 +510,7 @@ def learned_boosts(profiles: DataFrame, patterns: DataFrame, by: Sequence[str] =
 def tool_ranking(effectiveness: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``by..., dataset_type, tool, place``: tools by learned effectiveness."""
     rank = F.row_number().over(
-        W.partitionBy(*by, "dataset_type").orderBy(F.desc("effectiveness"), "tool")
+        W.partitionBy(*by, "dataset_type").orderBy(F.desc(F.round("effectiveness", 9)), "tool")
     )
     return effectiveness.withColumn("place", rank)
 

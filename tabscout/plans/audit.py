@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabscout.functions.lineage import settle
 from tabscout.operators import report as roll
 from tabscout.operators.bias import check_bias
 from tabscout.operators.contamination import check_contamination
@@ -23,7 +24,7 @@ from tabscout.table import LabelledTable
 
 @dataclass
 class AuditResult:
-    """Findings of one audit and the tables derived from them, all lazy."""
+    """Findings of one audit and the tables derived from them."""
 
     table: LabelledTable
     findings: DataFrame
@@ -72,13 +73,15 @@ def audit(
     mi_units: str = "consistent",
     sample: int | None = None,
     max_columns: int | None = None,
+    materialize: bool = True,
 ) -> AuditResult:
     """Audits a labelled table, or a train/test pair.
 
     Checks read the whole table. ``sample`` and ``max_columns`` opt in to the
     row and column samplers for the bias and shortcut checks; the forest checks
     always train on at most 10 000 sampled rows. Rules that need exact row order
-    use ``key``.
+    use ``key``. The findings, a few rows per column, are written out once unless
+    ``materialize`` is False, as every roll-up reads them several times.
     """
     unknown = set(tools) - set(TOOLS)
     if unknown:
@@ -115,6 +118,8 @@ def audit(
     if "feature_utility" in run:
         parts.append(check_utility(t))
     findings = union_all(parts) if parts else empty(df.sparkSession, FINDINGS)
+    if materialize:
+        findings = settle(findings)
     return AuditResult(t, findings, roll.executed_tools(df.sparkSession, name, tuple(run)))
 
 
@@ -122,7 +127,3 @@ def _kept(t: LabelledTable, max_columns: int) -> tuple[str, ...]:
     columns = sample_columns(t, max_columns).columns
     return t.key if all(k in columns for k in t.key) else ()
 
-
-def severity_totals(findings: DataFrame) -> DataFrame:
-    """Counts by severity of one audit, for a quick look."""
-    return findings.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
