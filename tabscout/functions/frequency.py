@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -39,43 +40,34 @@ def rank_sums(
     fields: Sequence[T.StructField],
     label: Column,
     rows: int,
-    buckets: int = 64,
-    direct_rows: int = 1_000_000,
+    direct_rows: int = 100_000,
+    bucket_rows: int = 1_000_000,
 ) -> DataFrame:
     """``feature, class, n, rank_sum, tie_sum``: mid-rank sums of each class.
 
     Ranks are needed within a whole feature, but no task sees a whole feature:
-    values are cut into quantile buckets, ranked inside their bucket, and the
+    values are cut into ordered buckets, ranked inside their bucket, and the
     ranks are shifted by the size of all lower buckets. The shift is applied to
     the per-bucket sums, so no row is joined back. ``tie_sum`` is the class's
     share of the sum of ``t**3 - t`` over groups of equal values.
     """
     numbers = {f.name: as_number(f) for f in fields}
+    named = blocks(list(numbers), _COLUMNS_PER_PASS)
     counted = (
-        union_all([melt(df, {n: numbers[n] for n in b}, {"class": label}) for b in blocks(list(numbers), _COLUMNS_PER_PASS)])
+        union_all([melt(df, {n: numbers[n] for n in b}, {"class": label}) for b in named])
         .where("value IS NOT NULL AND class IS NOT NULL")
         .groupBy("feature", "value", "class")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     if rows > direct_rows:
-        steps = [i / buckets for i in range(1, buckets)]
-        sketches = union_all(
-            [
-                df.agg(*[F.percentile_approx(numbers[n], steps).alias(f"q{i}") for i, n in enumerate(b)]).select(
-                    F.inline(
-                        F.array(
-                            *[
-                                F.struct(F.lit(n).alias("feature"), F.array_distinct(F.col(f"q{i}")).alias("edges"))
-                                for i, n in enumerate(b)
-                            ]
-                        )
-                    )
-                )
-                for b in blocks(list(numbers), 20)
-            ]
+        coarse = 16
+        steps = [i / coarse for i in range(coarse + 1)]
+        sketches = union_all([melt(df, {n: numbers[n] for n in b}) for b in named]).groupBy("feature").agg(
+            F.percentile_approx("value", steps, 1000).alias("edges")
         )
+        fine = max(1, rows // (coarse * bucket_rows))
         counted = counted.join(F.broadcast(sketches), "feature").withColumn(
-            "bucket", F.size(F.filter("edges", lambda e: e < F.col("value")))
+            "bucket", _ordered_bucket(F.col("value"), F.col("edges"), coarse, fine)
         )
     else:
         counted = counted.withColumn("bucket", F.lit(0))
@@ -103,3 +95,19 @@ def rank_sums(
             F.sum("tie_sum").alias("tie_sum"),
         )
     )
+
+
+def _ordered_bucket(value: Column, edges: Column, coarse: int, fine: int) -> Column:
+    """A bucket number that never falls as the value rises.
+
+    Quantile edges choose the coarse bucket, the position between two edges the
+    fine one. Sketched edges may be inexact: any edges keep the order.
+    """
+    place = reduce(
+        lambda a, b: a + b, [(F.get(edges, F.lit(i)) < value).cast("int") for i in range(1, coarse)]
+    )
+    if fine == 1:
+        return place
+    low, high = F.element_at(edges, place + 1), F.element_at(edges, place + 2)
+    part = F.floor(F.coalesce(F.try_divide(value - low, high - low), F.lit(0.0)) * fine)
+    return place * fine + F.greatest(F.lit(0), F.least(F.lit(fine - 1), part)).cast("int")

@@ -15,14 +15,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabscout.schema import blocks, empty, union_all
+from tabscout.schema import blocks, empty, melt, union_all
 
 SCHEMA = "feature string, prob double, value double"
 
-_ACCURACY = 10_000
+_ACCURACY = 1_000
 # A column with at most this many rows is counted value by value directly.
-_DIRECT_ROWS = 1_000_000
-_COLUMNS_PER_PASS = 20
+_DIRECT_ROWS = 100_000
+# A bracket with more rows than this is narrowed further.
+_BRACKET_ROWS = 1_000_000
+_COLUMNS_PER_PASS = 40
 
 
 def _merge(brackets: list[tuple[float, float]]) -> list[tuple[float, float]]:
@@ -41,66 +43,96 @@ def _brackets(
     sizes: dict[str, int],
     probs: Sequence[float],
     direct_rows: int,
+    bracket_rows: int,
 ) -> dict[str, list[tuple[float, float]]]:
     """Intervals that hold every wanted order statistic of the large columns."""
-    open_: dict[tuple[str, float], tuple[float, float, int, int]] = {
-        (name, p): (-math.inf, math.inf, 0, sizes[name])
-        for name in cells
-        if sizes[name] > direct_rows
-        for p in probs
+    large = [n for n in cells if sizes[n] > direct_rows]
+    if not large:
+        return {}
+    # Twice the sketch's rank error, and the neighbour rank interpolation needs.
+    pad = 2 / _ACCURACY + 3 / direct_rows
+    ends = [e for p in probs for e in (max(0.0, p - pad), min(1.0, p + pad))]
+    found = union_all(
+        [melt(df, {n: cells[n] for n in b}) for b in blocks(large, _COLUMNS_PER_PASS)]
+    ).groupBy("feature").agg(F.percentile_approx("value", ends, _ACCURACY).alias("ends"))
+    first = {
+        (r["feature"], p): (r["ends"][2 * i], r["ends"][2 * i + 1])
+        for r in found.collect()
+        for i, p in enumerate(probs)
     }
+    wide = 2 * (pad + 1 / _ACCURACY)
+    crowded = {k: b for k, b in first.items() if sizes[k[0]] * wide > bracket_rows and b[0] < b[1]}
+    narrowed = {**first, **_narrow(df, cells, sizes, crowded, bracket_rows)}
+    merged: dict[str, list[tuple[float, float]]] = {}
+    for (name, _), bracket in narrowed.items():
+        merged.setdefault(name, []).append(bracket)
+    return {name: _merge(b) for name, b in merged.items()}
+
+
+def _narrow(
+    df: DataFrame,
+    cells: dict[str, Column],
+    sizes: dict[str, int],
+    open_: dict[tuple[str, float], tuple[float, float]],
+    bracket_rows: int,
+) -> dict[tuple[str, float], tuple[float, float]]:
+    """Sketches inside brackets that still hold too many rows, until they do not."""
     done: dict[tuple[str, float], tuple[float, float]] = {}
+    held: dict[tuple[str, float], int] = {}
     while open_:
-        aggs = []
-        for i, ((name, p), (low, high, below, inside)) in enumerate(open_.items()):
-            # The wanted ranks, as fractions of the rows inside the bracket,
-            # padded by twice the sketch's rank error.
-            first = max(0.0, (p * (sizes[name] - 1) - below) / inside - 2 / _ACCURACY)
-            last = min(1.0, (p * (sizes[name] - 1) + 2 - below) / inside + 2 / _ACCURACY)
-            cell = cells[name]
-            held = cell if math.isinf(low) else F.when(cell.between(low, high), cell)
-            aggs.append(
-                F.percentile_approx(held, [first, last], _ACCURACY).alias(f"b{i}")
-            )
-        found = [row for part in blocks(aggs, 60) for row in df.agg(*part).first()]
-        keys = list(open_)
         counts = []
-        for i, (name, _) in enumerate(keys):
-            low, high = found[i]
+        for i, ((name, _), (low, high)) in enumerate(open_.items()):
             counts.append(F.count_if(cells[name] < low).alias(f"u{i}"))
             counts.append(F.count_if(cells[name].between(low, high)).alias(f"v{i}"))
-        counted = [row for part in blocks(counts, 120) for row in df.agg(*part).first()]
-        narrower = {}
-        for i, key in enumerate(keys):
-            low, high = found[i]
+        counted = [v for part in blocks(counts, 20) for v in df.agg(*part).first()]
+        sketches, keys = [], []
+        for i, (key, (low, high)) in enumerate(list(open_.items())):
+            name, p = key
             below, inside = counted[2 * i], counted[2 * i + 1]
-            shrunk = inside * 2 < open_[key][3]
-            if inside > direct_rows and low < high and shrunk:
-                narrower[key] = (low, high, below, inside)
-            else:
+            stuck = key in held and inside * 2 > held[key]
+            held[key] = inside
+            if inside <= bracket_rows or low == high or stuck:
                 done[key] = (low, high)
-        open_ = narrower
-    merged: dict[str, list[tuple[float, float]]] = {}
-    for (name, _), bracket in done.items():
-        merged.setdefault(name, []).append(bracket)
-    return {name: _merge(b) for name, b in merged.items()}
-
-
-def _bracketed(cell: Column, brackets: list[tuple[float, float]]) -> Column:
-    """``(position, exact)``: the value inside a bracket, else one shared mark."""
-
-    def mark(position: Column, exact: bool) -> Column:
-        return F.struct(position.alias("position"), F.lit(exact).alias("exact"))
-
-    if not brackets:
-        return mark(cell, True)
-    picked = F.when(cell < brackets[0][0], mark(F.lit(brackets[0][0]), False))
-    for i, (_, high) in enumerate(brackets):
-        picked = picked.when(cell <= high, mark(cell, True))
-        if i + 1 < len(brackets):
-            following = brackets[i + 1][0]
-            picked = picked.when(cell < following, mark(F.lit(following), False))
-    return picked.otherwise(mark(F.lit(math.inf), False))
+                continue
+            rank = p * (sizes[name] - 1) - below
+            ends = [
+                max(0.0, rank / inside - 2 / _ACCURACY),
+                min(1.0, (rank + 2) / inside + 2 / _ACCURACY),
+            ]
+            within = F.when(cells[name].between(low, high), cells[name])
+            sketches.append(F.percentile_approx(within, ends, _ACCURACY).alias(f"b{i}"))
+            keys.append(key)
+        found = [v for part in blocks(sketches, 20) for v in df.agg(*part).first()]
+        open_ = {key: (ends[0], ends[1]) for key, ends in zip(keys, found)}
+    return done
+
+
+def _compressed(long: DataFrame, brackets: dict[str, list[tuple[float, float]]]) -> DataFrame:
+    """``feature, position``: values inside brackets, one shared mark per gap.
+
+    A gap's mark lies between its two brackets, so the order of positions is the
+    order of values. The brackets come in as one small row per feature.
+    """
+    width = max(len(b) for b in brackets.values())
+    rows = []
+    for name, found in brackets.items():
+        lows = [low for low, _ in found]
+        highs = [high for _, high in found]
+        marks = [-math.inf] + [(h + l) / 2 for h, l in zip(highs, lows[1:])]
+        pad = [math.inf] * (width - len(found))
+        rows.append((name, lows + pad, highs + pad, marks + pad))
+    edges = long.sparkSession.createDataFrame(
+        rows, "feature string, lows array<double>, highs array<double>, marks array<double>"
+    )
+    x = F.col("value")
+    position = F.when(x < F.get("lows", F.lit(0)), F.get("marks", F.lit(0)))
+    for k in range(width):
+        position = position.when(x <= F.get("highs", F.lit(k)), x)
+        if k + 1 < width:
+            position = position.when(x < F.get("lows", F.lit(k + 1)), F.get("marks", F.lit(k + 1)))
+    return long.join(F.broadcast(edges), "feature").select(
+        "feature", position.otherwise(math.inf).alias("position")
+    )
 
 
 def quantiles(
@@ -109,6 +141,7 @@ def quantiles(
     sizes: dict[str, int],
     probs: Sequence[float],
     direct_rows: int = _DIRECT_ROWS,
+    bracket_rows: int = _BRACKET_ROWS,
 ) -> DataFrame:
     """``feature, prob, value`` with linear interpolation between neighbours.
 
@@ -118,28 +151,21 @@ def quantiles(
     cells = {n: c for n, c in cells.items() if sizes[n] > 0}
     if not cells:
         return empty(df.sparkSession, SCHEMA)
-    brackets = _brackets(df, cells, sizes, probs, direct_rows)
+    brackets = _brackets(df, cells, sizes, probs, direct_rows, bracket_rows)
+    small = [n for n in cells if n not in brackets]
     parts = []
-    for names in blocks(list(cells), _COLUMNS_PER_PASS):
-        structs = [
-            F.struct(
-                F.lit(n).alias("feature"),
-                F.when(cells[n].isNotNull(), _bracketed(cells[n], brackets.get(n, []))).alias("at"),
-            )
-            for n in names
-        ]
-        parts.append(df.select(F.inline(F.array(*structs))))
-    counted = (
-        union_all(parts)
-        .where("at IS NOT NULL")
-        .groupBy("feature", "at.position", "at.exact")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    for names in blocks(small, _COLUMNS_PER_PASS):
+        long = melt(df, {n: cells[n] for n in names}).where("value IS NOT NULL")
+        parts.append(long.select("feature", F.col("value").alias("position")))
+    for names in blocks(list(brackets), _COLUMNS_PER_PASS):
+        long = melt(df, {n: cells[n] for n in names}).where("value IS NOT NULL")
+        parts.append(_compressed(long, {n: brackets[n] for n in names}))
+    counted = union_all(parts).groupBy("feature", "position").agg(F.count(F.lit(1)).alias("n"))
     by_feature = W.partitionBy("feature")
     running = counted.select(
         "feature",
         "position",
-        F.sum("n").over(by_feature.orderBy("position", "exact")).alias("upto"),
+        F.sum("n").over(by_feature.orderBy("position")).alias("upto"),
         F.sum("n").over(by_feature).alias("total"),
     )
     picks = []

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabscout.functions.frequency import rank_sums
 from tabscout.functions.quantiles import quantiles
@@ -16,7 +17,7 @@ from tabscout.schema import (
     blocks,
     empty,
     finding,
-    measure_columns,
+    measure_cells,
     missing,
     union_all,
 )
@@ -314,19 +315,19 @@ def flag_missing_pattern(
     )
 
 
-def measure_skewness(t: LabelledTable, features: Sequence[str] | None = None) -> DataFrame:
-    """``feature, n, skewness, mean, median``: bias-corrected skew, exact median."""
-    fields = [f for f in t.numeric if features is None or f.name in features]
-    shape = measure_columns(
+def _shape(t: LabelledTable, fields: Sequence[T.StructField]) -> DataFrame:
+    return measure_cells(
         t.df,
-        fields,
-        lambda f: {
-            "n": F.count(as_number(f)),
-            "g1": F.skewness(as_number(f)),
-            "mean": F.avg(as_number(f)),
-        },
+        {f.name: as_number(f) for f in fields},
+        {"n": F.count("value"), "g1": F.skewness("value"), "mean": F.avg("value")},
         "n bigint, g1 double, mean double",
     )
+
+
+def measure_skewness(t: LabelledTable, features: Sequence[str] | None = None) -> DataFrame:
+    """``feature, n, skewness, mean, median``: bias-corrected skew, exact median."""
+    fields = [f for f in t.numeric if features is None or f.name in features]
+    shape = _shape(t, fields)
     cells = {f.name: as_number(f) for f in fields}
     sizes = {f.name: t.numeric_facts[f.name].filled for f in fields}
     medians = quantiles(t.df, cells, sizes, [0.5]).select("feature", F.col("value").alias("median"))
@@ -352,12 +353,7 @@ def flag_skewness(measure: DataFrame, threshold: float = 5, dataset: str = "tabl
 
 def _skewed_names(t: LabelledTable, threshold: float = 5) -> list[str]:
     """Names of skewed features, so that medians are computed for those only."""
-    shape = measure_columns(
-        t.df,
-        t.numeric,
-        lambda f: {"n": F.count(as_number(f)), "g1": F.skewness(as_number(f))},
-        "n bigint, g1 double",
-    )
+    shape = _shape(t, t.numeric)
     skewed = shape.where(F.abs(unbiased_skewness(F.col("g1"), F.col("n"))) > threshold)
     return [r["feature"] for r in skewed.select("feature").collect()]
 

@@ -16,7 +16,7 @@ from tabscout.schema import (
     column,
     empty,
     finding,
-    measure_columns,
+    measure_cells,
     union_all,
 )
 from tabscout.table import LabelledTable
@@ -38,24 +38,23 @@ def measure_target_fit(t: LabelledTable) -> DataFrame:
     empty for a text target. One pass, no shuffle of rows.
     """
     schema = "n bigint, cov double, vx double, vy double, mx double, my double"
-    if not t.target_is_numeric:
-        raw = empty(t.spark, f"feature string, {schema}")
-    else:
-        y = t.target_number
-
-        def build(f) -> dict[str, Column]:
-            x = as_number(f)
-            xs, ys = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-            return {
-                "n": F.count(xs),
-                "cov": F.covar_pop(x, y),
-                "vx": F.var_pop(xs),
-                "vy": F.var_pop(ys),
-                "mx": F.avg(xs),
-                "my": F.avg(ys),
-            }
-
-        raw = measure_columns(t.df, t.numeric_or_bool, build, schema)
+    cells = {f.name: as_number(f) for f in t.numeric_or_bool} if t.target_is_numeric else {}
+    x, y = F.col("value"), F.col("y")
+    xs, ys = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    raw = measure_cells(
+        t.df,
+        cells,
+        {
+            "n": F.count(xs),
+            "cov": F.covar_pop(x, y),
+            "vx": F.var_pop(xs),
+            "vy": F.var_pop(ys),
+            "mx": F.avg(xs),
+            "my": F.avg(ys),
+        },
+        schema,
+        {"y": t.target_number} if cells else None,
+    )
     slope = F.try_divide(F.col("cov"), F.col("vx"))
     r = guarded_corr(F.col("cov"), F.sqrt("vx"), F.sqrt("vy"))
     return raw.where("n >= 2").select(
@@ -209,8 +208,11 @@ def flag_perfect_predictor(association: DataFrame, min_rows: int = 10, dataset:
 def measure_names(t: LabelledTable) -> DataFrame:
     """``feature, keyword, filled``: first suspicious fragment of each name."""
     words = F.array(*[F.lit(w) for w in SUSPICIOUS_NAMES])
-    counts = measure_columns(
-        t.df, t.features, lambda f: {"filled": F.count(column(f.name))}, "filled bigint"
+    counts = measure_cells(
+        t.df,
+        {f.name: column(f.name).isNotNull() for f in t.features},
+        {"filled": F.count_if("value")},
+        "filled bigint",
     )
     hit = F.filter(words, lambda w: F.contains(F.lower("feature"), w))
     return counts.select("feature", F.try_element_at(hit, F.lit(1)).alias("keyword"), "filled")
@@ -241,10 +243,10 @@ def flag_names(t: LabelledTable) -> DataFrame:
 def measure_identical(t: LabelledTable) -> DataFrame:
     """``feature, identical``: same type as the target and equal in every row."""
     same_type = [f for f in t.features if f.dataType == t.target_field.dataType]
-    return measure_columns(
+    return measure_cells(
         t.df,
-        same_type,
-        lambda f: {"identical": F.bool_and(column(f.name).eqNullSafe(column(t.target)))},
+        {f.name: column(f.name).eqNullSafe(column(t.target)) for f in same_type},
+        {"identical": F.bool_and("value")},
         "identical boolean",
     )
 

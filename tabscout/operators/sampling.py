@@ -14,7 +14,7 @@ from tabscout.functions.frequency import value_counts
 from tabscout.functions.hashing import first_by_hash
 from tabscout.functions.quantiles import quantile_values
 from tabscout.operators.binning import bin_number
-from tabscout.schema import as_number, column, empty, measure_columns, union_all
+from tabscout.schema import as_number, column, empty, measure_cells, union_all
 from tabscout.table import LabelledTable
 
 DEFAULT_ROWS = 10_000
@@ -33,8 +33,8 @@ def score_columns(t: LabelledTable, budget: int = DEFAULT_COLUMNS) -> DataFrame:
     places = F.create_map(*[x for n, i in place.items() for x in (F.lit(n), F.lit(i))])
     parts = [empty(t.spark, schema)]
     if t.numeric:
-        variance = measure_columns(
-            t.df, t.numeric, lambda f: {"score": F.var_samp(as_number(f))}, "score double"
+        variance = measure_cells(
+            t.df, {f.name: as_number(f) for f in t.numeric}, {"score": F.var_samp("value")}, "score double"
         )
         parts.append(
             variance.select("feature", F.lit("numeric").alias("kind"), F.coalesce("score", F.lit(0.0)).alias("score"))
@@ -127,9 +127,7 @@ def quantile_codes(t: LabelledTable, size: int = DEFAULT_ROWS, with_target: bool
     bins = min(10, max(5, size // 1000))
     fields = _numeric_fields(t, with_target)
     cells = {f.name: as_number(f) for f in fields}
-    facts = measure_columns(
-        t.df, fields, lambda f: {"filled": F.count(as_number(f))}, "filled bigint"
-    ).collect()
+    facts = measure_cells(t.df, cells, {"filled": F.count("value")}, "filled bigint").collect()
     sizes = {r["feature"]: r["filled"] for r in facts}
     edges = quantile_values(t.df, cells, sizes, [i / bins for i in range(bins + 1)])
     code = F.lit(0)

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from tabscout.functions.hashing import hash_fold
-from tabscout.operators.binning import QUARTILES, bin_counts, feature_quantiles, usable_features
+from tabscout.operators.binning import QUARTILES, bin_counts, bin_number, feature_quantiles, usable_features
 from tabscout.operators.sampling import DEFAULT_ROWS, adaptive_sample
-from tabscout.schema import FINDINGS, as_number, empty, finding, measure_columns, union_all
+from tabscout.schema import FINDINGS, as_number, empty, finding, measure_cells, union_all
 from tabscout.table import LabelledTable
 
 TOOL = "spurious_detector"
@@ -30,67 +30,55 @@ def measure_single_feature(t: LabelledTable, bins: int = 10, folds: int = 3) ->
     """Cross-validated accuracy of predicting the class from one binned feature.
 
     ``feature, n, accuracy, cv_scores, majority_share, lift_over_majority``.
-    Each bin predicts the most frequent class of the other folds. All features
-    and folds come out of one table of counters; no model is trained.
+    Each bin predicts the most frequent class of the other folds; a bin no other
+    fold has seen predicts nothing. All features and folds come out of one table
+    of counters; no model is trained.
     """
     if not t.numeric or not t.target_is_class:
         return empty(t.spark, SINGLE_SCHEMA)
-    counts = bin_counts(t, bins, folds)
-    by_fold = [F.sum(F.when(F.col("fold") == k, F.col("n")).otherwise(0)) for k in range(folds)]
-    wide = counts.groupBy("feature", "bin", "class").agg(
-        F.sum("n").alias("total"), *[c.alias(f"n{k}") for k, c in enumerate(by_fold)]
-    )
+    summary = t.class_summary
+    labelled = summary["rows"] - summary["unlabelled"]
     splits = F.array(
         *[
             F.struct(
                 F.lit(k).alias("fold"),
                 F.col(f"n{k}").alias("held"),
-                (F.col("total") - F.col(f"n{k}")).alias("seen"),
+                (F.col("n") - F.col(f"n{k}")).alias("seen"),
             )
             for k in range(folds)
         ]
     )
-    split = wide.select("feature", "bin", "class", F.inline(splits))
-    best = F.struct(-F.col("seen"), F.col("class"))
-    fallback = (
-        split.groupBy("feature", "fold", "class")
-        .agg(F.sum("seen").alias("seen"))
-        .groupBy("feature", "fold")
-        .agg(F.min_by("class", best).alias("usual"))
-    )
-    hits = (
-        split.join(fallback, ["feature", "fold"])
+    scores = (
+        bin_counts(t, bins, folds)
+        .select("feature", "bin", "class", F.inline(splits))
         .groupBy("feature", "fold", "bin")
         .agg(
-            F.min_by("held", best).alias("by_bin"),
+            F.min_by("held", F.struct(-F.col("seen"), F.col("class"))).alias("right"),
             F.max("seen").alias("seen"),
-            F.sum(F.when(F.col("class") == F.col("usual"), F.col("held")).otherwise(0)).alias("by_usual"),
             F.sum("held").alias("held"),
         )
         .groupBy("feature", "fold")
         .agg(
-            F.sum(F.when(F.col("seen") > 0, F.col("by_bin")).otherwise(F.col("by_usual"))).alias("right"),
+            F.sum(F.when(F.col("seen") > 0, F.col("right")).otherwise(0)).alias("right"),
             F.sum("held").alias("held"),
         )
         .withColumn("score", F.try_divide(F.col("right").cast("double"), F.col("held")))
-    )
-    scores = hits.groupBy("feature").agg(
-        F.avg("score").alias("accuracy"),
-        F.transform(F.sort_array(F.collect_list(F.struct("fold", "score"))), lambda s: s["score"]).alias("cv_scores"),
-    )
-    majority = (
-        wide.groupBy("feature", "class")
-        .agg(F.sum("total").alias("n"))
         .groupBy("feature")
-        .agg(F.sum("n").alias("n"), (F.max("n") / F.sum("n")).alias("majority_share"))
+        .agg(
+            F.avg("score").alias("accuracy"),
+            F.transform(F.sort_array(F.collect_list(F.struct("fold", "score"))), lambda s: s["score"]).alias(
+                "cv_scores"
+            ),
+        )
     )
-    return scores.join(majority, "feature").select(
+    majority = F.lit(summary["high"] / labelled if labelled else None).cast("double")
+    return scores.select(
         "feature",
-        "n",
+        F.lit(labelled).cast("bigint").alias("n"),
         "accuracy",
         "cv_scores",
-        "majority_share",
-        (F.col("accuracy") - F.col("majority_share")).alias("lift_over_majority"),
+        majority.alias("majority_share"),
+        (F.col("accuracy") - majority).alias("lift_over_majority"),
     )
 
 
@@ -131,33 +119,34 @@ def measure_threshold_rules(t: LabelledTable) -> DataFrame:
     fields = [f for f in fields if f.name in found]
     if not fields:
         return empty(t.spark, schema)
-    y = t.target_number
-
-    def build(f) -> dict[str, Column]:
-        x = t.imputed(f)
-        out = {"n": F.count(F.lit(1))}
-        for p in QUARTILES:
-            guess = (x > F.lit(found[f.name][p])).cast("double")
-            out[f"a{int(p * 100)}"] = F.avg((guess == y).cast("double"))
-        return out
-
-    measured = measure_columns(
-        t.labelled_rows(), fields, build, "n bigint, a25 double, a50 double, a75 double", 40
-    )
-    thresholds = F.create_map(
-        *[x for f in fields for x in (F.lit(f.name), F.array(*[F.lit(found[f.name][p]) for p in QUARTILES]))]
+    # The number of quartiles below the value decides all three rules at once.
+    cells = {f.name: bin_number(t.imputed(f), [found[f.name][p] for p in QUARTILES]) for f in fields}
+    above, y = F.col("value"), F.col("y")
+    counted = measure_cells(
+        t.labelled_rows(),
+        cells,
+        {
+            "n": F.count(F.lit(1)),
+            **{
+                f"hits{i}": F.count_if(((above > i) & (y == 1)) | ((above <= i) & (y == 0)))
+                for i in range(len(QUARTILES))
+            },
+        },
+        "n bigint, hits0 bigint, hits1 bigint, hits2 bigint",
+        {"y": t.target_number},
     )
-    rules = F.array(
-        *[
-            F.struct(
-                F.lit(int(p * 100)).alias("percentile"),
-                F.element_at(F.element_at(thresholds, F.col("feature")), i + 1).alias("threshold"),
-                F.col(f"a{int(p * 100)}").alias("accuracy"),
-            )
-            for i, p in enumerate(QUARTILES)
-        ]
+    rows = [
+        (f.name, i, int(p * 100), found[f.name][p]) for f in fields for i, p in enumerate(QUARTILES)
+    ]
+    rules = t.spark.createDataFrame(rows, "feature string, rule int, percentile int, threshold double")
+    hits = F.element_at(F.array(*[F.col(f"hits{i}") for i in range(len(QUARTILES))]), F.col("rule") + 1)
+    return counted.join(F.broadcast(rules), "feature").select(
+        "feature",
+        "n",
+        "percentile",
+        "threshold",
+        F.try_divide(hits.cast("double"), F.col("n")).alias("accuracy"),
     )
-    return measured.select("feature", "n", F.inline(rules))
 
 
 def flag_threshold_rules(
@@ -345,14 +334,10 @@ def flag_importance(
 
 def measure_relative_spread(t: LabelledTable) -> DataFrame:
     """``feature, n, coefficient_variation``: signed std / mean, 0 for mean 0."""
-    spread = measure_columns(
+    spread = measure_cells(
         t.df,
-        t.numeric,
-        lambda f: {
-            "n": F.count(as_number(f)),
-            "mean": F.avg(as_number(f)),
-            "std": F.stddev_samp(as_number(f)),
-        },
+        {f.name: as_number(f) for f in t.numeric},
+        {"n": F.count("value"), "mean": F.avg("value"), "std": F.stddev_samp("value")},
         "n bigint, mean double, std double",
     )
     ratio = F.when(F.col("mean") == 0, 0.0).otherwise(F.try_divide(F.col("std"), F.col("mean")))

@@ -7,6 +7,7 @@ from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +21,7 @@ from tabscout.schema import (
     blocks,
     empty,
     finding,
-    measure_columns,
+    measure_cells,
     missing,
     union_all,
 )
@@ -28,8 +29,9 @@ from tabscout.table import LabelledTable
 
 TOOL = "feature_utility"
 
-# Numeric tables up to this width are correlated with native aggregates.
-NATIVE_PAIR_COLUMNS = 40
+# Tables up to this many numeric columns are correlated with native aggregates;
+# beyond it one Gram product per Arrow batch is several times cheaper per row.
+NATIVE_PAIR_COLUMNS = 6
 
 
 def measure_values(t: LabelledTable, features: Sequence[str] | None = None) -> DataFrame:
@@ -58,29 +60,30 @@ def measure_values(t: LabelledTable, features: Sequence[str] | None = None) -> D
 def concentrated_features(t: LabelledTable, share: float = 0.95) -> list[str]:
     """Names of features where one value may hold more than ``share`` of all rows.
 
-    A value held by most rows is the median under any order, so the median of
-    the value's hash names the only candidate. Two narrow passes replace a
-    shuffle of every distinct value; survivors are then counted exactly.
+    A value held by most rows is the median under any order, so a median sketch
+    names the only candidate. Two narrow passes replace a shuffle of every
+    distinct value; survivors are then counted exactly.
     """
     if share < 0.6:
         return [f.name for f in t.features]
-    code = {f.name: F.hash(as_text(f)) for f in t.features}
-    held = {f.name: F.when(as_text(f).isNotNull(), code[f.name]) for f in t.features}
-    middle = measure_columns(
-        t.df,
-        t.features,
-        lambda f: {"code": F.percentile_approx(held[f.name], 0.5, 1000)},
-        "code int",
+    # Numbers are ordered by value, everything else by the hash of its text.
+    order = {
+        f.name: as_number(f)
+        if isinstance(f.dataType, T.NumericType)
+        else F.when(as_text(f).isNotNull(), F.hash(as_text(f)).cast("double"))
+        for f in t.features
+    }
+    value = F.col("value")
+    middle = measure_cells(
+        t.df, order, {"middle": F.percentile_approx(value, 0.5, 100)}, "middle double"
     ).collect()
-    found = {r["feature"]: r["code"] for r in middle if r["code"] is not None}
-    counted = measure_columns(
+    found = {r["feature"]: r["middle"] for r in middle if r["middle"] is not None}
+    # NULL where the cell is missing, else whether it holds the candidate.
+    held = {n: order[n] == F.lit(m) for n, m in found.items()}
+    counted = measure_cells(
         t.df,
-        [f for f in t.features if f.name in found],
-        lambda f: {
-            "top": F.count_if(held[f.name] == F.lit(found[f.name])),
-            "filled": F.count(held[f.name]),
-            "rows": F.count(F.lit(1)),
-        },
+        held,
+        {"top": F.count_if(value), "filled": F.count(value), "rows": F.count(F.lit(1))},
         "top bigint, filled bigint, rows bigint",
     ).where((F.col("top") > share * F.col("rows")) | (F.col("top") == F.col("filled")))
     return [r["feature"] for r in counted.select("feature").collect()]
@@ -181,14 +184,10 @@ def flag_cardinality(
 
 def measure_variation(t: LabelledTable) -> DataFrame:
     """``feature, n, mean, std, coefficient_of_variation`` (absolute)."""
-    return measure_columns(
+    return measure_cells(
         t.df,
-        t.numeric,
-        lambda f: {
-            "n": F.count(as_number(f)),
-            "mean": F.avg(as_number(f)),
-            "std": F.stddev_samp(as_number(f)),
-        },
+        {f.name: as_number(f) for f in t.numeric},
+        {"n": F.count("value"), "mean": F.avg("value"), "std": F.stddev_samp("value")},
         "n bigint, mean double, std double",
     ).withColumn(
         "coefficient_of_variation",
@@ -384,7 +383,8 @@ def information_from_counts(counts: DataFrame) -> DataFrame:
         .join(marginal("class", "sy", "classes"), "feature")
         .select("feature", "n", mi.alias("mutual_information"))
     )
-    best = scored.agg(F.max("mutual_information").alias("best")).scalar()
+    # One row per feature, so a window over all of them is bounded by the schema.
+    best = F.max("mutual_information").over(W.partitionBy(F.lit(1)))
     return scored.withColumn(
         "normalized_mi",
         F.when(best > 0, F.col("mutual_information") / best).otherwise(F.col("mutual_information")),
@@ -437,10 +437,10 @@ def flag_low_information(
 
 def measure_missing(t: LabelledTable) -> DataFrame:
     """``feature, missing_count, total_count, missing_rate`` (share of all rows)."""
-    return measure_columns(
+    return measure_cells(
         t.df,
-        t.features,
-        lambda f: {"missing_count": F.count_if(missing(f)), "total_count": F.count(F.lit(1))},
+        {f.name: missing(f) for f in t.features},
+        {"missing_count": F.count_if("value"), "total_count": F.count(F.lit(1))},
         "missing_count bigint, total_count bigint",
     ).withColumn("missing_rate", F.try_divide(F.col("missing_count").cast("double"), F.col("total_count")))
 

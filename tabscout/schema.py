@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,9 +32,9 @@ TOOLS = (
     "feature_utility",
 )
 
-# One aggregate carries this many columns; a wider table is measured in several
-# aggregates, each of which prunes the scan to its own columns.
-COLUMNS_PER_AGGREGATE = 60
+# This many columns are unpivoted in one pass; a wider table is measured in
+# several, each of which prunes the scan to its own columns.
+COLUMNS_PER_AGGREGATE = 40
 
 
 def column(name: str) -> Column:
@@ -84,35 +84,24 @@ def blocks(items: Sequence, size: int) -> list[Sequence]:
     return [items[i : i + size] for i in range(0, len(items), size)]
 
 
-def measure_columns(
+def measure_cells(
     df: DataFrame,
-    fields: Sequence[T.StructField],
-    build: Callable[[T.StructField], dict[str, Column]],
+    cells: dict[str, Column],
+    aggregates: dict[str, Column],
     schema: str,
-    per_aggregate: int = COLUMNS_PER_AGGREGATE,
+    keep: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """One row per field holding the aggregates that ``build`` asks for.
+    """One row per cell name holding aggregates over ``value`` (and ``keep``).
 
-    Every block of fields is one shuffle-free partial aggregate (a single row
-    per task reaches the exchange) and reads only the columns it needs.
+    The unpivoted rows never leave the task: the partial aggregate turns them
+    into one row per feature before the exchange. One short loop over all columns
+    is also what the JVM compiles well, unlike an aggregate with hundreds of
+    expressions. Every block of columns is a scan of those columns only.
     """
-    if not fields:
+    if not cells:
         return empty(df.sparkSession, f"feature string, {schema}")
-    parts = []
-    for block in blocks(fields, per_aggregate):
-        wanted = [build(field) for field in block]
-        one_row = df.agg(
-            *[e.alias(f"m{i}_{k}") for i, w in enumerate(wanted) for k, e in w.items()]
-        )
-        structs = [
-            F.struct(
-                F.lit(field.name).alias("feature"),
-                *[F.col(f"m{i}_{k}").alias(k) for k in wanted[i]],
-            )
-            for i, field in enumerate(block)
-        ]
-        parts.append(one_row.select(F.inline(F.array(*structs))))
-    return union_all(parts)
+    parts = [melt(df, {n: cells[n] for n in b}, keep) for b in blocks(list(cells), COLUMNS_PER_AGGREGATE)]
+    return union_all(parts).groupBy("feature").agg(*[e.alias(n) for n, e in aggregates.items()])
 
 
 def melt(
@@ -120,12 +109,19 @@ def melt(
     cells: dict[str, Column],
     keep: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Long form ``keep..., feature, value``: one row per named cell."""
+    """Long form ``keep..., feature, value``: one row per named cell.
+
+    Cells and kept columns are computed once per input row, below the unpivot,
+    and not once per output row.
+    """
     keep = keep or {}
-    structs = [
-        F.struct(F.lit(name).alias("feature"), cell.alias("value")) for name, cell in cells.items()
-    ]
-    return df.select(*[c.alias(n) for n, c in keep.items()], F.inline(F.array(*structs)))
+    kept = [f"__kept_{i}" for i in range(len(keep))]
+    wide = df.select(
+        *[c.alias(k) for c, k in zip(keep.values(), kept)],
+        *[cell.alias(name) for name, cell in cells.items()],
+    )
+    long = wide.unpivot(kept, [column(name) for name in cells], "feature", "value")
+    return long.select(*[F.col(k).alias(n) for k, n in zip(kept, keep)], "feature", "value")
 
 
 def finding(

@@ -29,6 +29,16 @@ def read_table(
     raise ValueError(f"unsupported format: {fmt}")
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """A table whose scan has fewer splits than there are cores, over all cores.
+
+    A small file is one task however many cores are free. Does nothing for a
+    table of real size, whose scan has enough splits by itself.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def load_labelled(
     spark: SparkSession,
     path: str,

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabscout.schema import as_number, as_text, column, is_fractional, measure_columns, missing
+from tabscout.schema import as_number, as_text, column, is_fractional, measure_cells, missing
 
 
 @dataclass(frozen=True)
@@ -106,15 +106,16 @@ class LabelledTable:
 
     @cached_property
     def numeric_facts(self) -> dict[str, ColumnFacts]:
-        rows = measure_columns(
+        value = F.col("value")
+        rows = measure_cells(
             self.df,
-            self.numeric,
-            lambda f: {
+            {f.name: as_number(f) for f in self.numeric},
+            {
                 "rows": F.count(F.lit(1)),
-                "filled": F.count(as_number(f)),
-                "mean": F.avg(as_number(f)),
-                "low": F.min(as_number(f)),
-                "high": F.max(as_number(f)),
+                "filled": F.count(value),
+                "mean": F.avg(value),
+                "low": F.min(value),
+                "high": F.max(value),
             },
             "rows bigint, filled bigint, mean double, low double, high double",
         ).collect()
@@ -166,3 +167,10 @@ class LabelledTable:
 
     def select_key(self) -> list[Column]:
         return [column(k) for k in self.key]
+
+    def release(self) -> None:
+        """Drops the counters that checks of this table share."""
+        for kept in self.shared.values():
+            if isinstance(kept, DataFrame):
+                kept.unpersist()
+        self.shared.clear()
