@@ -81,8 +81,6 @@ def unbiased_skewness(population_skewness: Column, n: Column) -> Column:
     return F.when(n > 2, population_skewness * F.sqrt(count * (count - 1)) / (count - 2))
 
 
-def yates_chi2_term(observed: Column, expected: Column, correct: Column) -> Column:
-    """One cell of a chi-squared sum, continuity-corrected where asked."""
-    gap = F.abs(observed - expected)
-    gap = F.when(correct, gap - F.least(F.lit(0.5), gap)).otherwise(gap)
-    return F.try_divide(gap * gap, expected)
+def yates_gap(gap: Column) -> Column:
+    """Continuity correction: the gap shrinks by a half, not below zero."""
+    return gap - F.least(F.lit(0.5), gap)

@@ -10,11 +10,13 @@ from pyspark.sql import types as T
 
 from tabscout.functions.frequency import rank_sums
 from tabscout.functions.quantiles import quantiles
-from tabscout.functions.stats import chi2_sf, unbiased_skewness, yates_chi2_term
+from tabscout.functions.stats import chi2_sf, unbiased_skewness, yates_gap
 from tabscout.schema import (
     FINDINGS,
+    Rule,
     as_number,
     blocks,
+    emit,
     empty,
     finding,
     measure_cells,
@@ -71,79 +73,77 @@ def _class_map(t: LabelledTable, value: str) -> Column:
     )
 
 
-def flag_balance(
+def balance_rules(
     t: LabelledTable, severe: float = 100, moderate: float = 10, mild: float = 3
-) -> DataFrame:
-    balance = measure_balance(t)
-    ratio = F.col("ratio")
-    distribution = _class_map(t, "percentage").alias("class_distribution")
-    single = balance.where("classes < 2").select(
-        *finding(
-            TOOL,
-            "single_class",
-            "critical",
-            F.lit("Target variable has only one class - cannot train classifier"),
-            F.col("classes"),
-            F.struct(
-                F.col("classes").alias("class_count"),
-                F.array_compact(F.array("majority")).alias("unique_values"),
-            ),
-            dataset=t.name,
-        )
-    )
+) -> list[Rule]:
+    ratio, classes = F.col("ratio"), F.col("classes")
     grade = F.when(ratio > severe, "severe").when(ratio > moderate, "moderate").otherwise("mild")
-    word = F.initcap(grade)
-    uneven = balance.where((F.col("classes") >= 2) & (ratio > mild)).select(
-        *finding(
-            TOOL,
-            F.concat(grade, F.lit("_imbalance")),
-            F.when(ratio > severe, "critical").when(ratio > moderate, "warning").otherwise("info"),
-            F.format_string("%s class imbalance detected (ratio %.1f:1)", word, ratio),
-            ratio,
-            F.struct(
-                ratio.alias("imbalance_ratio"),
-                distribution,
-                F.when(ratio > severe, F.col("majority")).alias("majority_class"),
-                F.when(ratio > severe, F.col("minority")).alias("minority_class"),
-            ),
-            dataset=t.name,
-        )
+    single = finding(
+        TOOL,
+        "single_class",
+        "critical",
+        F.lit("Target variable has only one class - cannot train classifier"),
+        classes,
+        F.struct(
+            classes.alias("class_count"), F.array_compact(F.array("majority")).alias("unique_values")
+        ),
+        dataset=t.name,
+    )
+    uneven = finding(
+        TOOL,
+        F.concat(grade, F.lit("_imbalance")),
+        F.when(ratio > severe, "critical").when(ratio > moderate, "warning").otherwise("info"),
+        F.format_string("%s class imbalance detected (ratio %.1f:1)", F.initcap(grade), ratio),
+        ratio,
+        F.struct(
+            ratio.alias("imbalance_ratio"),
+            _class_map(t, "percentage").alias("class_distribution"),
+            F.when(ratio > severe, F.col("majority")).alias("majority_class"),
+            F.when(ratio > severe, F.col("minority")).alias("minority_class"),
+        ),
+        dataset=t.name,
     )
-    return union_all([single, uneven])
+    return [(classes < 2, single), ((classes >= 2) & (ratio > mild), uneven)]
 
 
-def flag_sample_size(
+def sample_size_rules(
     t: LabelledTable, min_rows: int = 100, min_class: int = 30, critical_class: int = 10
-) -> DataFrame:
-    balance = measure_balance(t)
-    small = balance.where(F.col("rows") < min_rows).select(
-        *finding(
-            TOOL,
-            "small_dataset",
-            "warning",
-            F.format_string(
-                "Dataset has only %d samples - may be insufficient for robust training", "rows"
-            ),
-            F.col("rows"),
-            F.struct(F.col("rows").alias("total_samples")),
-            dataset=t.name,
-        )
+) -> list[Rule]:
+    rows, smallest = F.col("rows"), F.col("minority_n")
+    small = finding(
+        TOOL,
+        "small_dataset",
+        "warning",
+        F.format_string("Dataset has only %d samples - may be insufficient for robust training", rows),
+        rows,
+        F.struct(rows.alias("total_samples")),
+        dataset=t.name,
     )
-    smallest = F.col("minority_n")
-    thin = balance.where(smallest < min_class).select(
-        *finding(
-            TOOL,
-            "small_class_size",
-            F.when(smallest < critical_class, "critical").otherwise("warning"),
-            F.format_string("Smallest class has only %d samples", smallest),
-            smallest,
-            F.struct(
-                smallest.alias("min_class_size"), _class_map(t, "n").alias("class_distribution")
-            ),
-            dataset=t.name,
-        )
+    thin = finding(
+        TOOL,
+        "small_class_size",
+        F.when(smallest < critical_class, "critical").otherwise("warning"),
+        F.format_string("Smallest class has only %d samples", smallest),
+        smallest,
+        F.struct(smallest.alias("min_class_size"), _class_map(t, "n").alias("class_distribution")),
+        dataset=t.name,
     )
-    return union_all([small, thin])
+    return [(rows < min_rows, small), (smallest < min_class, thin)]
+
+
+def flag_classes(t: LabelledTable) -> DataFrame:
+    """Imbalance and sample-size findings.
+
+    Two counts decide whether any rule holds; the class map of the evidence is
+    only queried when one does.
+    """
+    summary = t.class_summary
+    rules = []
+    if summary["classes"] < 2 or summary["high"] > 3 * summary["low"]:
+        rules += balance_rules(t)
+    if summary["rows"] < 100 or (summary["low"] or 0) < 30:
+        rules += sample_size_rules(t)
+    return emit(measure_balance(t), *rules) if rules else empty(t.spark, FINDINGS)
 
 
 def measure_kruskal(t: LabelledTable) -> DataFrame:
@@ -176,24 +176,24 @@ def measure_kruskal(t: LabelledTable) -> DataFrame:
     )
 
 
-def flag_kruskal(
-    measure: DataFrame, max_p: float = 0.001, min_effect: float = 0.14, dataset: str = "table"
-) -> DataFrame:
+def kruskal_rule(max_p: float = 0.001, min_effect: float = 0.14, dataset: str = "table") -> Rule:
     fires = (F.col("p_value") < max_p) & (F.col("effect_size") > min_effect)
-    return measure.where(fires).select(
-        *finding(
-            TOOL,
-            "feature_distribution_bias",
-            "warning",
-            F.format_string('Feature "%s" has significantly different distributions across classes', "feature"),
-            F.col("effect_size"),
-            F.struct("p_value", "effect_size", F.lit("kruskal_wallis").alias("test")),
-            F.col("feature"),
-            dataset=dataset,
-        )
+    return fires, finding(
+        TOOL,
+        "feature_distribution_bias",
+        "warning",
+        F.format_string('Feature "%s" has significantly different distributions across classes', "feature"),
+        F.col("effect_size"),
+        F.struct("p_value", "effect_size", F.lit("kruskal_wallis").alias("test")),
+        F.col("feature"),
+        dataset=dataset,
     )
 
 
+def flag_kruskal(measure: DataFrame, **limits) -> DataFrame:
+    return emit(measure, kruskal_rule(**limits))
+
+
 def missing_by_class(t: LabelledTable) -> DataFrame:
     """``feature, class, n, missing``; the NULL class keeps unlabelled rows.
 
@@ -224,95 +224,90 @@ def measure_missingness(t: LabelledTable, with_rates: bool | None = None) -> Dat
     """
     if with_rates is None:
         with_rates = t.class_summary["classes"] <= EVIDENCE_CLASSES
-    counts = missing_by_class(t)
     known = F.col("class").isNotNull()
+    n = F.when(known, F.col("n")).cast("double")
+    gone = F.when(known, F.col("missing")).cast("double")
     rate = F.col("missing") * 100.0 / F.col("n")
     entry = F.when(known, F.struct(F.col("class"), rate.alias("rate")))
     rates = F.map_from_entries(F.sort_array(F.collect_list(entry)))
-    totals = counts.groupBy("feature").agg(
+    totals = missing_by_class(t).groupBy("feature").agg(
         F.sum("n").alias("rows"),
         F.sum("missing").alias("missing"),
         F.count("class").alias("classes"),
         (F.count("class") + F.max((~known).cast("int"))).alias("labels"),
-        F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("cn"),
-        F.coalesce(F.sum(F.when(known, F.col("missing"))), F.lit(0)).alias("cm"),
+        F.sum(n).alias("cn"),
+        F.sum(gone).alias("cm"),
+        F.sum(gone * gone / n).alias("squares"),
+        F.sum(1.0 / n).alias("inverse"),
         F.max(F.when(known, rate)).alias("max_rate"),
         F.min(F.when(known, rate)).alias("min_rate"),
         (rates if with_rates else F.lit(None).cast("map<string,double>")).alias("rates"),
     )
-    # Second pass over the K-row class table: expected counts need the totals.
+    # Chi-squared of a 2 x K table from sums: sum(m^2 / n) - M^2 / N over p (1 - p).
     both_kinds = (F.col("cm") > 0) & (F.col("cm") < F.col("cn"))
-    dof = F.when(both_kinds, F.col("classes") - 1).otherwise(0)
-    expected_missing = F.col("c.n") * (F.col("cm") / F.col("cn"))
-    expected_filled = F.col("c.n") * (1 - F.col("cm") / F.col("cn"))
-    two_by_two = F.col("classes") == 2
-    cell_sum = yates_chi2_term(F.col("c.missing"), expected_missing, two_by_two) + yates_chi2_term(
-        F.col("c.n") - F.col("c.missing"), expected_filled, two_by_two
-    )
-    chi2 = (
-        counts.alias("c")
-        .join(totals.alias("t"), "feature")
-        .where("c.class IS NOT NULL AND t.cm > 0 AND t.cm < t.cn")
-        .groupBy("feature")
-        .agg(F.sum(cell_sum).alias("chi2"))
-    )
+    p = F.col("cm") / F.col("cn")
+    plain = (F.col("squares") - F.col("cm") * p) / (p * (1 - p))
+    # All four gaps of a 2 x 2 table are equal, which gives the corrected value.
+    gap = F.sqrt(F.greatest(plain, F.lit(0.0)) * p * (1 - p) / F.col("inverse"))
+    corrected = yates_gap(gap) * yates_gap(gap) * F.col("inverse") / (p * (1 - p))
+    chi2 = F.when(F.col("classes") == 2, corrected).otherwise(F.greatest(plain, F.lit(0.0)))
     return (
-        totals.join(chi2, "feature", "left")
-        .withColumn("dof", dof)
-        .withColumn("chi2", F.coalesce("chi2", F.lit(0.0)))
+        totals.withColumn("dof", F.when(both_kinds, F.col("classes") - 1).otherwise(0))
+        .withColumn("chi2", F.when(both_kinds, chi2).otherwise(0.0))
         .withColumn("p_value", F.when(F.col("dof") > 0, chi2_sf(F.col("chi2"), F.col("dof"))).otherwise(1.0))
         .withColumn("missing_rate", F.try_divide(F.col("missing") * 100.0, F.col("rows")))
         .withColumn("difference", F.col("max_rate") - F.col("min_rate"))
-        .drop("cn", "cm")
+        .drop("cn", "cm", "squares", "inverse")
     )
 
 
-def _informative(measure: DataFrame, low: float, high: float) -> DataFrame:
-    return measure.where(
+def missingness_rules(
+    min_difference: float = 20,
+    max_p: float = 0.01,
+    max_classes: int = 20,
+    low: float = 1,
+    high: float = 99,
+    dataset: str = "table",
+) -> list[Rule]:
+    """Missing rates that differ between classes, and a significant pattern.
+
+    Columns with hardly any or hardly no missing cells are not informative.
+    """
+    informative = (
         F.col("missing_rate").between(low, high)
         & (F.col("missing") > 0)
         & (F.col("missing") < F.col("rows"))
         & (F.col("classes") >= 2)
     )
-
-
-def flag_missing_bias(
-    measure: DataFrame, min_difference: float = 20, dataset: str = "table"
-) -> DataFrame:
-    return _informative(measure, 1, 99).where(F.col("difference") > min_difference).select(
-        *finding(
-            TOOL,
-            "missing_value_bias",
-            "warning",
-            F.format_string('Missing values in "%s" are unevenly distributed across classes', "feature"),
-            F.col("difference"),
-            F.struct(
-                F.col("rates").alias("missing_by_class"),
-                F.col("difference").alias("max_difference"),
-                F.col("missing_rate").alias("overall_missing_rate"),
-            ),
-            F.col("feature"),
-            dataset=dataset,
-        )
+    uneven = finding(
+        TOOL,
+        "missing_value_bias",
+        "warning",
+        F.format_string('Missing values in "%s" are unevenly distributed across classes', "feature"),
+        F.col("difference"),
+        F.struct(
+            F.col("rates").alias("missing_by_class"),
+            F.col("difference").alias("max_difference"),
+            F.col("missing_rate").alias("overall_missing_rate"),
+        ),
+        F.col("feature"),
+        dataset=dataset,
     )
-
-
-def flag_missing_pattern(
-    measure: DataFrame, max_p: float = 0.01, max_classes: int = 20, dataset: str = "table"
-) -> DataFrame:
-    fires = (F.col("p_value") < max_p) & (F.col("labels") <= max_classes)
-    return _informative(measure, 1, 99).where(fires).select(
-        *finding(
-            TOOL,
-            "missing_pattern_correlation",
-            "warning",
-            F.format_string('Missing pattern in "%s" significantly correlates with target', "feature"),
-            F.col("chi2"),
-            F.struct("chi2", "p_value", F.col("rates").alias("missing_by_class")),
-            F.col("feature"),
-            dataset=dataset,
-        )
+    pattern = finding(
+        TOOL,
+        "missing_pattern_correlation",
+        "warning",
+        F.format_string('Missing pattern in "%s" significantly correlates with target', "feature"),
+        F.col("chi2"),
+        F.struct("chi2", "p_value", F.col("rates").alias("missing_by_class")),
+        F.col("feature"),
+        dataset=dataset,
     )
+    significant = (F.col("p_value") < max_p) & (F.col("labels") <= max_classes)
+    return [
+        (informative & (F.col("difference") > min_difference), uneven),
+        (informative & significant, pattern),
+    ]
 
 
 def _shape(t: LabelledTable, fields: Sequence[T.StructField]) -> DataFrame:
@@ -336,21 +331,23 @@ def measure_skewness(t: LabelledTable, features: Sequence[str] | None = None) ->
     )
 
 
-def flag_skewness(measure: DataFrame, threshold: float = 5, dataset: str = "table") -> DataFrame:
-    return measure.where(F.abs("skewness") > threshold).select(
-        *finding(
-            TOOL,
-            "extreme_skewness",
-            "warning",
-            F.format_string('Feature "%s" has extreme skewness (%.2f)', "feature", "skewness"),
-            F.col("skewness"),
-            F.struct("skewness", "mean", "median"),
-            F.col("feature"),
-            dataset=dataset,
-        )
+def skewness_rule(threshold: float = 5, dataset: str = "table") -> Rule:
+    return F.abs("skewness") > threshold, finding(
+        TOOL,
+        "extreme_skewness",
+        "warning",
+        F.format_string('Feature "%s" has extreme skewness (%.2f)', "feature", "skewness"),
+        F.col("skewness"),
+        F.struct("skewness", "mean", "median"),
+        F.col("feature"),
+        dataset=dataset,
     )
 
 
+def flag_skewness(measure: DataFrame, **limits) -> DataFrame:
+    return emit(measure, skewness_rule(**limits))
+
+
 def _skewed_names(t: LabelledTable, threshold: float = 5) -> list[str]:
     """Names of skewed features, so that medians are computed for those only."""
     shape = _shape(t, t.numeric)
@@ -360,15 +357,13 @@ def _skewed_names(t: LabelledTable, threshold: float = 5) -> list[str]:
 
 def check_bias(t: LabelledTable) -> DataFrame:
     """All bias findings of one table."""
-    parts = [flag_balance(t), flag_sample_size(t)]
+    parts = [flag_classes(t)]
     summary = t.class_summary
     labels = summary["classes"] + (1 if summary["unlabelled"] else 0)
     if 2 <= labels <= 50 and t.numeric:
         parts.append(flag_kruskal(measure_kruskal(t), dataset=t.name))
     if t.features:
-        missingness = measure_missingness(t)
-        parts.append(flag_missing_bias(missingness, dataset=t.name))
-        parts.append(flag_missing_pattern(missingness, dataset=t.name))
+        parts.append(emit(measure_missingness(t), *missingness_rules(dataset=t.name)))
     skewed = _skewed_names(t) if t.numeric else []
     if skewed:
         parts.append(flag_skewness(measure_skewness(t, skewed), dataset=t.name))

@@ -12,8 +12,10 @@ from tabscout.functions.frequency import value_counts
 from tabscout.functions.stats import entropy_from_sum, guarded_corr, xlogx
 from tabscout.schema import (
     FINDINGS,
+    Rule,
     as_number,
     column,
+    emit,
     empty,
     finding,
     measure_cells,
@@ -67,40 +69,42 @@ def measure_target_fit(t: LabelledTable) -> DataFrame:
     )
 
 
-def flag_correlation(
-    fit: DataFrame, critical: float = 0.99, warning: float = 0.95, dataset: str = "table"
-) -> DataFrame:
+def correlation_rule(critical: float = 0.99, warning: float = 0.95, dataset: str = "table") -> Rule:
     strong = F.abs("correlation") > critical
     adjective = F.when(strong, "near-perfect correlation").otherwise("suspiciously high correlation")
-    return fit.where(F.abs("correlation") > warning).select(
-        *finding(
-            TOOL,
-            F.when(strong, "perfect_correlation").otherwise("high_correlation"),
-            F.when(strong, "critical").otherwise("warning"),
-            F.format_string('Feature "%s" has %s (%.4f) with target', "feature", adjective, "correlation"),
-            F.col("correlation"),
-            F.struct("correlation"),
-            F.col("feature"),
-            dataset=dataset,
-        )
+    return F.abs("correlation") > warning, finding(
+        TOOL,
+        F.when(strong, "perfect_correlation").otherwise("high_correlation"),
+        F.when(strong, "critical").otherwise("warning"),
+        F.format_string('Feature "%s" has %s (%.4f) with target', "feature", adjective, "correlation"),
+        F.col("correlation"),
+        F.struct("correlation"),
+        F.col("feature"),
+        dataset=dataset,
     )
 
 
-def flag_linear_copy(fit: DataFrame, threshold: float = 0.999, dataset: str = "table") -> DataFrame:
-    return fit.where(F.col("r2") > threshold).select(
-        *finding(
-            TOOL,
-            "linear_transformation",
-            "critical",
-            F.format_string('Feature "%s" appears to be a linear transformation of target (R²=%.6f)', "feature", "r2"),
-            F.col("r2"),
-            F.struct("r2", "coefficient", "intercept"),
-            F.col("feature"),
-            dataset=dataset,
-        )
+def flag_correlation(fit: DataFrame, **limits) -> DataFrame:
+    return emit(fit, correlation_rule(**limits))
+
+
+def linear_copy_rule(threshold: float = 0.999, dataset: str = "table") -> Rule:
+    return F.col("r2") > threshold, finding(
+        TOOL,
+        "linear_transformation",
+        "critical",
+        F.format_string('Feature "%s" appears to be a linear transformation of target (R²=%.6f)', "feature", "r2"),
+        F.col("r2"),
+        F.struct("r2", "coefficient", "intercept"),
+        F.col("feature"),
+        dataset=dataset,
     )
 
 
+def flag_linear_copy(fit: DataFrame, **limits) -> DataFrame:
+    return emit(fit, linear_copy_rule(**limits))
+
+
 def measure_text_association(t: LabelledTable) -> DataFrame:
     """Mutual information and purity of every text feature against the target.
 
@@ -156,55 +160,55 @@ def normalized_mi(units: str = "consistent") -> Column:
     return ratio if units == "consistent" else ratio * math.log(2)
 
 
-def flag_mutual_information(
-    association: DataFrame,
+def mutual_information_rule(
     critical: float = 0.95,
     warning: float = 0.85,
     units: str = "consistent",
     dataset: str = "table",
-) -> DataFrame:
-    strong = F.col("normalized_mi") > critical
+) -> Rule:
+    share = normalized_mi(units)
+    strong = share > critical
     adjective = F.when(strong, "near-perfect").otherwise("suspiciously high")
-    return (
-        association.withColumn("normalized_mi", normalized_mi(units))
-        .where((F.col("n") >= 2) & (F.col("normalized_mi") > warning))
-        .select(
-            *finding(
-                TOOL,
-                F.when(strong, "perfect_mutual_information").otherwise("high_mutual_information"),
-                F.when(strong, "critical").otherwise("warning"),
-                F.format_string(
-                    'Feature "%s" has %s mutual information (%.4f) with target', "feature", adjective, "normalized_mi"
-                ),
-                F.col("normalized_mi"),
-                F.struct("normalized_mi"),
-                F.col("feature"),
-                dataset=dataset,
-            )
-        )
+    return (F.col("n") >= 2) & (share > warning), finding(
+        TOOL,
+        F.when(strong, "perfect_mutual_information").otherwise("high_mutual_information"),
+        F.when(strong, "critical").otherwise("warning"),
+        F.format_string(
+            'Feature "%s" has %s mutual information (%.4f) with target', F.col("feature"), adjective, share
+        ),
+        share,
+        F.struct(share.alias("normalized_mi")),
+        F.col("feature"),
+        dataset=dataset,
     )
 
 
-def flag_perfect_predictor(association: DataFrame, min_rows: int = 10, dataset: str = "table") -> DataFrame:
+def flag_mutual_information(association: DataFrame, **limits) -> DataFrame:
+    return emit(association, mutual_information_rule(**limits))
+
+
+def perfect_predictor_rule(min_rows: int = 10, dataset: str = "table") -> Rule:
     pure = (
         (F.col("n") >= min_rows)
         & (F.col("distinct_values") > 2)
         & (F.col("max_classes_per_value") == 1)
     )
-    return association.where(pure).select(
-        *finding(
-            TOOL,
-            "perfect_predictor",
-            "critical",
-            F.format_string('Feature "%s" perfectly predicts target (1-to-1 mapping)', "feature"),
-            F.col("distinct_values"),
-            F.struct(F.col("distinct_values").alias("unique_values")),
-            F.col("feature"),
-            dataset=dataset,
-        )
+    return pure, finding(
+        TOOL,
+        "perfect_predictor",
+        "critical",
+        F.format_string('Feature "%s" perfectly predicts target (1-to-1 mapping)', "feature"),
+        F.col("distinct_values"),
+        F.struct(F.col("distinct_values").alias("unique_values")),
+        F.col("feature"),
+        dataset=dataset,
     )
 
 
+def flag_perfect_predictor(association: DataFrame, **limits) -> DataFrame:
+    return emit(association, perfect_predictor_rule(**limits))
+
+
 def measure_names(t: LabelledTable) -> DataFrame:
     """``feature, keyword, filled``: first suspicious fragment of each name."""
     words = F.array(*[F.lit(w) for w in SUSPICIOUS_NAMES])
@@ -331,15 +335,19 @@ def flag_encoded_target(t: LabelledTable) -> DataFrame:
 
 def check_leakage(t: LabelledTable, mi_units: str = "consistent") -> DataFrame:
     """All leakage findings of one table."""
-    fit = measure_target_fit(t)
-    association = measure_text_association(t)
     return union_all(
         [
-            flag_correlation(fit, dataset=t.name),
-            flag_mutual_information(association, units=mi_units, dataset=t.name),
-            flag_names(t),
-            flag_perfect_predictor(association, dataset=t.name),
+            emit(
+                measure_target_fit(t),
+                correlation_rule(dataset=t.name),
+                linear_copy_rule(dataset=t.name),
+            ),
+            emit(
+                measure_text_association(t),
+                mutual_information_rule(units=mi_units, dataset=t.name),
+                perfect_predictor_rule(dataset=t.name),
+            ),
             flag_identical(measure_identical(t), dataset=t.name),
-            flag_linear_copy(fit, dataset=t.name),
+            flag_names(t),
         ]
     )

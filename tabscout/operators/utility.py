@@ -16,9 +16,11 @@ from tabscout.functions.stats import entropy_from_sum, guarded_corr, xlogx
 from tabscout.operators.binning import bin_counts
 from tabscout.schema import (
     FINDINGS,
+    Rule,
     as_number,
     as_text,
     blocks,
+    emit,
     empty,
     finding,
     measure_cells,
@@ -89,97 +91,91 @@ def concentrated_features(t: LabelledTable, share: float = 0.95) -> list[str]:
     return [r["feature"] for r in counted.select("feature").collect()]
 
 
-def flag_constants(measure: DataFrame, share: float = 0.95, dataset: str = "table") -> DataFrame:
+def constant_rules(share: float = 0.95, dataset: str = "table") -> list[Rule]:
     top_share = F.try_divide(F.col("top_count").cast("double"), F.col("rows"))
-    measure = measure.withColumn("top_share", top_share)
-    constant = measure.where("distinct_values = 1").select(
-        *finding(
-            TOOL,
-            "constant_feature",
-            "critical",
-            F.format_string('Feature "%s" has only one unique value - provides no information', "feature"),
-            F.col("distinct_values"),
-            F.struct(
-                F.col("distinct_values").alias("unique_values"),
-                F.col("top_value").alias("constant_value"),
-            ),
-            F.col("feature"),
-            dataset=dataset,
-        )
+    constant = finding(
+        TOOL,
+        "constant_feature",
+        "critical",
+        F.format_string('Feature "%s" has only one unique value - provides no information', "feature"),
+        F.col("distinct_values"),
+        F.struct(
+            F.col("distinct_values").alias("unique_values"), F.col("top_value").alias("constant_value")
+        ),
+        F.col("feature"),
+        dataset=dataset,
     )
-    near = measure.where((F.col("distinct_values") > 1) & (F.col("top_share") > share)).select(
-        *finding(
-            TOOL,
-            "near_constant_feature",
-            "warning",
-            F.format_string(
-                'Feature "%s" has %.1f%% same value - very low variance', F.col("feature"), F.col("top_share") * 100
-            ),
-            F.col("top_share"),
-            F.struct(
-                F.col("distinct_values").alias("unique_values"),
-                F.col("top_share").alias("most_common_frequency"),
-                F.col("top_value").alias("most_common_value"),
-            ),
-            F.col("feature"),
-            dataset=dataset,
-        )
+    near = finding(
+        TOOL,
+        "near_constant_feature",
+        "warning",
+        F.format_string(
+            'Feature "%s" has %.1f%% same value - very low variance', F.col("feature"), top_share * 100
+        ),
+        top_share,
+        F.struct(
+            F.col("distinct_values").alias("unique_values"),
+            top_share.alias("most_common_frequency"),
+            F.col("top_value").alias("most_common_value"),
+        ),
+        F.col("feature"),
+        dataset=dataset,
     )
-    return union_all([constant, near])
+    distinct = F.col("distinct_values")
+    return [(distinct == 1, constant), ((distinct > 1) & (top_share > share), near)]
 
 
-def flag_cardinality(
-    t: LabelledTable,
-    measure: DataFrame,
-    high: float = 0.5,
-    min_distinct: int = 20,
-    identifier: float = 0.95,
-) -> DataFrame:
+def flag_constants(measure: DataFrame, **limits) -> DataFrame:
+    return emit(measure, *constant_rules(**limits))
+
+
+def cardinality_rules(
+    t: LabelledTable, high: float = 0.5, min_distinct: int = 20, identifier: float = 0.95
+) -> list[Rule]:
     """Text features only; the two findings are independent of each other."""
     ratio = F.try_divide(F.col("distinct_values").cast("double"), F.col("rows"))
-    text = measure.where(F.col("feature").isin([f.name for f in t.text])).withColumn("ratio", ratio)
-    percent = F.col("ratio") * 100
-    many = text.where((F.col("ratio") > high) & (F.col("distinct_values") > min_distinct)).select(
-        *finding(
-            TOOL,
-            "high_cardinality",
-            "warning",
-            F.format_string(
-                'Feature "%s" has %d unique values (%.1f%% of dataset) - may need encoding',
-                F.col("feature"),
-                F.col("distinct_values"),
-                percent,
-            ),
-            F.col("ratio"),
-            F.struct(
-                F.col("distinct_values").alias("unique_count"),
-                F.col("rows").alias("total_count"),
-                F.col("ratio").alias("cardinality_ratio"),
-            ),
+    text = F.col("feature").isin([f.name for f in t.text])
+    many = finding(
+        TOOL,
+        "high_cardinality",
+        "warning",
+        F.format_string(
+            'Feature "%s" has %d unique values (%.1f%% of dataset) - may need encoding',
             F.col("feature"),
-            dataset=t.name,
-        )
+            F.col("distinct_values"),
+            ratio * 100,
+        ),
+        ratio,
+        F.struct(
+            F.col("distinct_values").alias("unique_count"),
+            F.col("rows").alias("total_count"),
+            ratio.alias("cardinality_ratio"),
+        ),
+        F.col("feature"),
+        dataset=t.name,
     )
-    unique = text.where(F.col("ratio") > identifier).select(
-        *finding(
-            TOOL,
-            "identifier_feature",
-            "critical",
-            F.format_string(
-                'Feature "%s" appears to be an identifier (%.1f%% unique) - should be removed',
-                F.col("feature"),
-                percent,
-            ),
-            F.col("ratio"),
-            F.struct(
-                F.col("distinct_values").alias("unique_count"),
-                F.col("ratio").alias("cardinality_ratio"),
-            ),
+    unique = finding(
+        TOOL,
+        "identifier_feature",
+        "critical",
+        F.format_string(
+            'Feature "%s" appears to be an identifier (%.1f%% unique) - should be removed',
             F.col("feature"),
-            dataset=t.name,
-        )
+            ratio * 100,
+        ),
+        ratio,
+        F.struct(F.col("distinct_values").alias("unique_count"), ratio.alias("cardinality_ratio")),
+        F.col("feature"),
+        dataset=t.name,
     )
-    return union_all([many, unique])
+    return [
+        (text & (ratio > high) & (F.col("distinct_values") > min_distinct), many),
+        (text & (ratio > identifier), unique),
+    ]
+
+
+def flag_cardinality(t: LabelledTable, measure: DataFrame, **limits) -> DataFrame:
+    return emit(measure, *cardinality_rules(t, **limits))
 
 
 def measure_variation(t: LabelledTable) -> DataFrame:
@@ -481,8 +477,7 @@ def check_utility(t: LabelledTable) -> DataFrame:
     text = {f.name for f in t.text}
     counted = measure_values(t, sorted(text | set(concentrated_features(t))))
     parts = [
-        flag_constants(counted, dataset=t.name),
-        flag_cardinality(t, counted),
+        emit(counted, *constant_rules(dataset=t.name), *cardinality_rules(t)),
         flag_missing(measure_missing(t), dataset=t.name),
     ]
     if t.numeric:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import cached_property
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from tabscout.operators.sampling import DEFAULT_ROWS, adaptive_sample, sample_co
 from tabscout.operators.spurious import check_spurious, flag_unstable, measure_relative_spread
 from tabscout.operators.utility import check_utility, recommended_removals
 from tabscout.schema import TOOLS, empty, FINDINGS, union_all
+from tabscout.sources.tables import fits_cores, spread_small
 from tabscout.table import LabelledTable
 
 
@@ -74,6 +76,7 @@ def audit(
     sample: int | None = None,
     max_columns: int | None = None,
     materialize: bool = True,
+    cache: bool | None = None,
 ) -> AuditResult:
     """Audits a labelled table, or a train/test pair.
 
@@ -81,12 +84,19 @@ def audit(
     row and column samplers for the bias and shortcut checks; the forest checks
     always train on at most 10 000 sampled rows. Rules that need exact row order
     use ``key``. The findings, a few rows per column, are written out once unless
-    ``materialize`` is False, as every roll-up reads them several times.
+    ``materialize`` is False, as every roll-up reads them several times. A table
+    of at most one scan split per core is kept in memory meanwhile (``cache``).
     """
     unknown = set(tools) - set(TOOLS)
     if unknown:
         raise ValueError(f"unknown checks: {', '.join(sorted(unknown))}")
     whole = df if test is None else df.unionByName(test, allowMissingColumns=True)
+    if cache is None:
+        cache = fits_cores(whole)
+    if cache:
+        whole = spread_small(whole).persist()
+    if cache and test is None:
+        df = whole
     t = LabelledTable(whole, target, tuple(key), name)
     shape = [f for f in TOOLS if f in tools]
     eligible = {
@@ -101,25 +111,37 @@ def audit(
     if sample is not None:
         narrowed = LabelledTable(adaptive_sample(narrowed, sample), target, narrowed.key, name)
 
-    parts: list[DataFrame] = []
-    if "leakage_detector" in run:
-        parts.append(check_leakage(t, mi_units))
-        if encoded_target:
-            parts.append(flag_encoded_target(t))
-    if "contamination_detector" in run:
-        parts.append(check_contamination(df, test, key, near_rows, dataset=name))
-    if "bias_detector" in run:
-        parts.append(check_bias(narrowed))
-    if "spurious_detector" in run:
-        shortcuts = check_spurious(narrowed, single, forests, sample or DEFAULT_ROWS)
-        parts.append(shortcuts)
+    def leakage() -> list[DataFrame]:
+        return [check_leakage(t, mi_units), *([flag_encoded_target(t)] if encoded_target else [])]
+
+    def shortcuts() -> list[DataFrame]:
+        found = check_spurious(narrowed, single, forests, sample or DEFAULT_ROWS)
         # Dominant features get the second look.
-        parts.append(flag_unstable(shortcuts, measure_relative_spread(t), dataset=name))
-    if "feature_utility" in run:
-        parts.append(check_utility(t))
+        return [found, flag_unstable(found, measure_relative_spread(t), dataset=name)]
+
+    checks = {
+        "leakage_detector": leakage,
+        "contamination_detector": lambda: [check_contamination(df, test, key, near_rows, dataset=name)],
+        "bias_detector": lambda: [check_bias(narrowed)],
+        "spurious_detector": shortcuts,
+        "feature_utility": lambda: [check_utility(t)],
+    }
+    if run:
+        # Facts that several checks share; measured once, before they start.
+        for shared in {id(t): t, id(narrowed): narrowed}.values():
+            _ = (shared.numeric_facts, shared.class_summary)
+        # The checks wait for small results most of the time, so they overlap.
+        with ThreadPool(len(run)) as pool:
+            parts = [part for found in pool.map(lambda tool: checks[tool](), run) for part in found]
+    else:
+        parts = []
     findings = union_all(parts) if parts else empty(df.sparkSession, FINDINGS)
     if materialize:
         findings = settle(findings)
+        for used in (t, narrowed):
+            used.release()
+        if cache:
+            whole.unpersist()
     return AuditResult(t, findings, roll.executed_tools(df.sparkSession, name, tuple(run)))
 
 

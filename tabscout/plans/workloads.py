@@ -84,7 +84,7 @@ ORDER_FEATURES = """
     o_totalprice AS shortcut,
     o_custkey AS custkey,
     CAST(substring(o_orderpriority, 1, 1) AS INT) AS prio,
-    month(o_orderdate) AS mon
+    CAST(month(o_orderdate) AS INT) AS mon
 """
 
 

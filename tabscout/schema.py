@@ -23,6 +23,9 @@ FINDINGS = T.StructType(
     ]
 )
 
+# A condition on a measurement row and the finding it gives.
+Rule = tuple[Column, list[Column]]
+
 # The five check families, in the order an audit runs them.
 TOOLS = (
     "leakage_detector",
@@ -152,3 +155,12 @@ def finding(
         metric.cast("double").alias("metric"),
         F.to_json(evidence).alias("evidence"),
     ]
+
+
+def emit(measure: DataFrame, *rules: Rule) -> DataFrame:
+    """Findings of every rule that holds on a row of a measurement table.
+
+    All rules are applied in one pass, so the measurement is computed once.
+    """
+    fired = [F.when(condition, F.struct(*columns)) for condition, columns in rules]
+    return measure.select(F.inline(F.array_compact(F.array(*fired))))

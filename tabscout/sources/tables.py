@@ -39,6 +39,11 @@ def spread_small(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def fits_cores(df: DataFrame) -> bool:
+    """At most one split, so at most some 100 MB of file, for each core."""
+    return df.rdd.getNumPartitions() <= df.sparkSession.sparkContext.defaultParallelism
+
+
 def load_labelled(
     spark: SparkSession,
     path: str,

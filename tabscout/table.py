@@ -119,10 +119,13 @@ class LabelledTable:
             },
             "rows bigint, filled bigint, mean double, low double, high double",
         ).collect()
-        return {
+        found = {
             r["feature"]: ColumnFacts(r["rows"], r["filled"], r["mean"], r["low"], r["high"])
             for r in rows
         }
+        # An empty table has no groups at all.
+        nothing = ColumnFacts(0, 0, None, None, None)
+        return {f.name: found.get(f.name, nothing) for f in self.numeric}
 
     @cached_property
     def rows(self) -> int:
