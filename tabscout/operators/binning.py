@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tabscout.functions.hashing import hash_fold
 from tabscout.functions.quantiles import quantile_values
-from tabscout.schema import blocks, melt, union_all
+from tabscout.schema import blocks, empty, melt, union_all
 from tabscout.table import LabelledTable
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -72,6 +72,9 @@ def bin_counts(t: LabelledTable, bins: int = 10, folds: int = 1) -> DataFrame:
         if folds > 1:
             keep["fold"] = hash_fold(t.row_key, t.seed, folds)
             per_fold = [F.count_if(F.col("fold") == k).alias(f"n{k}") for k in range(folds)]
+        if not cells:
+            extra = "".join(f", n{k} bigint" for k in range(len(per_fold)))
+            return empty(t.spark, f"feature string, bin int, class string, n bigint{extra}")
         rows = t.labelled_rows()
         parts = [melt(rows, {n: cells[n] for n in block}, keep) for block in blocks(list(cells), 40)]
         t.shared[slot] = (

@@ -203,7 +203,6 @@ class ForestSample:
         self.data = indexed
         self._held = flat
         self.rows = flat.count()
-        self.classes = flat.select("class").distinct().count()
 
     def forest(self, trees: int, depth: int) -> RandomForestClassifier:
         return RandomForestClassifier(
@@ -380,16 +379,18 @@ def check_spurious(
     parts = [flag_threshold_rules(measure_threshold_rules(t), dataset=t.name)]
     if single == "binned":
         parts.append(flag_single_feature(measure_single_feature(t), dataset=t.name))
-    if t.target_is_class and (forests or single == "forest"):
+    summary = t.class_summary
+    enough = summary["rows"] - summary["unlabelled"] >= MIN_ROWS and summary["classes"] >= 2
+    wanted = (forests or single == "forest") and enough and usable_features(t)
+    if wanted and t.target_is_class:
         sample = ForestSample(t, sample_rows)
         try:
-            if sample.rows >= MIN_ROWS and sample.classes >= 2:
-                if single == "forest":
-                    parts.append(flag_single_feature(measure_single_feature_forest(t, sample), dataset=t.name))
-                if forests:
-                    parts.append(flag_ablation(measure_ablation(t, sample), dataset=t.name))
-                    if len(sample.features) >= 3:
-                        parts.append(flag_importance(measure_importance(t, sample), dataset=t.name))
+            if single == "forest":
+                parts.append(flag_single_feature(measure_single_feature_forest(t, sample), dataset=t.name))
+            if forests:
+                parts.append(flag_ablation(measure_ablation(t, sample), dataset=t.name))
+                if len(sample.features) >= 3:
+                    parts.append(flag_importance(measure_importance(t, sample), dataset=t.name))
         finally:
             sample.close()
     return union_all(parts)

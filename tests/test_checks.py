@@ -241,9 +241,10 @@ def test_shortcut_rules(spark):
 
 def test_empty_and_missing_inputs(spark):
     empty = LabelledTable(spark.createDataFrame([], "x double, s string, y int"), "y")
-    for check in (leakage.check_leakage, utility.check_utility):
-        assert not {k for k, _, _ in fired(check(empty))} - {"constant_feature"}
+    for check in (leakage.check_leakage, utility.check_utility, bias.check_bias, spurious.check_spurious):
+        assert not {k for k, _, _ in fired(check(empty))} - {"single_class", "small_dataset", "small_class_size"}
     nulls = LabelledTable(spark.createDataFrame([(None, 1), (None, 0)] * 20, "x double, y int"), "y")
     assert ("excessive_missing", "critical", "x") in fired(utility.check_utility(nulls))
+    assert not fired(spurious.check_spurious(nulls))
     with pytest.raises(ValueError):
         LabelledTable(nulls.df, "nope")
