@@ -745,7 +745,7 @@ def generate_drift(spark, d):
 @query
 def audit_findings(spark, d):
     """All checks on the line items; findings that are rules, not models."""
-    found = audit(wl.line_audit(spark, d).df, "target", name="lineitem", forests=False).findings
+    found = audit(wl.line_audit(spark, d).df, "target", name="lineitem", forests=False, cache=False).findings
     return found.select("tool", "type", "severity", "feature")
 
 
@@ -758,5 +758,5 @@ def audit_split_findings(spark, d):
 
 @query
 def audit_readiness(spark, d):
-    result = audit(wl.order_audit(spark, d).df, "target", key=("o_orderkey",), name="orders")
+    result = audit(wl.order_audit(spark, d).df, "target", key=("o_orderkey",), name="orders", cache=False)
     return rounded(result.readiness)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tabscout.operators.profile import complexity_score
 from tabscout.schema import TOOLS
-from tabscout.sources.tables import spread_small
+from tabscout.sources.tables import hold_small
 from tabscout.table import LabelledTable
 
 # Each event type stands for one check in the derived findings and histories.
@@ -60,7 +60,7 @@ LINE_FEATURES = """
 
 def line_audit(spark: SparkSession, sf_dir: str, three_classes: bool = False) -> LabelledTable:
     """``lineitem`` with planted leaks, constants, gaps and skew; no row key."""
-    df = spread_small(read(spark, sf_dir, "lineitem")).selectExpr(*_split(LINE_FEATURES))
+    df = hold_small(read(spark, sf_dir, "lineitem").selectExpr(*_split(LINE_FEATURES)))
     other, target = ("target", "target3") if three_classes else ("target3", "target")
     return LabelledTable(df.drop(other), target, name="lineitem")
 
@@ -90,7 +90,7 @@ ORDER_FEATURES = """
 
 def order_audit(spark: SparkSession, sf_dir: str) -> LabelledTable:
     """``orders`` with a shortcut feature; ``o_orderkey`` identifies a row."""
-    df = spread_small(read(spark, sf_dir, "orders")).selectExpr(*_split(ORDER_FEATURES))
+    df = hold_small(read(spark, sf_dir, "orders").selectExpr(*_split(ORDER_FEATURES)))
     return LabelledTable(df, "target", ("o_orderkey",), "orders")
 
 

@@ -44,6 +44,15 @@ def fits_cores(df: DataFrame) -> bool:
     return df.rdd.getNumPartitions() <= df.sparkSession.sparkContext.defaultParallelism
 
 
+def hold_small(df: DataFrame) -> DataFrame:
+    """A table that many checks will read, kept in memory if it is small.
+
+    Small means at most one scan split per core; anything larger is left to its
+    scan, which prunes columns on every pass.
+    """
+    return spread_small(df).persist() if fits_cores(df) else df
+
+
 def load_labelled(
     spark: SparkSession,
     path: str,
