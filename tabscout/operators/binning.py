@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabscout.functions.hashing import hash_fold
+from tabscout.functions.lineage import settle
 from tabscout.functions.quantiles import quantile_values
 from tabscout.schema import blocks, empty, melt, union_all
 from tabscout.table import LabelledTable
@@ -77,12 +78,12 @@ def bin_counts(t: LabelledTable, bins: int = 10, folds: int = 1) -> DataFrame:
             return empty(t.spark, f"feature string, bin int, class string, n bigint{extra}")
         rows = t.labelled_rows()
         parts = [melt(rows, {n: cells[n] for n in block}, keep) for block in blocks(list(cells), 40)]
-        t.shared[slot] = (
+        # Two checks read these few counters several times over: computed once, and
+        # without the long plan behind them.
+        t.shared[slot] = settle(
             union_all(parts)
             .withColumnRenamed("value", "bin")
             .groupBy("feature", "bin", "class")
             .agg(F.count(F.lit(1)).alias("n"), *per_fold)
-            # Two checks read these few counters; the table itself is read once.
-            .persist()
         )
     return t.shared[slot]

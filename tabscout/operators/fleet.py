@@ -521,6 +521,9 @@ def improvement(perf: DataFrame, by: Sequence[str] = (), window: int = 5) -> Dat
     First against last five audits in percent, within +-100; 0 below ten audits.
     """
     owner = list(by)
+    if not owner:
+        # One history: a constant owner keeps the join below an equality join.
+        return improvement(perf.withColumn("_all", F.lit(0)), ["_all"], window).drop("_all")
     ends = []
     for side, order in (("early", F.asc("audit")), ("late", F.desc("audit"))):
         rank = F.row_number().over(W.partitionBy(*owner).orderBy(order))
@@ -539,7 +542,7 @@ def improvement(perf: DataFrame, by: Sequence[str] = (), window: int = 5) -> Dat
         )
     )
     counts = perf.groupBy(*owner).agg(F.count(F.lit(1)).alias("audits"))
-    joined = counts.join(means, owner) if owner else counts.join(F.broadcast(means))
+    joined = counts.join(means, owner)
     change = F.try_divide(F.col("late_efficiency") - F.col("early_efficiency"), F.col("early_efficiency")) * 100
     return joined.withColumn(
         "improvement_rate",
