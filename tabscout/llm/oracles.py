@@ -2,4 +2,39 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+_HASHES = """list_transform(
+    CASE WHEN len({words}) = 0 THEN []
+         WHEN len({words}) < 5 THEN [array_to_string({words}, ' ')]
+         ELSE list_transform(range(1, len({words}) - 3), lambda i: array_to_string({words}[i:i + 4], ' ')) END,
+    lambda s: substr(md5(s), 1, 16))"""
+_SKETCH = """CASE WHEN len(list_filter({h}, lambda x: x < '200000000000')) > 0
+         THEN list_sort(list_distinct(list_filter({h}, lambda x: x < '200000000000')))
+         WHEN len({h}) > 0 THEN [list_min({h})] ELSE [] END"""
+_NEAR = """CASE WHEN len({a}) + len({b}) = 0 THEN 1.0
+         ELSE len(list_intersect({a}, {b})) / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) END"""
+_PART = "CASE WHEN len({a}) = 0 THEN 1.0 ELSE len(list_intersect({a}, {b})) / len({a}) END"
+
+_FINGERPRINTS = f"""
+WITH plain AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+following AS (
+    SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id, text), first_value(text) OVER (ORDER BY doc_id, text)) AS next_text FROM plain
+),
+edits AS (
+    SELECT doc_id, text, substr(text, 1, length(text) - length(text) // 4) || substr(next_text, 1, length(text) // 4) AS edited FROM following
+),
+split AS (SELECT *, {_WORDS.format(text="text")} AS w, {_WORDS.format(text="edited")} AS ew FROM edits),
+hashed AS (SELECT doc_id, text, edited, {_HASHES.format(words="w")} AS h, {_HASHES.format(words="ew")} AS eh FROM split),
+sketched AS (SELECT doc_id, text, edited, {_SKETCH.format(h="h")} AS s, {_SKETCH.format(h="eh")} AS es FROM hashed),
+paired AS (
+    SELECT *, coalesce(lead(s) OVER (ORDER BY doc_id, text), first_value(s) OVER (ORDER BY doc_id, text)) AS ns FROM sketched
+)
+SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, array_to_string(s, '.') AS fingerprint,
+    array_to_string(es, '.') AS edited_fingerprint, {_NEAR.format(a="s", b="es")} AS near_edited, {_NEAR.format(a="s", b="ns")} AS near_next,
+    {_PART.format(a="s", b="es")} AS contained_edited, {_PART.format(a="s", b="ns")} AS contained_next
+FROM paired
+"""
+
+ORACLES: dict[str, str] = {
+    "op7_fingerprints": _FINGERPRINTS,
+}

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabscout.llm.fingerprint import contained, edited_neighbours, likeness
+from tabscout.llm.packing import pack
 from tabscout.llm.sharding import balanced_shards, text_bytes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +18,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file() -> str:
+    """The vocabulary file that the packing contract names; it is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in power-of-two pieces of at most 2048 tokens, one sequence each."""
+    return pack(table(spark, sf_dir, "documents"), tokenizer_file()).select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of every document and of its edited text, and how alike they are."""
+    rows = edited_neighbours(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id",
+        F.length("text").cast("bigint").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        F.array_join("sketch", ".").alias("fingerprint"),
+        F.array_join("edited_sketch", ".").alias("edited_fingerprint"),
+        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        contained(F.col("sketch"), F.col("edited_sketch")).alias("contained_edited"),
+        contained(F.col("sketch"), F.col("next_sketch")).alias("contained_next"),
+    )
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 contiguous shards of nearly equal bytes."""
     documents = table(spark, sf_dir, "documents").select(
@@ -35,5 +73,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY: dict[str, Query] = {
+    "op3_packing": op3_packing,
+    "op7_fingerprints": op7_fingerprints,
     "op10_sharding": op10_sharding,
 }
