@@ -39,10 +39,10 @@ def with_next(df: DataFrame, key: str, text: str, derive: Callable[[DataFrame],
     """
     ranges = RANGES_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     at, firsts = in_ranges(df, key, ranges)
-    name, none = F.col(f"`{key}`"), F.lit(None).cast("int")
-    home = none
-    for (before, _), (_, first) in zip([firsts[-1], *firsts[:-1]] if firsts else [], firsts, strict=True):
-        home = F.when(name.isNull() if first is None else name == F.lit(first), before).otherwise(home)
+    name, before = F.col(f"`{key}`"), [-1] * ranges
+    for (previous, _), (own, _) in zip([firsts[-1], *firsts[:-1]] if firsts else [], firsts, strict=True):
+        before[own] = previous
+    home = F.get(F.array(*[F.lit(x) for x in before]), at)
     present = [f for _, f in firsts if f is not None]
     chosen = name.isin(present) | name.isNull() if len(present) < len(firsts) else name.isin(present)
     rows = df.withColumn("range", at).withColumn("halo", F.lit(0)).unionByName(
