@@ -28,7 +28,7 @@ class WordEncoder:
     ``words`` bounds the memory: with so many remembered, all are forgotten.
     """
 
-    def __init__(self, path: str, words: int = 400_000):
+    def __init__(self, path: str, words: int = 800_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -42,7 +42,7 @@ class WordEncoder:
             self._bytes[number] = len(token)
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, _ID)
+        return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, _ID)
 
     def _learn(self, words: Sequence[str]) -> None:
         """Encodes many words as one text and cuts the ids where the words end."""
@@ -64,7 +64,7 @@ class WordEncoder:
         for parts in split:
             missing.update(parts[1:])
         block, length = [], 0
-        for word in missing - known.keys():
+        for word in missing.difference(known):
             if not word or word[-1].isspace():  # could run into its neighbour in a joined text
                 known[word] = self._ids(f" {word}").tobytes()
                 continue
