@@ -35,6 +35,127 @@ SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256,
 FROM paired
 """
 
+# The twin states its own notices, and two licences by the digest of their canonical text.
+_NOTICES = (
+    ("licensed under the apache license version 2 0", "Apache-2.0"),
+    ("licensed under the apache license version 2 0 the license", "Apache-2.0"),
+    ("released under the mit license", "MIT"),
+    ("licensed under the mit license", "MIT"),
+    ("this work is licensed under the gnu general public license version 3", "GPL-3.0-only"),
+    ("this work is licensed under the gnu general public license version 2", "GPL-2.0-only"),
+    ("licensed under cc by 4 0", "CC-BY-4.0"),
+    ("licensed under cc by sa 4 0", "CC-BY-SA-4.0"),
+    ("licensed under cc by nc 4 0", "CC-BY-NC-4.0"),
+    ("released under cc0 1 0", "CC0-1.0"),
+    ("spdx license identifier apache 2 0", "Apache-2.0"),
+    ("spdx license identifier mit", "MIT"),
+    ("spdx license identifier gpl 3 0 only", "GPL-3.0-only"),
+)
+_PLAIN = "translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+for _found, _put in (
+    ("©", "(c)"),
+    ("&", " and "),
+    ("licence", "license"),
+    ("licencing", "licensing"),
+    ("sub-license", "sublicense"),
+    ("sub license", "sublicense"),
+    ("non-infringement", "noninfringement"),
+    ("non-commercial", "noncommercial"),
+    ("organis", "organiz"),
+    ("authoris", "authoriz"),
+    ("recognis", "recogniz"),
+    ("favour", "favor"),
+    ("behaviour", "behavior"),
+    ("acknowledgement", "acknowledgment"),
+    ("copyright owner", "copyright holder"),
+):
+    _PLAIN = f"replace({_PLAIN}, '{_found}', '{_put}')"
+_OWNER = (
+    r"^(portions )?(copyright (c|[0-9]{4}|year|yyyy|by|the regents)|c (copyright )?([0-9]{4}|year|yyyy))( .*)?$|^all rights reserved( .*)?$"
+)
+_PLAIN = (
+    f"trim(regexp_replace(translate({_PLAIN}, '“”‘’«»‐–—', '         '), "
+    + r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' ')"
+)
+_CASES = " ".join(f"WHEN '{line}' THEN '{name}'" for line, name in _NOTICES)
+_LICENSES = (
+    "WITH lines AS (SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '\\r\\n|\\r|\\n'), "
+    + f"lambda l: regexp_replace({_PLAIN}, '{_OWNER}', '')), lambda l: l <> '') AS ls FROM documents), "
+    + f"found AS (SELECT doc_id, array_to_string(ls, ' ') AS whole, "
+    + f"list_filter(list_transform(ls, lambda l: CASE l {_CASES} END), lambda n: n IS NOT NULL) AS n FROM lines) "
+    + "SELECT doc_id, CASE WHEN whole <> '' THEN md5(whole) END AS canonical_digest, length(whole)::BIGINT AS canonical_chars, "
+    + "CASE md5(whole) WHEN '90a17991c3ba7b04d183a6467fbe3449' THEN 'MIT' WHEN '11126b2fe3260ba89f3cc1853190e911' THEN 'Apache-2.0' END AS license, "
+    + "array_to_string(list_sort(list_distinct(n)), ',') AS notices, len(n)::BIGINT AS n_notice_lines FROM found"
+)
+
+_ROUND = """,
+{new} AS MATERIALIZED (
+    SELECT c.* REPLACE (weight * coalesce(t_{d} * total / nullif(sum(tokens * weight) OVER (PARTITION BY {d}), 0), 1.0) AS weight)
+    FROM {old} c
+)"""
+
+
+def _mixing(source: str = "documents", rounds: int = 5) -> str:
+    """The fitting written out: one table per step."""
+    dims = ("source", "lang", "topic")
+    steps, old = "", "c0"
+    for i in range(rounds):
+        for d in dims:
+            steps += _ROUND.format(new=f"c{i}_{d}", old=old, d=d)
+            old = f"c{i}_{d}"
+    wanted = ", ".join(f"({d}_p / sum({d}_p / {d}_n) OVER ()) AS t_{d}" for d in dims)
+    powers = ", ".join(
+        f"sqrt(sum(tokens) OVER (PARTITION BY {d})::DOUBLE) AS {d}_p, count(*) OVER (PARTITION BY {d}) AS {d}_n" for d in dims
+    )
+    return f"""
+WITH r AS MATERIALIZED (
+    SELECT doc_id, source, lang,
+        CASE WHEN contains(coalesce(text, ''), 'icense') THEN 'notice' WHEN contains(coalesce(text, ''), '@') THEN 'contact'
+             WHEN length(coalesce(text, '')) < 1000 THEN 'short' WHEN length(text) < 4000 THEN 'article' ELSE 'long' END AS topic,
+        len({_WORDS.format(text="coalesce(text, '')")})::BIGINT AS n_tokens
+    FROM {source}
+),
+cells AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS tokens FROM r GROUP BY ALL),
+p AS MATERIALIZED (SELECT *, {powers} FROM cells),
+c0 AS MATERIALIZED (SELECT source, lang, topic, tokens, 1.0::DOUBLE AS weight, sum(tokens) OVER ()::DOUBLE AS total, {wanted} FROM p){steps}
+SELECT r.doc_id, r.source, r.lang, r.topic, r.n_tokens, round(c.weight, 9) AS weight, round(least(c.weight / m.most, 1.0), 9) AS probability,
+    ('0x' || substr(md5('0|' || r.doc_id::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0 < least(c.weight / m.most, 1.0) AS kept
+FROM r JOIN {old} c ON r.source IS NOT DISTINCT FROM c.source AND r.lang IS NOT DISTINCT FROM c.lang AND r.topic = c.topic
+CROSS JOIN (SELECT max(weight) AS most FROM {old} WHERE tokens > 0) m
+"""
+
+
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {1 + 5 * g}, 5))::BIGINT >> {s}) & 31)::BIGINT, 1)"
+    for g in range(8)
+    for s in (15, 10, 5, 0)
+)
+_WARC = f"""
+WITH hashed AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+kept AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS original FROM hashed)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+    CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> original THEN original END AS refers_to
+FROM kept
+"""
+
+_NEAREST = """
+WITH v AS (
+    SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+    FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+"""
+
 ORACLES: dict[str, str] = {
+    "op2_mixing": _mixing(),
+    "op4_warc": _WARC,
+    "op5_nearest": _NEAREST,
+    "op6_licenses": _LICENSES,
     "op7_fingerprints": _FINGERPRINTS,
 }

@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabscout.llm.fingerprint import contained, edited_neighbours, likeness
+from tabscout.llm.licenses import scan_licenses
+from tabscout.llm.mixing import mix
+from tabscout.llm.ordinal import fit_grades, grade, quality_grade
 from tabscout.llm.packing import pack
 from tabscout.llm.sharding import balanced_shards, text_bytes
+from tabscout.llm.vantage import nearest
+from tabscout.llm.warc import round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raked weights and sampling probabilities of all documents by source, language and topic."""
+    return mix(table(spark, sf_dir, "documents")).withColumns(
+        {c: F.round(c, 9) for c in ("weight", "probability")}  # sums of doubles differ in the last digits
+    )
+
+
 def tokenizer_file() -> str:
     """The vocabulary file that the packing contract names; it is installed on every machine."""
     import public_tokenizers
@@ -38,6 +50,22 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives with revisit records, and what the archives say of each."""
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest other rows of every vector whose id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents that are a known licence text, and licence notices inside documents."""
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of every document and of its edited text, and how alike they are."""
     rows = edited_neighbours(table(spark, sf_dir, "documents"))
@@ -54,6 +82,14 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and probability of the highest grade for every document."""
+    documents = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", quality_grade(F.col("quality"), F.col("toxic")).alias("grade"))
+    graded = grade(documents.select("doc_id", "text"), fit_grades(documents, labels))
+    return graded.select("doc_id", "expected_grade", "tail_probability", (F.col("tail_probability") >= 0.5).alias("kept"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 contiguous shards of nearly equal bytes."""
     documents = table(spark, sf_dir, "documents").select(
@@ -73,7 +109,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY: dict[str, Query] = {
+    "op2_mixing": op2_mixing,
     "op3_packing": op3_packing,
+    "op4_warc": op4_warc,
+    "op5_nearest": op5_nearest,
+    "op6_licenses": op6_licenses,
     "op7_fingerprints": op7_fingerprints,
+    "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
 }
