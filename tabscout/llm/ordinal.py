@@ -162,7 +162,7 @@ def fit_grades(docs: DataFrame, labels: DataFrame, levels: int = 3, sample: int
         return pa.table([pa.array([b], pa.binary()) for b in blobs], ["hashes", "weights", "thresholds"])
 
     names = ["_key", "grade", "found", "one"]
-    schema = T.StructType([joined.schema["_key"], joined.schema["grade"]]).add("found", "binary").add("one", "int")
+    schema = T.StructType([joined.schema["_key"], joined.schema["grade"]]).add("found", T.BinaryType()).add("one", T.IntegerType())
     fitted = joined.select("_key", "grade", "text").mapInArrow(hashed, schema)
     row = fitted.groupBy("one").applyInArrow(fit, "hashes binary, weights binary, thresholds binary").first()
     if row is None:

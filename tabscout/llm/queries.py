@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabscout.llm.fingerprint import contained, edited_neighbours, likeness
 from tabscout.llm.licenses import scan_licenses
+from tabscout.llm.minhash import near_duplicates
 from tabscout.llm.mixing import mix
 from tabscout.llm.ordinal import fit_grades, grade, quality_grade
 from tabscout.llm.packing import pack
@@ -82,6 +83,11 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by 0.8 of their pairs of words."""
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade and probability of the highest grade for every document."""
     documents = table(spark, sf_dir, "documents")
@@ -115,6 +121,7 @@ REGISTRY: dict[str, Query] = {
     "op5_nearest": op5_nearest,
     "op6_licenses": op6_licenses,
     "op7_fingerprints": op7_fingerprints,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
 }
