@@ -14,8 +14,10 @@ from tabscout.llm.mixing import mix
 from tabscout.llm.ordinal import fit_grades, grade, quality_grade
 from tabscout.llm.packing import pack
 from tabscout.llm.sharding import balanced_shards, text_bytes
+from tabscout.llm.substring import remove_repeats
 from tabscout.llm.vantage import nearest
 from tabscout.llm.warc import round_trip
+from tabscout.llm.words import words
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 13-word windows that earlier documents have."""
+    kept = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.array_join(words(F.col("text")), " "), 256).alias("kept_sha256")
+    )
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raked weights and sampling probabilities of all documents by source, language and topic."""
     return mix(table(spark, sf_dir, "documents")).withColumns(
@@ -115,6 +125,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY: dict[str, Query] = {
+    "op1_substring": op1_substring,
     "op2_mixing": op2_mixing,
     "op3_packing": op3_packing,
     "op4_warc": op4_warc,
