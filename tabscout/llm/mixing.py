@@ -12,8 +12,8 @@ from tabscout.llm.words import words
 
 #: Rounds of fitting; one round adjusts every dimension once.
 ROUNDS = 5
-#: Exponent of the production targets: 1 keeps the corpus as it is, 0 makes all values equal.
-TEMPER = 0.5
+#: Exponents of the production targets: 1 keeps a dimension as it is, 0 makes its values equal.
+TEMPER = {"source": 0.7, "lang": 0.7, "topic": 1.0}
 _DIGITS = 13
 
 
@@ -83,7 +83,7 @@ def mix(
     topic: Column | None = None,
     dimensions: Sequence[str] = ("source", "lang", "topic"),
     targets: Mapping[str, DataFrame] | None = None,
-    temper: float = TEMPER,
+    temper: Mapping[str, float] = TEMPER,
     rounds: int = ROUNDS,
     seed: int = 0,
     key: str = "doc_id",
@@ -96,7 +96,7 @@ def mix(
     largest weight, so kept tokens meet the targets in expectation and none is
     kept twice. The draw is a hash of key and seed: the same in every run, for
     copies of a row alike. ``targets`` gives shares per dimension, else they are
-    the corpus shares to the power ``temper``. Null texts have no tokens; null
+    the corpus shares to the power that ``temper`` names (1 if none). Null texts have no tokens; null
     values of a dimension form a group of their own. No documents, no rows.
     """
     topic = form_topic(F.col("text")) if topic is None else topic
@@ -111,7 +111,7 @@ def mix(
     )
     cells = settle(rows.groupBy(*dimensions).agg(F.sum("n_tokens").alias("tokens")))
     if targets is None:
-        targets = {d: tempered_shares(cells, d, "tokens", temper) for d in dimensions}
+        targets = {d: tempered_shares(cells, d, "tokens", temper.get(d, 1.0)) for d in dimensions}
     fitted = rake(cells, targets, rounds=rounds)
     largest = F.lit(_number(fitted.where("tokens > 0").agg(F.max("weight"))))
     fitted = fitted.select(

@@ -104,8 +104,9 @@ def _mixing(source: str = "documents", rounds: int = 5) -> str:
             steps += _ROUND.format(new=f"c{i}_{d}", old=old, d=d)
             old = f"c{i}_{d}"
     wanted = ", ".join(f"({d}_p / sum({d}_p / {d}_n) OVER ()) AS t_{d}" for d in dims)
+    temper = {"source": 0.7, "lang": 0.7, "topic": 1.0}
     powers = ", ".join(
-        f"sqrt(sum(tokens) OVER (PARTITION BY {d})::DOUBLE) AS {d}_p, count(*) OVER (PARTITION BY {d}) AS {d}_n" for d in dims
+        f"pow(sum(tokens) OVER (PARTITION BY {d})::DOUBLE, {temper[d]}) AS {d}_p, count(*) OVER (PARTITION BY {d}) AS {d}_n" for d in dims
     )
     return f"""
 WITH r AS MATERIALIZED (

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+from tabscout.llm.defaults import table, tokenizer_file
 from tabscout.llm.fingerprint import contained, edited_neighbours, likeness
 from tabscout.llm.licenses import scan_licenses
 from tabscout.llm.minhash import near_duplicates
@@ -22,10 +24,6 @@ from tabscout.llm.words import words
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of 13-word windows that earlier documents have."""
     kept = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -41,13 +39,6 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tokenizer_file() -> str:
-    """The vocabulary file that the packing contract names; it is installed on every machine."""
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in power-of-two pieces of at most 2048 tokens, one sequence each."""
     return pack(table(spark, sf_dir, "documents"), tokenizer_file()).select(
@@ -135,4 +126,5 @@ REGISTRY: dict[str, Query] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
+    "pipeline": corpus_pipeline.run,
 }
