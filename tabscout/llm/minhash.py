@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
         labels = components(links.union(more), labels)
 
     found = classes.join(labels, "id", "left").select("same", F.coalesce("label", "id").alias("component"))
-    component = F.coalesce("component", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return signed.select("id", "n", "same").join(found, "same", "left").select(
         F.col("id").alias(key),
         F.col("n").alias("n_shingles"),

@@ -123,10 +123,12 @@ def passages(block: Block, number: int, n: int, wanted: Iterable[tuple[bytes, by
     for targets, found in wanted:
         chosen.append((np.frombuffer(targets, np.int32), at[np.searchsorted(known, np.frombuffer(found, np.uint64))]))
     targets, at = np.concatenate([t for t, _ in chosen]), np.concatenate([p for _, p in chosen])
+    if not len(at):
+        return
     order = np.lexsort((at, targets))
     targets, at = targets[order], at[order]
     joined = (targets[1:] == targets[:-1]) & (at[1:] == at[:-1] + 1) & (rows[at[1:]] == rows[at[:-1]])
-    begins = np.flatnonzero(np.concatenate([[True], ~joined])) if len(at) else []
+    begins = np.flatnonzero(np.concatenate([[True], ~joined]))
     ends = [*begins[1:], len(at)]
     for begin, end in zip(begins, ends, strict=True):
         row, start = rows[at[begin]], starts[at[begin]]
