@@ -15,6 +15,9 @@ from tabscout.schema import as_number, as_text, blocks, melt, union_all
 # Columns unpivoted in one pass; more columns mean more passes, each of which
 # reads its own columns only.
 _COLUMNS_PER_PASS = 40
+# Ordered buckets of a feature's values: a square, for the search in two steps.
+_STEP = 16
+_BUCKETS = _STEP * _STEP
 
 
 def value_counts(
@@ -39,9 +42,6 @@ def rank_sums(
     df: DataFrame,
     fields: Sequence[T.StructField],
     label: Column,
-    rows: int,
-    direct_rows: int = 100_000,
-    bucket_rows: int = 1_000_000,
 ) -> DataFrame:
     """``feature, class, n, rank_sum, tie_sum``: mid-rank sums of each class.
 
@@ -59,18 +59,15 @@ def rank_sums(
         .groupBy("feature", "value", "class")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    if rows > direct_rows:
-        coarse = 16
-        steps = [i / coarse for i in range(coarse + 1)]
-        sketches = union_all([melt(df, {n: numbers[n] for n in b}) for b in named]).groupBy("feature").agg(
-            F.percentile_approx("value", steps, 1000).alias("edges")
-        )
-        fine = max(1, rows // (coarse * bucket_rows))
-        counted = counted.join(F.broadcast(sketches), "feature").withColumn(
-            "bucket", _ordered_bucket(F.col("value"), F.col("edges"), coarse, fine)
-        )
-    else:
-        counted = counted.withColumn("bucket", F.lit(0))
+    steps = [i / _BUCKETS for i in range(_BUCKETS + 1)]
+    sketches = union_all([melt(df, {n: numbers[n] for n in b}) for b in named]).groupBy("feature").agg(
+        F.percentile_approx("value", steps, 10 * _BUCKETS).alias("edges")
+    )
+    counted = (
+        counted.join(F.broadcast(sketches), "feature")  # one row per feature
+        .withColumn("coarse", _below(F.col("value"), F.lit(0), _STEP) * _STEP)
+        .withColumn("bucket", F.col("coarse") + _below(F.col("value"), F.col("coarse"), 1))
+    )
     within = W.partitionBy("feature", "bucket")
     tie = F.sum("n").over(W.partitionBy("feature", "bucket", "value"))
     upto = F.sum("n").over(within.orderBy("value"))
@@ -97,17 +94,12 @@ def rank_sums(
     )
 
 
-def _ordered_bucket(value: Column, edges: Column, coarse: int, fine: int) -> Column:
-    """A bucket number that never falls as the value rises.
+def _below(value: Column, offset: Column, step: int) -> Column:
+    """How many of fifteen of the ``edges``, ``step`` apart from ``offset`` on, lie below the value.
 
-    Quantile edges choose the coarse bucket, the position between two edges the
-    fine one. Sketched edges may be inexact: any edges keep the order.
+    Done with wide and then with narrow steps, this finds the value's bucket among
+    quantile edges: buckets hold about equally many rows and never fall as the
+    value rises. Sketched edges may be inexact: any edges keep the order.
     """
-    place = reduce(
-        lambda a, b: a + b, [(F.get(edges, F.lit(i)) < value).cast("int") for i in range(1, coarse)]
-    )
-    if fine == 1:
-        return place
-    low, high = F.element_at(edges, place + 1), F.element_at(edges, place + 2)
-    part = F.floor(F.coalesce(F.try_divide(value - low, high - low), F.lit(0.0)) * fine)
-    return place * fine + F.greatest(F.lit(0), F.least(F.lit(fine - 1), part)).cast("int")
+    places = [F.get("edges", offset + F.lit(i * step)) for i in range(1, _STEP)]
+    return reduce(lambda a, b: a + b, [(edge < value).cast("int") for edge in places])

@@ -36,45 +36,43 @@ def hash_fold(key: Column, seed: int, folds: int) -> Column:
 
 
 def first_by_hash(
-    df: DataFrame, key: Column, quotas: DataFrame, seed: int, stratum: str = "stratum"
+    df: DataFrame, key: Column, quotas: DataFrame, seed: int, stratum: Column
 ) -> DataFrame:
     """The ``quota`` rows of each stratum whose seeded key digest is smallest.
 
-    ``quotas`` is ``stratum, quota`` (one row per stratum, so small); ``df``
-    carries the ``stratum`` column. A histogram of digest prefixes, at most
-    16**4 counters a stratum, finds where each quota is reached. Only rows up
-    to that prefix are ranked, so neither the table nor a hot stratum is ever
-    sorted: the window sees the quota plus one prefix worth of rows.
+    ``quotas`` is ``stratum, quota``. A histogram of digest prefixes, at most
+    16**4 counters a stratum, finds the prefix at which each quota is reached:
+    rows below it are taken as they are, and ranks are only needed among equal
+    prefixes, so no window holds more than one prefix of one stratum. Rows
+    travel as one struct, so columns of any name come back untouched.
     """
-    digest, prefix = "_digest", "_prefix"
-    hashed = df.withColumn(digest, seeded_md5(key, seed)).withColumn(
-        prefix, F.substring(digest, 1, _PREFIX_DIGITS)
+    digest = seeded_md5(key, seed)
+    hashed = df.select(F.struct("*").alias("row"), stratum.alias("stratum"), digest.alias("digest")).withColumn(
+        "prefix", F.substring("digest", 1, _PREFIX_DIGITS)
     )
-    same = F.col(f"h.{stratum}").eqNullSafe(F.col(f"q.{stratum}"))
-    histogram = hashed.groupBy(stratum, prefix).agg(F.count(F.lit(1)).alias("n"))
+    same = F.col("h.stratum").eqNullSafe(F.col("q.stratum"))
+    histogram = hashed.groupBy("stratum", "prefix").agg(F.count(F.lit(1)).alias("n"))
     running = F.sum("n").over(
-        W.partitionBy(stratum).orderBy(prefix).rowsBetween(W.unboundedPreceding, 0)
+        W.partitionBy("stratum").orderBy("prefix").rowsBetween(W.unboundedPreceding, 0)
     )
     cuts = (
         histogram.alias("h")
-        .join(F.broadcast(quotas.alias("q")), same)
-        .select(F.col(f"h.{stratum}").alias(stratum), prefix, "n", "quota")
+        .join(quotas.alias("q"), same)
+        .select("h.stratum", "prefix", "n", "quota")
         .withColumn("reached", running)
-        .groupBy(stratum)
+        .where(F.col("reached") - F.col("n") < F.col("quota"))
+        .groupBy("stratum")
         .agg(
-            F.max("quota").alias("quota"),
-            F.coalesce(
-                F.min(F.when(F.col("reached") >= F.col("quota"), F.col(prefix))),
-                F.lit("g"),
-            ).alias("cut"),
+            F.max("prefix").alias("cut"),
+            F.max_by(F.col("quota") - F.col("reached") + F.col("n"), "prefix").alias("wanted"),
         )
     )
-    rank = F.row_number().over(W.partitionBy(stratum).orderBy(digest))
+    rank = F.row_number().over(W.partitionBy("stratum", "prefix").orderBy("digest"))
     return (
         hashed.alias("h")
-        .join(F.broadcast(cuts.alias("q")), same & (F.col(f"h.{prefix}") <= F.col("q.cut")))
-        .select("h.*", "q.quota")
-        .withColumn("_rank", rank)
-        .where(F.col("_rank") <= F.col("quota"))
-        .drop(digest, prefix, "_rank", "quota")
+        .join(cuts.alias("q"), same & (F.col("h.prefix") <= F.col("q.cut")))
+        .select("h.row", "h.stratum", "h.prefix", "h.digest", "q.cut", "q.wanted")
+        .withColumn("rank", rank)
+        .where((F.col("prefix") < F.col("cut")) | (F.col("rank") <= F.col("wanted")))
+        .select("row.*")
     )

@@ -20,8 +20,6 @@ from tabscout.schema import blocks, empty, melt, union_all
 SCHEMA = "feature string, prob double, value double"
 
 _ACCURACY = 1_000
-# A column with at most this many rows is counted value by value directly.
-_DIRECT_ROWS = 100_000
 # A bracket with more rows than this is narrowed further.
 _BRACKET_ROWS = 1_000_000
 _COLUMNS_PER_PASS = 40
@@ -42,26 +40,27 @@ def _brackets(
     cells: dict[str, Column],
     sizes: dict[str, int],
     probs: Sequence[float],
-    direct_rows: int,
     bracket_rows: int,
 ) -> dict[str, list[tuple[float, float]]]:
-    """Intervals that hold every wanted order statistic of the large columns."""
-    large = [n for n in cells if sizes[n] > direct_rows]
-    if not large:
-        return {}
-    # Twice the sketch's rank error, and the neighbour rank interpolation needs.
-    pad = 2 / _ACCURACY + 3 / direct_rows
-    ends = [e for p in probs for e in (max(0.0, p - pad), min(1.0, p + pad))]
-    found = union_all(
-        [melt(df, {n: cells[n] for n in b}) for b in blocks(large, _COLUMNS_PER_PASS)]
-    ).groupBy("feature").agg(F.percentile_approx("value", ends, _ACCURACY).alias("ends"))
-    first = {
-        (r["feature"], p): (r["ends"][2 * i], r["ends"][2 * i + 1])
-        for r in found.collect()
-        for i, p in enumerate(probs)
-    }
-    wide = 2 * (pad + 1 / _ACCURACY)
-    crowded = {k: b for k, b in first.items() if sizes[k[0]] * wide > bracket_rows and b[0] < b[1]}
+    """Intervals that hold every wanted order statistic of every column."""
+    first: dict[tuple[str, float], tuple[float, float]] = {}
+    crowded: dict[tuple[str, float], tuple[float, float]] = {}
+    # Columns of like size share a pass: the shortest one sets how wide brackets are.
+    for names in blocks(sorted(cells, key=lambda n: sizes[n]), _COLUMNS_PER_PASS):
+        # Twice the sketch's rank error, and the neighbour rank interpolation needs;
+        # the brackets of a short column hold all of it.
+        pad = 2 / _ACCURACY + 3 / sizes[names[0]]
+        ends = [e for p in probs for e in (max(0.0, p - pad), min(1.0, p + pad))]
+        found = melt(df, {n: cells[n] for n in names}).groupBy("feature").agg(
+            F.percentile_approx("value", ends, _ACCURACY).alias("ends")
+        )
+        wide = 2 * (pad + 1 / _ACCURACY)
+        for r in found.collect():
+            for i, p in enumerate(probs):
+                bracket = (r["ends"][2 * i], r["ends"][2 * i + 1])
+                first[r["feature"], p] = bracket
+                if sizes[r["feature"]] * wide > bracket_rows and bracket[0] < bracket[1]:
+                    crowded[r["feature"], p] = bracket
     narrowed = {**first, **_narrow(df, cells, sizes, crowded, bracket_rows)}
     merged: dict[str, list[tuple[float, float]]] = {}
     for (name, _), bracket in narrowed.items():
@@ -140,7 +139,6 @@ def quantiles(
     cells: dict[str, Column],
     sizes: dict[str, int],
     probs: Sequence[float],
-    direct_rows: int = _DIRECT_ROWS,
     bracket_rows: int = _BRACKET_ROWS,
 ) -> DataFrame:
     """``feature, prob, value`` with linear interpolation between neighbours.
@@ -151,12 +149,8 @@ def quantiles(
     cells = {n: c for n, c in cells.items() if sizes[n] > 0}
     if not cells:
         return empty(df.sparkSession, SCHEMA)
-    brackets = _brackets(df, cells, sizes, probs, direct_rows, bracket_rows)
-    small = [n for n in cells if n not in brackets]
+    brackets = _brackets(df, cells, sizes, probs, bracket_rows)
     parts = []
-    for names in blocks(small, _COLUMNS_PER_PASS):
-        long = melt(df, {n: cells[n] for n in names}).where("value IS NOT NULL")
-        parts.append(long.select("feature", F.col("value").alias("position")))
     for names in blocks(list(brackets), _COLUMNS_PER_PASS):
         long = melt(df, {n: cells[n] for n in names}).where("value IS NOT NULL")
         parts.append(_compressed(long, {n: brackets[n] for n in names}))
@@ -194,10 +188,9 @@ def quantile_values(
     cells: dict[str, Column],
     sizes: dict[str, int],
     probs: Sequence[float],
-    direct_rows: int = _DIRECT_ROWS,
 ) -> dict[str, list[float]]:
     """The same on the driver: features x probabilities numbers, no data rows."""
     found: dict[str, dict[float, float]] = {}
-    for r in quantiles(df, cells, sizes, probs, direct_rows).collect():
+    for r in quantiles(df, cells, sizes, probs).collect():
         found.setdefault(r["feature"], {})[r["prob"]] = r["value"]
     return {name: [by_prob[float(p)] for p in probs] for name, by_prob in found.items()}

@@ -157,7 +157,7 @@ def measure_kruskal(t: LabelledTable) -> DataFrame:
             t.spark,
             "feature string, n bigint, groups bigint, statistic double, p_value double, effect_size double",
         )
-    sums = rank_sums(t.df, t.numeric, t.label, t.rows)
+    sums = rank_sums(t.df, t.numeric, t.label)
     per_feature = sums.groupBy("feature").agg(
         F.sum("n").alias("n"),
         F.count(F.lit(1)).alias("groups"),
@@ -355,12 +355,17 @@ def _skewed_names(t: LabelledTable, threshold: float = 5) -> list[str]:
     return [r["feature"] for r in skewed.select("feature").collect()]
 
 
-def check_bias(t: LabelledTable) -> DataFrame:
-    """All bias findings of one table."""
-    parts = [flag_classes(t)]
+def check_bias(t: LabelledTable, whole: LabelledTable | None = None, max_labels: int = 50) -> DataFrame:
+    """All bias findings of one table.
+
+    Where ``t`` is a sample, ``whole`` is the table it was drawn from: class
+    balance and sample sizes are counted there. Distribution shift is tested up
+    to ``max_labels`` labels, a missing label counting as one.
+    """
+    parts = [flag_classes(whole or t)]
     summary = t.class_summary
     labels = summary["classes"] + (1 if summary["unlabelled"] else 0)
-    if 2 <= labels <= 50 and t.numeric:
+    if 2 <= labels <= max_labels and t.numeric:
         parts.append(flag_kruskal(measure_kruskal(t), dataset=t.name))
     if t.features:
         parts.append(emit(measure_missingness(t), *missingness_rules(dataset=t.name)))

@@ -242,20 +242,25 @@ def unit_vectors(
 def measure_near_duplicates_head(
     train: DataFrame,
     test: DataFrame,
-    order_by: Sequence[str],
+    key: Sequence[str],
     rows: int = 1000,
     threshold: float = 0.95,
     columns: Sequence[str] | None = None,
     vector: str | None = None,
     standardize: bool = False,
 ) -> DataFrame:
-    """Spot check of the first ``rows`` rows of each split, in key order.
+    """Spot check of ``rows`` rows of each split, those whose key digest is smallest.
 
     ``total, count, percentage, threshold, avg_similarity``. Both sides are
     bounded by the parameter, so the train side travels as one array value.
+    Rows that neighbour each other in some order would be too alike, hence the
+    digest; it needs ``key``.
     """
-    train = train.orderBy(*[column(k) for k in order_by]).limit(rows)
-    test = test.orderBy(*[column(k) for k in order_by]).limit(rows)
+    if not key:
+        raise ValueError("a spot check draws rows by key: name the key columns")
+    train, test = (
+        side.orderBy(row_md5(side, list(key)), *[column(k) for k in key]).limit(rows) for side in (train, test)
+    )
     sides = unit_vectors(train, test, columns, vector, standardize)
     if sides is None:
         return empty(
@@ -421,14 +426,15 @@ def check_contamination(
     train: DataFrame,
     test: DataFrame | None = None,
     key: Sequence[str] = (),
-    near_rows: int | None = 1000,
+    near_rows: int | None = None,
     standardize: bool = False,
     dataset: str = "table",
 ) -> DataFrame:
     """All contamination findings; without a test split only train duplicates.
 
-    ``near_rows`` bounds the cosine spot check as documented; None compares the
-    whole splits. Key overlap is reported only for columns named in ``key``.
+    Near duplicates are sought in the whole splits; ``near_rows`` asks for a spot
+    check of so many rows of each instead, drawn by a digest of ``key``. Key
+    overlap is reported only for columns named in ``key``.
     """
     parts = [flag_duplicates(measure_duplicates(train), "train", dataset)]
     if test is not None:
@@ -438,8 +444,7 @@ def check_contamination(
         if near_rows is None:
             near = measure_near_duplicates(train, test, standardize=standardize)
         else:
-            order = list(key) or train.columns
-            near = measure_near_duplicates_head(train, test, order, near_rows, standardize=standardize)
+            near = measure_near_duplicates_head(train, test, key, near_rows, standardize=standardize)
         parts.append(flag_near_duplicates(near, dataset=dataset))
         if key:
             parts.append(flag_key_overlap(measure_key_overlap(train, test, key), dataset))

@@ -34,9 +34,6 @@ TOOL_FACTS = (
     ("feature_utility", 0.3, 0.05),
 )
 DEFAULT_SKIP_THRESHOLD = 0.45
-# Halving weights vanish in a double long before this many audits.
-RECENT_LIMIT = 1000
-
 # Contingency plans as trigger, priority, remediation, confidence,
 # skipped tools, boosted tools, extra checks, goal, reasoning, recommendations.
 PLANS = (
@@ -317,11 +314,10 @@ def running_effectiveness(
 
     It starts from the first value itself, or from 0. Unrolled, it is a sum with
     weights 1/2, 1/4, ... from the newest value back, so it needs no sequential
-    pass: only the newest ``RECENT_LIMIT`` values have any weight in a double,
-    and Spark drops the others before the shuffle.
+    pass over the values; those beyond some thousand weigh nothing in a double.
     """
     newest = F.row_number().over(W.partitionBy(*keys).orderBy(*[F.desc(o) for o in order]))
-    recent = values.withColumn("age", newest).where(F.col("age") <= RECENT_LIMIT)
+    recent = values.withColumn("age", newest)
     total = F.sum(F.col("value") * F.pow(F.lit(0.5), F.col("age")))
     if from_first:
         total = total + F.max_by("value", "age") * F.pow(F.lit(0.5), F.max("age"))

@@ -47,7 +47,7 @@ def with_minority(df: DataFrame, name: str, count: int, seed: int = 42) -> DataF
     """Adds a 0/1 column with exactly ``count`` ones, spread by digest order."""
     quotas = df.sparkSession.createDataFrame([(0, count)], "stratum int, quota bigint")
     ones = first_by_hash(
-        df.select("id").withColumn("stratum", F.lit(0)), F.col("id").cast("string"), quotas, seed
+        df.select("id"), F.col("id").cast("string"), quotas, seed, F.lit(0)
     ).select("id", F.lit(1).alias(name))
     return df.join(ones, "id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
 

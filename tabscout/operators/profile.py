@@ -56,9 +56,8 @@ def profile(t: LabelledTable) -> DataFrame:
     width = len(fields)
     numeric = sum(isinstance(f.dataType, T.NumericType) for f in fields)
     textual = sum(isinstance(f.dataType, T.StringType) for f in fields)
-    gaps = F.lit(0)
-    for f in fields:
-        gaps = gaps + missing(f).cast("int")
+    # An array stays flat where a chain of sums would nest as deep as the table is wide.
+    gaps = F.size(F.filter(F.array(*[missing(f) for f in fields]), lambda gone: gone))
     by_class = t.df.groupBy(t.label.alias("class")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(gaps).alias("gaps")
     )

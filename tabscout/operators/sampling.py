@@ -69,8 +69,8 @@ def sample_columns(t: LabelledTable, budget: int = DEFAULT_COLUMNS) -> DataFrame
     return t.df.select(column(t.target), *[column(r["feature"]) for r in kept])
 
 
-def _draw(df: DataFrame, t: LabelledTable, quotas: DataFrame) -> DataFrame:
-    return first_by_hash(df, t.row_key, quotas, t.seed).drop("stratum")
+def _draw(df: DataFrame, t: LabelledTable, quotas: DataFrame, stratum: Column) -> DataFrame:
+    return first_by_hash(df, t.row_key, quotas, t.seed, stratum)
 
 
 def stratified_quotas(t: LabelledTable, size: int) -> DataFrame:
@@ -94,7 +94,7 @@ def stratified_quotas(t: LabelledTable, size: int) -> DataFrame:
 
 
 def stratified_sample(t: LabelledTable, size: int = DEFAULT_ROWS) -> DataFrame:
-    return _draw(t.df.withColumn("stratum", t.label), t, stratified_quotas(t, size))
+    return _draw(t.df, t, stratified_quotas(t, size), t.label)
 
 
 def _in_order(counts: DataFrame, wanted: Column, size: int) -> DataFrame:
@@ -122,8 +122,8 @@ def _numeric_fields(t: LabelledTable, with_target: bool) -> list[T.StructField]:
     ]
 
 
-def quantile_codes(t: LabelledTable, size: int = DEFAULT_ROWS, with_target: bool = True) -> DataFrame:
-    """The table plus ``stratum``: the sum of each row's quantile-bin numbers."""
+def quantile_code(t: LabelledTable, size: int = DEFAULT_ROWS, with_target: bool = True) -> Column:
+    """The sum of a row's quantile-bin numbers."""
     bins = min(10, max(5, size // 1000))
     fields = _numeric_fields(t, with_target)
     cells = {f.name: as_number(f) for f in fields}
@@ -134,16 +134,16 @@ def quantile_codes(t: LabelledTable, size: int = DEFAULT_ROWS, with_target: bool
     for name, found in edges.items():
         inner = sorted(set(found))[1:]
         code = code + F.coalesce(bin_number(cells[name], inner), F.lit(0))
-    return t.df.withColumn("stratum", code)
+    return code
 
 
 def quantile_sample(t: LabelledTable, size: int = DEFAULT_ROWS, with_target: bool = True) -> DataFrame:
     """An equal number of rows from every quantile code, tails included."""
-    coded = quantile_codes(t, size, with_target)
-    counts = coded.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+    code = quantile_code(t, size, with_target)
+    counts = t.df.groupBy(code.alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
     codes = F.count(F.lit(1)).over(W.partitionBy(F.lit(1)))
     wanted = F.greatest(F.lit(1), F.floor(F.lit(size) / codes))
-    return _draw(coded, t, _in_order(counts.withColumn("wanted", wanted), F.col("wanted"), size))
+    return _draw(t.df, t, _in_order(counts.withColumn("wanted", wanted), F.col("wanted"), size), code)
 
 
 def cluster_sample(
@@ -151,32 +151,33 @@ def cluster_sample(
 ) -> DataFrame:
     """Rows drawn from k-means clusters in proportion to cluster size."""
     k = min(20, max(5, size // 500))
+    row, key = F.struct("*").alias("row"), t.row_key.alias("key")
     if vector is not None:
         from pyspark.ml.functions import array_to_vector
 
-        ready = t.df.withColumn("_features", array_to_vector(column(vector).cast("array<double>")))
+        features = array_to_vector(column(vector).cast("array<double>")).alias("features")
+        ready = t.df.select(row, key, features)
     else:
         fields = _numeric_fields(t, with_target)
         means = t.df.agg(*[F.avg(as_number(f)).alias(f"m{i}") for i, f in enumerate(fields)]).first()
         cells = [
-            F.coalesce(as_number(f), F.lit(means[i] if means[i] is not None else 0.0)).alias(f"_x{i}")
+            F.coalesce(as_number(f), F.lit(means[i] if means[i] is not None else 0.0)).alias(f"x{i}")
             for i, f in enumerate(fields)
         ]
-        names = [f"_x{i}" for i in range(len(fields))]
-        ready = VectorAssembler(inputCols=names, outputCol="_features").transform(
-            t.df.select("*", *cells)
-        ).drop(*names)
-    model = KMeans(k=k, seed=t.seed, featuresCol="_features", predictionCol="stratum").fit(ready)
-    clustered = model.transform(ready).drop("_features")
+        names = [f"x{i}" for i in range(len(fields))]
+        ready = VectorAssembler(inputCols=names, outputCol="features").transform(t.df.select(row, key, *cells))
+    model = KMeans(k=k, seed=t.seed, featuresCol="features", predictionCol="stratum").fit(ready)
+    clustered = model.transform(ready).select("row", "key", "stratum")
     counts = clustered.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(W.partitionBy(F.lit(1)))
     wanted = F.greatest(F.lit(1), F.floor(F.col("n") / total * size))
-    return _draw(clustered, t, _in_order(counts.withColumn("wanted", wanted), F.col("wanted"), size))
+    quotas = _in_order(counts.withColumn("wanted", wanted), F.col("wanted"), size)
+    return first_by_hash(clustered, F.col("key"), quotas, t.seed, F.col("stratum")).select("row.*")
 
 
 def random_sample(t: LabelledTable, size: int = DEFAULT_ROWS) -> DataFrame:
     quotas = t.spark.createDataFrame([(0, size)], "stratum int, quota bigint")
-    return _draw(t.df.withColumn("stratum", F.lit(0)), t, quotas)
+    return _draw(t.df, t, quotas, F.lit(0))
 
 
 def adaptive_method(t: LabelledTable, with_target: bool = True) -> str:
@@ -198,8 +199,8 @@ def adaptive_sample(t: LabelledTable, size: int = DEFAULT_ROWS, with_target: boo
     method = adaptive_method(t, with_target)
     if method == "quantile":
         # Every row in one code leaves nothing to preserve.
-        coded = quantile_codes(t, size, with_target)
-        low, high = coded.agg(F.min("stratum"), F.max("stratum")).first()
+        code = quantile_code(t, size, with_target)
+        low, high = t.df.agg(F.min(code), F.max(code)).first()
         method = "quantile" if low != high else "cluster"
     if method == "stratified":
         return stratified_sample(t, size)

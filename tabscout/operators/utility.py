@@ -387,14 +387,8 @@ def information_from_counts(counts: DataFrame) -> DataFrame:
     )
 
 
-def information_bins(rows: int) -> int:
-    """Ten bins, fewer for a table with under fifty rows a bin."""
-    return min(10, max(4, rows // 50))
-
-
-def measure_information(t: LabelledTable, bins: int | None = None) -> DataFrame:
-    """Binned mutual information of every numeric feature with the class."""
-    bins = bins or information_bins(t.rows)
+def measure_information(t: LabelledTable, bins: int = 10) -> DataFrame:
+    """Mutual information of every numeric feature, in ``bins`` quantile bins, with the class."""
     if not t.numeric or not t.target_is_class:
         return empty(
             t.spark, "feature string, n bigint, mutual_information double, normalized_mi double"

@@ -9,7 +9,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscout.functions.lineage import settle
+from tabscout.functions.lineage import settle, stored
 from tabscout.operators import report as roll
 from tabscout.operators.bias import check_bias
 from tabscout.operators.contamination import check_contamination
@@ -20,7 +20,6 @@ from tabscout.operators.sampling import DEFAULT_ROWS, adaptive_sample, sample_co
 from tabscout.operators.spurious import check_spurious, flag_unstable, measure_relative_spread
 from tabscout.operators.utility import check_utility, recommended_removals
 from tabscout.schema import TOOLS, empty, FINDINGS, union_all
-from tabscout.sources.tables import fits_cores, spread_small
 from tabscout.table import LabelledTable
 
 
@@ -70,31 +69,30 @@ def audit(
     tools: tuple[str, ...] = TOOLS,
     forests: bool = True,
     single: str = "binned",
-    near_rows: int | None = 1000,
+    near_rows: int | None = None,
     encoded_target: bool = False,
     mi_units: str = "consistent",
     sample: int | None = None,
     max_columns: int | None = None,
     materialize: bool = True,
-    cache: bool | None = None,
+    cache: bool = False,
 ) -> AuditResult:
     """Audits a labelled table, or a train/test pair.
 
     Checks read the whole table. ``sample`` and ``max_columns`` opt in to the
-    row and column samplers for the bias and shortcut checks; the forest checks
+    row and column samplers for the bias and shortcut checks; the sample is written
+    once, and class counts always come from the whole table. The forest checks
     always train on at most 10 000 sampled rows. Rules that need exact row order
     use ``key``. The findings, a few rows per column, are written out once unless
-    ``materialize`` is False, as every roll-up reads them several times. A table
-    of at most one scan split per core is kept in memory meanwhile (``cache``).
+    ``materialize`` is False, as every roll-up reads them several times. ``cache``
+    keeps the table in memory until the findings are written.
     """
     unknown = set(tools) - set(TOOLS)
     if unknown:
         raise ValueError(f"unknown checks: {', '.join(sorted(unknown))}")
     whole = df if test is None else df.unionByName(test, allowMissingColumns=True)
-    if cache is None:
-        cache = fits_cores(whole)
     if cache:
-        whole = spread_small(whole).persist()
+        whole = whole.persist()
     if cache and test is None:
         df = whole
     t = LabelledTable(whole, target, tuple(key), name)
@@ -107,9 +105,10 @@ def audit(
 
     narrowed = t
     if max_columns is not None and len(t.features) > max_columns:
-        narrowed = LabelledTable(sample_columns(t, max_columns), target, _kept(t, max_columns), name)
+        columns = sample_columns(t, max_columns)
+        narrowed = LabelledTable(columns, target, t.key if all(k in columns.columns for k in t.key) else (), name)
     if sample is not None:
-        narrowed = LabelledTable(adaptive_sample(narrowed, sample), target, narrowed.key, name)
+        narrowed = LabelledTable(stored(adaptive_sample(narrowed, sample)), target, narrowed.key, name)
 
     def leakage() -> list[DataFrame]:
         return [check_leakage(t, mi_units), *([flag_encoded_target(t)] if encoded_target else [])]
@@ -122,7 +121,7 @@ def audit(
     checks = {
         "leakage_detector": leakage,
         "contamination_detector": lambda: [check_contamination(df, test, key, near_rows, dataset=name)],
-        "bias_detector": lambda: [check_bias(narrowed)],
+        "bias_detector": lambda: [check_bias(narrowed, t)],
         "spurious_detector": shortcuts,
         "feature_utility": lambda: [check_utility(t)],
     }
@@ -143,9 +142,3 @@ def audit(
         if cache:
             whole.unpersist()
     return AuditResult(t, findings, roll.executed_tools(df.sparkSession, name, tuple(run)))
-
-
-def _kept(t: LabelledTable, max_columns: int) -> tuple[str, ...]:
-    columns = sample_columns(t, max_columns).columns
-    return t.key if all(k in columns for k in t.key) else ()
-

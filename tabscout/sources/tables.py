@@ -29,30 +29,6 @@ def read_table(
     raise ValueError(f"unsupported format: {fmt}")
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """A table whose scan has fewer splits than there are cores, over all cores.
-
-    A small file is one task however many cores are free. Does nothing for a
-    table of real size, whose scan has enough splits by itself.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def fits_cores(df: DataFrame) -> bool:
-    """At most one split, so at most some 100 MB of file, for each core."""
-    return df.rdd.getNumPartitions() <= df.sparkSession.sparkContext.defaultParallelism
-
-
-def hold_small(df: DataFrame) -> DataFrame:
-    """A table that many checks will read, kept in memory if it is small.
-
-    Small means at most one scan split per core; anything larger is left to its
-    scan, which prunes columns on every pass.
-    """
-    return spread_small(df).persist() if fits_cores(df) else df
-
-
 def load_labelled(
     spark: SparkSession,
     path: str,
