@@ -9,7 +9,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabscout.functions.lineage import stored
 from tabscout.llm.components import components
@@ -22,6 +21,8 @@ ROWS, BANDS = 6, 42
 MINIMA = 256
 #: Standard errors that an estimate may lie below the threshold and still be confirmed.
 MARGIN = 6.0
+#: Members of a bucket's largest component that each member outside it is first compared with.
+CENTRES = 8
 
 
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
@@ -99,13 +100,12 @@ def signatures(docs: DataFrame, shingle: int, key: str = "doc_id") -> DataFrame:
     return docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col("text").alias("text")).mapInArrow(signed, schema)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, key: str) -> DataFrame:
-    """Of the pairs ``a, b`` those whose full sets have 100 * intersection >= percent * union.
+def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int, key: str) -> DataFrame:
+    """``id, hashes`` (sorted, binary) of the documents whose id is ``wanted``.
 
-    Only the texts of documents in pairs are made into sets again.
+    Texts are shuffled by id once, at every size in the same way: the wanted
+    ids grow with the corpus and are never sent to all tasks.
     """
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col("text").alias("text")).join(wanted, "id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -114,6 +114,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, key
                 found = [shingle_set(t, shingle).tobytes() for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "hashes"])
 
+    texts = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col("text").alias("text"))
+    return texts.join(wanted.hint("merge"), "id", "left_semi").mapInArrow(sets, "id bigint, hashes binary")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs ``a, b`` those whose full sets have 100 * intersection >= percent * union."""
+
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -123,11 +130,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, key
                 keep.append(100 * common >= percent * (len(one) + len(two) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    made = stored(texts.mapInArrow(sets, "id bigint, hashes binary").distinct())
-    left = pairs.join(made.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a")
-    return left.join(made.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(
-        compared, T.StructType([pairs.schema["a"], pairs.schema["b"]])
-    )
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a")
+    both = left.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(compared, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id") -> DataFrame:
@@ -141,11 +146,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     2. Representatives that share a band are candidates. Of each band's bucket
        every member is first compared with the member of smallest id: packed
        signatures sort out what cannot be similar, full sets decide.
-    3. Two members in one component need no comparison. In buckets that still
-       hold several components, each member outside the bucket's largest one is
-       compared with all members of other components, again by signature and
-       then in full. So a bucket of n copies costs n comparisons, and no pair of
-       a bucket goes unchecked unless a path already links it.
+    3. Two members in one component need no comparison. Where a bucket still
+       holds several components, members outside its largest one (strays) are
+       compared with ``CENTRES`` members of that one, spread by hash, which
+       settles all but a few of them.
+    4. Strays that are left are compared with every member of other components.
+       So a bucket of n copies costs some n comparisons, and no pair of a bucket
+       goes unchecked unless a path of links already joins it.
 
     Rows without an id take no part and are kept, with a null component. Null,
     empty and blank texts have an empty set and are linked with nothing. Rows
@@ -161,33 +168,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     buckets = stored(
         members.groupBy("band").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1")
     )
-    first = stored(
-        members.join(buckets, "band").where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    )
-    links = stored(confirmed(_plausible(first, classes, percent), docs, shingle, percent, key))
+    gathered = members.join(buckets, "band")
+    first = stored(gathered.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
+    sets = stored(full_sets(docs, first.select(F.col("a").alias("id")).union(first.select("b")).distinct(), shingle, key))
+    links = stored(confirmed(_plausible(first, classes, percent), sets, percent))
     labels = components(links)
 
-    crowded = members.join(buckets.where("members > 2").select("band"), "band")
-    labelled = crowded.join(labels, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
-    mixed_up = (
-        labelled.groupBy("band", "label")
-        .agg(F.count(F.lit(1)).alias("size"))
-        .groupBy("band")
-        .agg(F.max_by("label", F.struct("size", -F.col("label"))).alias("main"), F.count(F.lit(1)).alias("labels"))
-        .where("labels > 1")
-    )
-    unsettled = stored(labelled.join(mixed_up.select("band", "main"), "band"))
-    strays = unsettled.where("label <> main").select("band", F.col("id").alias("s"), F.col("label").alias("of"))
-    second = (
-        unsettled.join(strays, "band")
-        .where("label <> of AND (label = main OR s < id)")
-        .select(F.least("s", "id").alias("a"), F.greatest("s", "id").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
-    more = stored(confirmed(_plausible(second, classes, percent), docs, shingle, percent, key))
-    if more.limit(1).count():
-        labels = components(links.union(more), labels)
+    crowded = stored(gathered.where("members > 2").select("band", "id"))
+    open_ = _unsettled(crowded, labels)
+    salts = [F.min_by("id", F.xxhash64("id", F.lit(s))) for s in range(CENTRES)]
+    centres = open_.where("label = main").groupBy("band").agg(F.array_distinct(F.array(*salts)).alias("ids"))
+    strays = open_.where("label <> main")
+    second = stored(_new_pairs(strays.join(centres, "band").select("id", F.explode("ids").alias("other")), first))
+    more = stored(confirmed(_plausible(second, classes, percent), sets, percent))
+    links = links.union(more)
+    labels = components(links, labels)
+
+    open_ = _unsettled(crowded, labels)
+    strays = open_.where("label <> main").select("band", F.col("id").alias("other"), F.col("label").alias("of"))
+    rest = open_.join(strays, "band").where("label <> of AND (label = main OR other < id)").select("id", "other")
+    third = stored(_new_pairs(rest, first.union(second)))
+    more = stored(confirmed(_plausible(third, classes, percent), sets, percent))
+    labels = components(links.union(more), labels)
 
     found = classes.join(labels, "id", "left").select("same", F.coalesce("label", "id").alias("component"))
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
@@ -199,6 +201,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     )
 
 
+def _unsettled(crowded: DataFrame, labels: DataFrame) -> DataFrame:
+    """``band, id, label, main`` of the buckets that hold several components; ``main`` is the largest."""
+    labelled = crowded.join(labels, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
+    mixed_up = (
+        labelled.groupBy("band", "label")
+        .agg(F.count(F.lit(1)).alias("size"))
+        .groupBy("band")
+        .agg(F.max_by("label", F.struct("size", -F.col("label"))).alias("main"), F.count(F.lit(1)).alias("labels"))
+        .where("labels > 1")
+    )
+    return stored(labelled.join(mixed_up.select("band", "main"), "band"))
+
+
+def _new_pairs(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    """``a, b`` with a < b, each once and none that was compared before."""
+    ordered = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    return ordered.where("a <> b").distinct().join(tested, ["a", "b"], "left_anti")
+
+
 def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sizes allow the similarity and whose signatures do not rule it out."""
     one = classes.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))

@@ -19,7 +19,7 @@ from tabscout.llm.sharding import balanced_shards, text_bytes
 def test_mix_meets_the_targets(spark):
     texts = [prose(i, 20 + i % 50) for i in range(200)]
     docs = make(spark, texts)
-    rows = mix(docs).collect()
+    rows = mix(docs, rounds=3).collect()
     assert len(rows) == 200
     total = sum(r.n_tokens for r in rows)
     for dimension, power in (("source", 0.7), ("lang", 0.7), ("topic", 1.0)):
@@ -36,12 +36,12 @@ def test_mix_meets_the_targets(spark):
 
 
 def test_mix_edges(edge_docs, no_docs):
-    rows = mix(edge_docs).collect()
+    rows = mix(edge_docs, rounds=1).collect()
     assert len(rows) == edge_docs.count()
     assert all(0 <= r.probability <= 1 and r.kept is not None for r in rows)
     assert {r.n_tokens for r in rows if r.doc_id in (1, 2, 3)} == {0}
     assert len({(r.probability, r.kept) for r in rows if r.doc_id == 6}) <= 2
-    assert mix(no_docs).count() == 0
+    assert mix(no_docs, rounds=1).count() == 0
 
 
 def test_rake_with_given_targets(spark):
@@ -50,13 +50,13 @@ def test_rake_with_given_targets(spark):
         "s": spark.createDataFrame([("a", 0.5), ("b", 0.5)], "s string, share double"),
         "l": spark.createDataFrame([("x", 0.2), ("y", 0.4), (None, 0.4)], "l string, share double"),
     }
-    rows = rake(cells, targets, rounds=20).collect()
+    rows = rake(cells, targets, rounds=8).collect()
     by = defaultdict(float)
     for r in rows:
         by["s", r.s] += r.tokens * r.weight
         by["l", r.l] += r.tokens * r.weight
     for key, share in {("s", "a"): 50, ("s", "b"): 50, ("l", "x"): 20, ("l", "y"): 40, ("l", None): 40}.items():
-        assert by[key] == pytest.approx(share, rel=1e-2)
+        assert by[key] == pytest.approx(share, rel=2e-2)
 
 
 # Licences ----------------------------------------------------------------------------------
