@@ -31,10 +31,6 @@ from tabscout.table import LabelledTable
 
 TOOL = "feature_utility"
 
-# Tables up to this many numeric columns are correlated with native aggregates;
-# beyond it one Gram product per Arrow batch is several times cheaper per row.
-NATIVE_PAIR_COLUMNS = 6
-
 
 def measure_values(t: LabelledTable, features: Sequence[str] | None = None) -> DataFrame:
     """``feature, rows, distinct_values, top_count, top_value``, missing excluded.
@@ -211,58 +207,8 @@ def flag_low_variance(measure: DataFrame, threshold: float = 0.01, dataset: str
 PAIR_SUMS = "n double, sx double, sy double, sxx double, syy double, sxy double"
 
 
-def _native_pairs(t: LabelledTable, centred: dict[str, Column]) -> DataFrame:
-    """Pair sums in one scan per block; columns without gaps share their sums."""
-    gaps = {n: t.numeric_facts[n].filled < t.numeric_facts[n].rows for n in centred}
-    pairs = list(combinations(centred, 2))
-    parts = []
-    for block in blocks(pairs, 200):
-        aggs: dict[str, Column] = {"rows": F.count(F.lit(1)).cast("double")}
-        names = list(centred)
-        rows = []
-
-        def add(alias: str, expression: Column) -> Column:
-            aggs.setdefault(alias, expression)
-            return F.col(alias)
-
-        for x, y in block:
-            i, j = names.index(x), names.index(y)
-            a, b = centred[x], centred[y]
-            if gaps[x] or gaps[y]:
-                p = f"p{i}_{j}"
-                a = F.when(b.isNotNull(), a)
-                b = F.when(centred[x].isNotNull(), b)
-                parts_of = [
-                    add(f"{p}n", F.count(a).cast("double")),
-                    add(f"{p}x", F.sum(a)),
-                    add(f"{p}y", F.sum(b)),
-                    add(f"{p}xx", F.sum(a * a)),
-                    add(f"{p}yy", F.sum(b * b)),
-                    add(f"{p}xy", F.sum(a * b)),
-                ]
-            else:
-                parts_of = [
-                    F.col("rows"),
-                    add(f"s{i}", F.sum(a)),
-                    add(f"s{j}", F.sum(b)),
-                    add(f"q{i}", F.sum(a * a)),
-                    add(f"q{j}", F.sum(b * b)),
-                    add(f"x{i}_{j}", F.sum(a * b)),
-                ]
-            rows.append(
-                F.struct(
-                    F.lit(x).alias("feature1"),
-                    F.lit(y).alias("feature2"),
-                    *[c.alias(n) for c, n in zip(parts_of, ("n", "sx", "sy", "sxx", "syy", "sxy"))],
-                )
-            )
-        one = t.df.agg(*[e.alias(a) for a, e in aggs.items()])
-        parts.append(one.select(F.inline(F.array(*rows))))
-    return union_all(parts)
-
-
 def _gram_pairs(t: LabelledTable, centred: dict[str, Column]) -> DataFrame:
-    """Pair sums of a wide table: one Gram product per Arrow batch, added up by key."""
+    """Sums of every pair of columns: one Gram product per Arrow batch, added up by key."""
     names = list(centred)
     width = len(names)
     matrix = t.df.select(*[c.alias(f"c{i}") for i, c in enumerate(centred.values())])
@@ -312,7 +258,7 @@ def measure_pairs(t: LabelledTable) -> DataFrame:
     centred = {f.name: as_number(f) - F.lit(t.numeric_facts[f.name].mean) for f in usable}
     # A constant column has no correlation; rounding must not give it one.
     constant = [f.name for f in usable if t.numeric_facts[f.name].constant]
-    sums = (_native_pairs if len(usable) <= NATIVE_PAIR_COLUMNS else _gram_pairs)(t, centred)
+    sums = _gram_pairs(t, centred)
     n = F.col("n")
     cov = F.try_divide(F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), n), n)
     vx = F.try_divide(F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), n), n)
