@@ -128,15 +128,24 @@ PLANS = (
         ],
     ),
 )
+# Thresholds that a triggered plan changes.
+PLAN_THRESHOLDS = {
+    "leakage_detected": {"skip_threshold": 0.6},
+    "multiple_critical_issues": {"skip_threshold": 0.2, "critical_threshold": 0.5},
+    "no_issues_found_yet": {"skip_threshold": 0.3},
+    "approaching_time_limit": {"skip_threshold": 0.55},
+}
+
 PLAN_SCHEMA = (
     "trigger string, priority int, auto_remediation string, plan_confidence double, "
     "skip_tools array<string>, boost_tools array<string>, extra_checks array<string>, "
-    "change_goal string, reasoning string, user_recommendations array<string>"
+    "change_goal string, reasoning string, user_recommendations array<string>, "
+    "adjust_thresholds map<string,double>"
 )
 
 
 def plan_table(spark) -> DataFrame:
-    return spark.createDataFrame([tuple(p) for p in PLANS], PLAN_SCHEMA)
+    return spark.createDataFrame([(*p, PLAN_THRESHOLDS.get(p[0], {})) for p in PLANS], PLAN_SCHEMA)
 
 
 def with_tools(profiles: DataFrame) -> DataFrame:
@@ -333,6 +342,11 @@ def strategy_effectiveness(steps: DataFrame, profiles: DataFrame, by: Sequence[s
     return running_effectiveness(values, [*by, "tool", "profile_key"], ["audit"], True)
 
 
+def mean_effectiveness(effectiveness: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``by..., tool, effectiveness``: the mean over all profile keys of ``strategy_effectiveness``."""
+    return effectiveness.groupBy(*by, "tool").agg(F.avg("effectiveness").alias("effectiveness"))
+
+
 def performance(steps: DataFrame, profiles: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One row per audit: speed, yield and context.
 
@@ -621,6 +635,12 @@ def remediations(triggers: DataFrame) -> DataFrame:
     )
 
 
+def adjusted_thresholds(triggers: DataFrame) -> DataFrame:
+    """``dataset, threshold, value``: what a dataset's plans set, the most urgent plan deciding."""
+    changes = triggers.select("dataset", "place", F.explode("adjust_thresholds").alias("threshold", "value"))
+    return changes.groupBy("dataset", "threshold").agg(F.min_by("value", "place").alias("value"))
+
+
 def contingency_summary(triggers: DataFrame) -> DataFrame:
     return triggers.groupBy("dataset").agg(
         F.count(F.lit(1)).alias("plans_triggered"),

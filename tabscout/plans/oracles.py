@@ -221,7 +221,8 @@ _SC_NUM = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedpric
 ORACLES["sample_columns"] = f"""WITH s AS ({union(
     f"SELECT '{c}' AS feature, 'numeric' AS kind, var_samp(CAST({c} AS DOUBLE)) AS score, {i} AS place FROM lineitem"
     for i, c in enumerate(_SC_NUM))}
-UNION ALL SELECT 'l_linestatus', 'other', CAST(count(DISTINCT l_linestatus) AS DOUBLE), 8 FROM lineitem),
+UNION ALL SELECT 'l_linestatus', 'other', CAST(count(DISTINCT l_linestatus) AS DOUBLE), 8 FROM lineitem
+UNION ALL SELECT 'l_shipdate', 'other', CAST(count(DISTINCT l_shipdate) AS DOUBLE), 9 FROM lineitem),
 k AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY score DESC, place) AS position FROM s)
 SELECT feature, kind, {r('score', 2)} AS score, position,
   position <= CASE kind WHEN 'numeric' THEN 4 ELSE 1 END AS kept FROM k"""
@@ -578,6 +579,10 @@ sv AS (SELECT es.owner, es.audit, tool, {PROFILE_KEY} AS profile_key, criticals
   FROM es JOIN ep ON es.owner = ep.owner AND es.audit = ep.audit),
 {fold('sv', 'owner, tool, profile_key', True)}
 SELECT owner, tool, profile_key, {r('e')} AS effectiveness FROM w WHERE i = last"""
+ORACLES["mean_effectiveness"] = ORACLES["strategy_effectiveness"].replace(
+    f"SELECT owner, tool, profile_key, {r('e')} AS effectiveness FROM w WHERE i = last",
+    f"SELECT owner, tool, {r('avg(e)')} AS effectiveness FROM w WHERE i = last GROUP BY owner, tool",
+)
 PERF = f"""{EP}, sp AS (SELECT *, sum(seconds) OVER (PARTITION BY owner, audit ORDER BY position) AS spent FROM es),
 pf0 AS (SELECT owner, audit, list(tool ORDER BY position) AS tools, min(spent) FILTER (WHERE criticals > 0) AS first_critical,
   sum(seconds) AS total_time, CAST(sum(criticals) AS BIGINT) AS critical_found, avg(CASE WHEN findings = 0 THEN 1.0 ELSE 0.0 END) AS empty_share,
@@ -667,6 +672,13 @@ tp AS (SELECT tr.dataset, pl.*, row_number() OVER (PARTITION BY dataset ORDER BY
 ORACLES["contingency_triggers"] = f"WITH {TRIGGERS} SELECT dataset, trigger, CAST(priority AS BIGINT) AS priority, place, change_goal FROM tp"
 ORACLES["remediations"] = f"""WITH {TRIGGERS} SELECT dataset, trigger, auto_remediation AS remediation_type, CAST(priority AS BIGINT) AS priority
 FROM tp WHERE auto_remediation IS NOT NULL"""
+_CHANGES = (
+    "(VALUES ('leakage_detected', 'skip_threshold', 0.6::DOUBLE), ('multiple_critical_issues', 'skip_threshold', 0.2), "
+    "('multiple_critical_issues', 'critical_threshold', 0.5), ('no_issues_found_yet', 'skip_threshold', 0.3), "
+    "('approaching_time_limit', 'skip_threshold', 0.55)) ch(trigger, threshold, value)"
+)
+ORACLES["adjusted_thresholds"] = f"""WITH {TRIGGERS} SELECT dataset, threshold, arg_min(ch.value, place) AS value
+FROM tp JOIN {_CHANGES} USING (trigger) GROUP BY dataset, threshold"""
 ORACLES["contingency_summary"] = f"""WITH {TRIGGERS} SELECT dataset, count(*) AS plans_triggered, CAST(sum(recs) AS BIGINT) AS total_recommendations,
   count(auto_remediation) AS auto_remediations_available FROM tp GROUP BY dataset"""
 

@@ -238,7 +238,7 @@ def skewness(spark, d):
 
 @query
 def sample_columns(spark, d):
-    t = LabelledTable(wl.read(spark, d, "lineitem").drop("l_shipdate"), "l_returnflag", name="lineitem")
+    t = LabelledTable(wl.read(spark, d, "lineitem"), "l_returnflag", name="lineitem")
     return rounded(_longs(sampling.score_columns(t, budget=5), "position"), 2)
 
 
@@ -607,6 +607,11 @@ def strategy_effectiveness(spark, d):
     return rounded(fleet.strategy_effectiveness(*_history(spark, d), BY))
 
 
+@query
+def mean_effectiveness(spark, d):
+    return rounded(fleet.mean_effectiveness(fleet.strategy_effectiveness(*_history(spark, d), BY), BY))
+
+
 @query
 def position_effectiveness(spark, d):
     return rounded(fleet.position_effectiveness(_performance(spark, d), BY))
@@ -690,6 +695,11 @@ def remediations(spark, d):
     return _longs(found.select("dataset", "trigger", "remediation_type", "priority"), "priority")
 
 
+@query
+def adjusted_thresholds(spark, d):
+    return fleet.adjusted_thresholds(_triggers(spark, d))
+
+
 @query
 def contingency_summary(spark, d):
     return fleet.contingency_summary(_triggers(spark, d))
