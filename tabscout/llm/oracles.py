@@ -153,10 +153,77 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM s QUALIFY rank <= 20
 """
 
+_PLAIN_WORDS = _WORDS.format(text="coalesce(text, '')")
+_LOWER_WORDS = _WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+_SUBSTRING = """
+WITH split AS (SELECT doc_id, @words AS w FROM documents),
+word AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM split),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS run FROM (SELECT *, unnest(range(1, len(w) - 11)) AS i FROM split WHERE len(w) >= 13)),
+repeats AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY run) AS first FROM windows) WHERE first < doc_id),
+marked AS (
+    SELECT doc_id, i, word, coalesce(max(CASE WHEN r.i IS NOT NULL THEN 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), 0) AS gone
+    FROM word LEFT JOIN repeats r USING (doc_id, i)
+),
+summed AS (
+    SELECT doc_id, count(*) AS n_words, sum(gone)::BIGINT AS n_removed,
+        sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0), '')) AS kept_sha256
+    FROM marked GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM documents LEFT JOIN summed USING (doc_id)
+""".replace("@words", _PLAIN_WORDS)
+_NEAR_DUPLICATES = """
+WITH RECURSIVE split AS (SELECT doc_id, @lower AS w FROM documents),
+runs AS (
+    SELECT DISTINCT doc_id, run FROM (
+        SELECT doc_id, unnest(CASE WHEN len(w) = 1 THEN [w[1]] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS run
+        FROM split WHERE len(w) > 0
+    )
+),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM runs GROUP BY doc_id),
+numbered AS MATERIALIZED (SELECT doc_id, n, dense_rank() OVER (ORDER BY run) AS run FROM runs JOIN sizes USING (doc_id)),
+links AS MATERIALIZED (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM numbered a JOIN numbered b ON a.run = b.run AND a.doc_id < b.doc_id
+        AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+),
+reach AS (
+    SELECT b AS doc_id, a AS other FROM links UNION SELECT a, b FROM links
+    UNION
+    SELECT r.doc_id, l.other FROM reach r JOIN (SELECT a AS doc_id, b AS other FROM links UNION ALL SELECT b, a FROM links) l ON r.other = l.doc_id
+),
+least_id AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.other, d.doc_id)) AS component_id,
+    d.doc_id = least(d.doc_id, coalesce(l.other, d.doc_id)) AS kept
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN least_id l USING (doc_id)
+""".replace("@lower", _LOWER_WORDS)
+# CRC-32 by bytes, from the table that its polynomial gives.
+_SHARDING = """
+WITH crc AS (
+    SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+),
+bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sized AS (
+    SELECT doc_id, (len(h) // 2 + 16)::BIGINT AS size,
+        xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)),
+            lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) AS text_crc32
+    FROM bytes, crc
+),
+placed AS (
+    SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32 ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total FROM sized
+),
+dealt AS (SELECT *, least((2 * upto - size) * 40 // (2 * total), 39)::INTEGER AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM dealt
+"""
+
 ORACLES: dict[str, str] = {
+    "op1_substring": _SUBSTRING,
     "op2_mixing": _mixing(),
     "op4_warc": _WARC,
     "op5_nearest": _NEAREST,
     "op6_licenses": _LICENSES,
     "op7_fingerprints": _FINGERPRINTS,
+    "op8_near_duplicates": _NEAR_DUPLICATES,
+    "op10_sharding": _SHARDING,
 }
