@@ -202,12 +202,32 @@ FROM (SELECT feature, class, gone, o, o * 100.0 / cn AS r0, CASE WHEN gone THEN
 GROUP BY feature"""
 
 
+_GAP1 = "CASE WHEN min(e) > 0 THEN sum((abs(o - e) - least(0.5, abs(o - e))) * (abs(o - e) - least(0.5, abs(o - e))) / nullif(e, 0)) END"
+# Tail of one degree of freedom: one minus a series of positive terms, x ** (n + 1/2) over odd factorials.
+_TAIL1 = """CASE WHEN p_value IS NULL OR p_value <= 0 THEN 1.0 WHEN p_value > 200 THEN 0.0
+  ELSE 1 - sqrt(2 / pi()) * list_sum(list_transform(range(0, 400), lambda n:
+    exp((n + 0.5) * ln(p_value) - lgamma(2 * n + 2) + n * ln(2) + lgamma(n + 1) - p_value / 2))) END"""
 _GAP3 = "CASE WHEN min(e) > 0 THEN exp(-sum((o - e) * (o - e) / nullif(e, 0)) / 2) ELSE 1.0 END"
+_SIZED = union(
+    f"SELECT '{name}' AS dataset, sum(n) AS rows, count(*) AS classes, max(n) AS high, min(n) AS low FROM (SELECT count(*) AS n FROM {source} GROUP BY {label})"
+    for name, source, label in (
+        ("labels by toxic", "labels", "toxic"),
+        ("toxic labels by quality", "labels WHERE toxic = 1", "quality"),
+        ("events", "events", "event_type"),
+        ("one event", "events WHERE event_id = 0", "event_type"),
+    )
+)
+ORACLES["sample_size_findings"] = f"""WITH s AS ({_SIZED}), g AS (SELECT *, high / low::DOUBLE AS ratio FROM s)
+SELECT dataset, 'single_class' AS type, 'critical' AS severity, round(classes::DOUBLE, 6) AS metric FROM g WHERE classes < 2
+UNION ALL SELECT dataset, CASE WHEN ratio > 100 THEN 'severe' WHEN ratio > 10 THEN 'moderate' ELSE 'mild' END || '_imbalance',
+  CASE WHEN ratio > 100 THEN 'critical' WHEN ratio > 10 THEN 'warning' ELSE 'info' END, round(ratio, 6) FROM g WHERE classes >= 2 AND ratio > 3
+UNION ALL SELECT dataset, 'small_dataset', 'warning', rows::DOUBLE FROM g WHERE rows < 100
+UNION ALL SELECT dataset, 'small_class_size', CASE WHEN low < 10 THEN 'critical' ELSE 'warning' END, low::DOUBLE FROM g WHERE low < 30"""
 ORACLES["missing_chi2"] = (
     f"WITH {LA}\n"
     + _chi2("target3", "target3", r(_GAP3))
     + "\nUNION ALL\n"
-    + _chi2("target", "target", "CAST(NULL AS DOUBLE)")
+    + f"SELECT * REPLACE ({r(_TAIL1)} AS p_value) FROM ({_chi2('target', 'target', _GAP1)})"
 )
 ORACLES["skewness"] = f"WITH {LA}\n" + union(
     f"""SELECT '{f}' AS feature, count({f}) AS n, {r(nan_null(f'skewness({f})'), 4)} AS skewness,

@@ -205,6 +205,23 @@ def kruskal(spark, d):
     )
 
 
+@query
+def sample_size_findings(spark, d):
+    """Class balance and sample size of three tables; the twin states the thresholds."""
+    labels, events = wl.read(spark, d, "labels"), wl.read(spark, d, "events")
+    tables = [
+        LabelledTable(labels, "toxic", name="labels by toxic"),
+        LabelledTable(labels.where("toxic = 1"), "quality", name="toxic labels by quality"),
+        LabelledTable(events, "event_type", name="events"),
+        LabelledTable(events.where("event_id = 0"), "event_type", name="one event"),
+    ]
+    return union_all([bias.flag_classes(t).select("dataset", "type", "severity", rounded_metric()) for t in tables])
+
+
+def rounded_metric():
+    return F.round("metric", 6).alias("metric")
+
+
 @query
 def missing_by_class(spark, d):
     return bias.missing_by_class(wl.line_audit(spark, d, three_classes=True))
@@ -212,14 +229,11 @@ def missing_by_class(spark, d):
 
 @query
 def missing_chi2(spark, d):
-    wanted = ["feature", "rows", "missing", "missing_rate", "difference", "dof", "chi2"]
+    wanted = ["feature", "rows", "missing", "missing_rate", "difference", "dof", "chi2", "p_value"]
     three = bias.measure_missingness(wl.line_audit(spark, d, three_classes=True), with_rates=False)
     two = bias.measure_missingness(wl.line_audit(spark, d), with_rates=False)
-    # The two-class p-value has no closed form in SQL; it is covered by tests.
-    p3 = F.col("p_value").alias("p_value")
-    p2 = F.lit(None).cast("double").alias("p_value")
-    both = three.select(F.lit("target3").alias("label"), *wanted, p3).unionByName(
-        two.select(F.lit("target").alias("label"), *wanted, p2)
+    both = three.select(F.lit("target3").alias("label"), *wanted).unionByName(
+        two.select(F.lit("target").alias("label"), *wanted)
     )
     return rounded(_longs(both, "dof"))
 
