@@ -62,8 +62,7 @@ def balanced_shards(df: DataFrame, order: Sequence[str], size: str, shards: int)
             "row",
             (F.col("rows_before") + F.col("nth")).alias("nth"),
             F.expr(
-                f"coalesce(least((2 * (bytes_before + upto) - size) * {int(shards)} div (2 * nullif(total, 0)),"
-                f" {int(shards) - 1}), 0)"
+                f"if(total > 0, least((2 * (bytes_before + upto) - size) * {int(shards)} div (2 * total), {int(shards) - 1}), 0)"
             ).cast("int").alias("shard"),
         )
     )
