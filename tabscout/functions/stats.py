@@ -7,8 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Terms of the incomplete-gamma expansions. They are evaluated on measurement
-# tables (one row per feature), never on data rows.
+# Least number of terms of the incomplete-gamma expansions. They are evaluated on
+# measurement tables (one row per feature), never on data rows.
 _TERMS = 300
 
 
@@ -53,8 +53,10 @@ def chi2_sf(statistic: Column, dof: Column) -> Column:
     a = dof.cast("double") / 2
     y = statistic / 2
     scale = F.exp(-y + a * F.log(y) - log_gamma_half(dof))
+    # Both expansions need some eight times the root of ``a`` terms near their border.
+    terms = (F.lit(_TERMS) + 10 * F.sqrt(dof.cast("double"))).cast("int")
     series = F.aggregate(
-        F.sequence(F.lit(1), F.lit(_TERMS)),
+        F.sequence(F.lit(1), terms),
         F.struct((1 / a).alias("term"), (1 / a).alias("total")),
         lambda acc, i: F.struct(
             (acc["term"] * y / (a + i)).alias("term"),
@@ -63,8 +65,8 @@ def chi2_sf(statistic: Column, dof: Column) -> Column:
         lambda acc: acc["total"],
     )
     fraction = F.aggregate(
-        F.sequence(F.lit(_TERMS), F.lit(1), F.lit(-1)),
-        y + (2 * _TERMS + 1) - a,
+        F.sequence(terms, F.lit(1), F.lit(-1)),
+        y + (2 * terms + 1) - a,
         lambda acc, i: (y + 2 * i - 1 - a) - i * (i - a) / acc,
     )
     return (

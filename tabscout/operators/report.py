@@ -7,7 +7,6 @@ position`` (one row per tool that ran, with or without findings).
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -405,7 +404,3 @@ def report(executed: DataFrame, findings: DataFrame, steps: DataFrame | None = N
 def _or_empty(name: str, frame: DataFrame) -> Column:
     kind = frame.schema[name].dataType
     return F.coalesce(F.col(name), F.array().cast(kind)).alias(name)
-
-
-def union_findings(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)

@@ -20,6 +20,15 @@ def test_chi2_tail_matches_closed_forms(spark):
         assert r.p == pytest.approx(want, rel=1e-9)
 
 
+def test_chi2_tail_with_very_many_classes(spark):
+    """Of an even number of degrees of freedom the tail is a Poisson sum."""
+    cases = [(x, k) for k in (2000, 20_000) for x in (0.9 * k, k - 2.0, 1.0 * k, 1.05 * k)]
+    for r in spark.createDataFrame(cases, "x double, k int").select("x", "k", chi2_sf(F.col("x"), F.col("k")).alias("p")).collect():
+        y = r.x / 2
+        want = math.fsum(math.exp(i * math.log(y) - y - math.lgamma(i + 1)) for i in range(r.k // 2))
+        assert r.p == pytest.approx(want, rel=1e-6, abs=1e-12)
+
+
 def linear_quantile(values, p):
     values = sorted(values)
     rank = p * (len(values) - 1)
