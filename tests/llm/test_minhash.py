@@ -1,7 +1,7 @@
 """Near-duplicate groups against all pairs."""
 
 import pytest
-from conftest import make, prose
+from planted import make, prose
 from pyspark.sql import functions as F
 
 from tabscout.llm import minhash

@@ -4,7 +4,7 @@ import hashlib
 from collections import defaultdict
 
 import pytest
-from conftest import make, prose
+from planted import make, prose
 from pyspark.sql import functions as F
 
 from tabscout.llm import fingerprint as fp

@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from conftest import make, prose
+from planted import make, prose
 
 from tabscout.llm.defaults import tokenizer_file
 from tabscout.llm.packing import binary_lengths, pack

@@ -5,7 +5,7 @@ import uuid
 
 import duckdb
 import pytest
-from conftest import make, prose
+from planted import make, prose
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline

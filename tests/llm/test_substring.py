@@ -1,7 +1,7 @@
 """Repeated passages against brute force, in one block and in many."""
 
 import pytest
-from conftest import make, prose
+from planted import make, prose
 from pyspark.sql import functions as F
 
 from tabscout.llm.substring import Passages, pack, remove_repeats, unpack, without
