@@ -35,7 +35,7 @@ def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
 class WordHashes:
     """Hashes of words, remembered until there are ``limit`` of them."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 200_000):
         self._known: dict[bytes, int] = {}
         self._limit = limit
 
