@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,10 @@ from tabscout.llm.words import words
 
 #: Rounds of fitting; one round adjusts every dimension once.
 ROUNDS = 5
+#: Least share of the tokens that sampling keeps in expectation.
+KEPT = 0.4
+#: Largest miss of a share, and the most rounds, of fitting probabilities once cells are kept whole.
+TOLERANCE, LIMIT = 1e-3, 50
 #: Exponents of the production targets: 1 keeps a dimension as it is, 0 makes its values equal.
 TEMPER = {"source": 0.7, "lang": 0.7, "topic": 1.0}
 _DIGITS = 13
@@ -60,24 +65,88 @@ def rake(
     cells are combinations of values, not documents; each step is settled, so that
     the plan stays short and a lost executor costs one step.
     """
-    fitted = cells.withColumn("weight", F.lit(1.0))
-    total = F.lit(_number(cells.agg(F.sum(tokens))))
-    for dimension, shares in targets.items():
-        wanted = shares.select(F.col(dimension).alias("_value"), F.col("share").alias(f"_share_{dimension}"))
-        fitted = fitted.join(wanted, F.col(dimension).eqNullSafe(F.col("_value")), "left").drop("_value")
-    fitted = settle(fitted)
+    fitted = _with_shares(cells.withColumn("weight", F.lit(1.0)), targets)
+    total = _number(cells.agg(F.sum(tokens)))
     for _ in range(rounds):
-        for dimension in targets:
-            now = fitted.groupBy(F.col(dimension).alias("_value")).agg(F.sum(F.col(tokens) * F.col("weight")).alias("_now"))
-            ratio = F.col(f"_share_{dimension}") * total / F.nullif(F.col("_now"), F.lit(0.0))
-            fitted = settle(
-                fitted.join(now, F.col(dimension).eqNullSafe(F.col("_value")), "left")
-                .withColumn("weight", F.col("weight") * F.coalesce(ratio, F.lit(1.0)))
-                .drop("_value", "_now")
-            )
+        fitted = _round(fitted, targets, tokens, total, F.col("weight"))
     return fitted.drop(*[f"_share_{d}" for d in targets])
 
 
+def _with_shares(cells: DataFrame, targets: Mapping[str, DataFrame]) -> DataFrame:
+    """The cells with ``_share_<dimension>``, the target of their value."""
+    for dimension, shares in targets.items():
+        wanted = shares.select(F.col(dimension).alias("_value"), F.col("share").alias(f"_share_{dimension}"))
+        cells = cells.join(wanted, F.col(dimension).eqNullSafe(F.col("_value")), "left").drop("_value")
+    return settle(cells)
+
+
+def _round(fitted: DataFrame, dimensions: Iterable[str], tokens: str, total: float, used: Column) -> DataFrame:
+    """``weight`` adjusted once to every dimension; ``used`` is the part of it that counts."""
+    for dimension in dimensions:
+        now = fitted.groupBy(F.col(dimension).alias("_value")).agg(F.sum(F.col(tokens) * used).alias("_now"))
+        ratio = F.col(f"_share_{dimension}") * F.lit(total) / F.nullif(F.col("_now"), F.lit(0.0))
+        fitted = settle(
+            fitted.join(now, F.col(dimension).eqNullSafe(F.col("_value")), "left")
+            .withColumn("weight", F.col("weight") * F.coalesce(ratio, F.lit(1.0)))
+            .drop("_value", "_now")
+        )
+    return fitted
+
+
+def _largest_miss(fitted: DataFrame, dimensions: Iterable[str], tokens: str, total: float, used: Column) -> float:
+    """How far the share of any value with tokens is from its target."""
+    misses = [
+        fitted.where(F.col(tokens) > 0)
+        .groupBy(d, f"_share_{d}")
+        .agg(F.sum(F.col(tokens) * used).alias("_now"))
+        .select(F.abs(F.col("_now") / F.lit(total) - F.col(f"_share_{d}")).alias("miss"))
+        for d in dimensions
+    ]
+    return reduce(DataFrame.union, misses).agg(F.coalesce(F.max("miss"), F.lit(0.0))).first()[0]
+
+
+def reachable_shares(cells: DataFrame, dimension: str, shares: DataFrame, tokens: str, budget: float) -> DataFrame:
+    """``<dimension>, share`` of a budget of tokens: no value gets more than it has, the others share the rest as before."""
+    held = cells.groupBy(F.col(dimension).alias("_value")).agg(F.sum(tokens).cast("double").alias("_held")).where("_held > 0")
+    rows = settle(held.join(shares, F.col(dimension).eqNullSafe(F.col("_value"))).select(dimension, "share", "_held"))
+    wanted = _number(rows.agg(F.sum("share"))) * budget
+    factor = budget
+    while True:  # the factor rises until no further value is used up
+        whole = F.col("_held") <= F.col("share") * F.lit(factor)
+        spent, left = rows.agg(F.sum(F.when(whole, F.col("_held"))), F.sum(F.when(~whole, F.col("share")))).first()
+        new = (wanted - (spent or 0.0)) / left if left else factor
+        if new <= factor * (1 + 1e-12):
+            break
+        factor = new
+    return rows.select(dimension, (F.least("_held", F.col("share") * F.lit(factor)) / F.lit(budget)).alias("share"))
+
+
+def probabilities(cells: DataFrame, targets: Mapping[str, DataFrame], tokens: str = "tokens", kept: float = KEPT) -> DataFrame:
+    """Raked ``cells`` with ``probability``, at most 1, that keeps at least the share ``kept`` of the tokens.
+
+    The probability is the weight over the largest weight where that keeps
+    enough. Otherwise a few rare cells would set the scale for all others: the
+    budget is then the share ``kept`` of the tokens, cells that cannot reach
+    their target are kept whole, and the rest are raked again to what is left.
+    """
+    weights = cells.where(F.col(tokens) > 0)
+    largest = _number(weights.agg(F.max("weight")))
+    scale = min(largest, 1 / kept)
+    chance = F.least(F.col("weight") / F.lit(scale), F.lit(1.0))
+    if largest <= scale:
+        return cells.withColumn("probability", chance)
+    total = _number(cells.agg(F.sum(tokens)))
+    budget = total / scale
+    reachable = {d: reachable_shares(cells, d, shares, tokens, budget) for d, shares in targets.items()}
+    fitted = _with_shares(cells.withColumn("_raked", F.col("weight")).withColumn("weight", F.col("weight") / F.lit(scale)), reachable)
+    used = F.least(F.col("weight"), F.lit(1.0))
+    for _ in range(LIMIT):
+        if _largest_miss(fitted, targets, tokens, budget, used) <= TOLERANCE:
+            break
+        fitted = _round(fitted, targets, tokens, budget, used)
+    return fitted.withColumn("probability", used).withColumn("weight", F.col("_raked")).drop("_raked", *[f"_share_{d}" for d in targets])
+
+
 def mix(
     docs: DataFrame,
     topic: Column | None = None,
@@ -87,14 +156,16 @@ def mix(
     rounds: int = ROUNDS,
     seed: int = 0,
     key: str = "doc_id",
+    kept: float = KEPT,
 ) -> DataFrame:
     """Each document's raked weight, sampling probability and whether it is kept.
 
     Returns ``<key>, source, lang, topic, n_tokens, weight, probability, kept``.
     Tokens are words. Weights are fitted on the token totals of all combinations
-    of the dimensions over all documents; the probability is the weight over the
-    largest weight, so kept tokens meet the targets in expectation and none is
-    kept twice. The draw is a hash of key and seed: the same in every run, for
+    of the dimensions over all documents; the probability is proportional to the
+    weight, so kept tokens meet the targets in expectation and none is kept
+    twice. At least the share ``kept`` of the tokens stays in expectation, see
+    ``probabilities``. The draw is a hash of key and seed: the same in every run, for
     copies of a row alike. ``targets`` gives shares per dimension, else they are
     the corpus shares to the power that ``temper`` names (1 if none). Null texts have no tokens; null
     values of a dimension form a group of their own. No documents, no rows.
@@ -113,12 +184,7 @@ def mix(
     if targets is None:
         targets = {d: tempered_shares(cells, d, "tokens", temper.get(d, 1.0)) for d in dimensions}
     fitted = rake(cells, targets, rounds=rounds)
-    largest = F.lit(_number(fitted.where("tokens > 0").agg(F.max("weight"))))
-    fitted = fitted.select(
-        *[F.col(d).alias(f"_{d}") for d in dimensions],
-        "weight",
-        F.least(F.col("weight") / largest, F.lit(1.0)).alias("probability"),
-    )
+    fitted = probabilities(fitted, targets, kept=kept).select(*[F.col(d).alias(f"_{d}") for d in dimensions], "weight", "probability")
     same = F.lit(True)
     for d in dimensions:
         same = same & F.col(d).eqNullSafe(F.col(f"_{d}"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tabscout.llm import fingerprint as fp
 from tabscout.llm.license_texts import _MIT
 from tabscout.llm.licenses import known_licenses, plain_canonical, scan_licenses
-from tabscout.llm.mixing import mix, rake
+from tabscout.llm.mixing import KEPT, mix, rake
 from tabscout.llm.sharding import balanced_shards, text_bytes
 
 # Mixing ------------------------------------------------------------------------------------
@@ -59,6 +59,23 @@ def test_rake_with_given_targets(spark):
         assert by[key] == pytest.approx(share, rel=2e-2)
 
 
+def test_one_stray_document_does_not_set_the_scale(spark):
+    plain = [(i, prose(i, 40), "en" if i % 2 else "de", f"src{i % 5}") for i in range(400)]
+    schema = "doc_id bigint, text string, lang string, source string"
+    for stray in ([(900, "word", "is", "stray")], [(900, "word", None, None)], [(900, prose(900, 20), "en", "stray")]):
+        rows = mix(spark.createDataFrame(plain + stray, schema)).collect()
+        total = sum(r.n_tokens for r in rows)
+        assert sum(r.n_tokens * r.probability for r in rows) / total == pytest.approx(KEPT, rel=1e-2)
+        assert {r.probability for r in rows if r.doc_id == 900} == {1.0}
+        by = defaultdict(float)
+        for r in rows:
+            by[r.source] += r.n_tokens * r.probability / total
+        for source in {r[3] for r in plain}:
+            assert by[source] == pytest.approx(KEPT / 5, rel=5e-2)
+    rows = mix(spark.createDataFrame(plain, schema)).collect()
+    assert all(r.probability == pytest.approx(1.0, rel=1e-6) for r in rows)
+
+
 # Licences ----------------------------------------------------------------------------------
 
 
