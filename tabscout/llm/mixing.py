@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
+from math import inf
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,11 +13,13 @@ from pyspark.sql import functions as F
 from tabscout.functions.lineage import settle, stored
 from tabscout.llm.words import words
 
-#: Rounds of fitting; one round adjusts every dimension once.
+_log = logging.getLogger(__name__)
+
+#: Least rounds of fitting; one round adjusts every dimension once.
 ROUNDS = 5
 #: Least share of the tokens that sampling keeps in expectation.
 KEPT = 0.4
-#: Largest miss of a share, and the most rounds, of fitting probabilities once cells are kept whole.
+#: Fitting goes on until no share misses its target by more than this, for so many rounds at most.
 TOLERANCE, LIMIT = 1e-3, 50
 #: Exponents of the production targets: 1 keeps a dimension as it is, 0 makes its values equal.
 TEMPER = {"source": 0.7, "lang": 0.7, "topic": 1.0}
@@ -61,14 +65,16 @@ def rake(
     Iterative proportional fitting: dimension by dimension, a cell's weight is
     multiplied by target over current share of its value. ``targets`` maps each
     dimension to ``<dimension>, share``; a value without a target keeps its
-    weight and so does one without tokens. Nulls are a value of their own. The
+    weight and so does one without tokens. Nulls are a value of their own. After
+    ``rounds`` rounds, more follow until no share misses its target by more than
+    ``TOLERANCE``, up to ``LIMIT`` or until a round no longer helps; a miss that is
+    left is logged as a warning, as targets that contradict each other cannot all be met. The
     cells are combinations of values, not documents; each step is settled, so that
     the plan stays short and a lost executor costs one step.
     """
     fitted = _with_shares(cells.withColumn("weight", F.lit(1.0)), targets)
     total = _number(cells.agg(F.sum(tokens)))
-    for _ in range(rounds):
-        fitted = _round(fitted, targets, tokens, total, F.col("weight"))
+    fitted = _fit(fitted, targets, tokens, total, F.col("weight"), rounds)
     return fitted.drop(*[f"_share_{d}" for d in targets])
 
 
@@ -93,6 +99,21 @@ def _round(fitted: DataFrame, dimensions: Iterable[str], tokens: str, total: flo
     return fitted
 
 
+def _fit(fitted: DataFrame, dimensions: Iterable[str], tokens: str, total: float, used: Column, rounds: int) -> DataFrame:
+    """At least ``rounds`` rounds, and more while shares miss their targets and a round lessens that by a hundredth."""
+    done, last = 0, inf
+    while True:
+        if done >= rounds:
+            miss = _largest_miss(fitted, dimensions, tokens, total, used)
+            if miss <= TOLERANCE or done >= LIMIT or miss > 0.99 * last:
+                break
+            last = miss
+        fitted, done = _round(fitted, dimensions, tokens, total, used), done + 1
+    if miss > TOLERANCE:
+        _log.warning("raking: a share still misses its target by %.3g after %d rounds", miss, done)
+    return fitted
+
+
 def _largest_miss(fitted: DataFrame, dimensions: Iterable[str], tokens: str, total: float, used: Column) -> float:
     """How far the share of any value with tokens is from its target."""
     misses = [
@@ -140,10 +161,8 @@ def probabilities(cells: DataFrame, targets: Mapping[str, DataFrame], tokens: st
     reachable = {d: reachable_shares(cells, d, shares, tokens, budget) for d, shares in targets.items()}
     fitted = _with_shares(cells.withColumn("_raked", F.col("weight")).withColumn("weight", F.col("weight") / F.lit(scale)), reachable)
     used = F.least(F.col("weight"), F.lit(1.0))
-    for _ in range(LIMIT):
-        if _largest_miss(fitted, targets, tokens, budget, used) <= TOLERANCE:
-            break
-        fitted = _round(fitted, targets, tokens, budget, used)
+    _log.warning("a weight of %.3g: its cells are kept whole, the rest are raked to %.3g of the tokens", largest, 1 / scale)
+    fitted = _fit(fitted, targets, tokens, budget, used, 1)
     return fitted.withColumn("probability", used).withColumn("weight", F.col("_raked")).drop("_raked", *[f"_share_{d}" for d in targets])
 
 

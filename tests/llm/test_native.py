@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tabscout.llm import fingerprint as fp
 from tabscout.llm.license_texts import _MIT
 from tabscout.llm.licenses import known_licenses, plain_canonical, scan_licenses
-from tabscout.llm.mixing import KEPT, mix, rake
+from tabscout.llm.mixing import KEPT, TOLERANCE, mix, rake
 from tabscout.llm.sharding import balanced_shards, text_bytes
 
 # Mixing ------------------------------------------------------------------------------------
@@ -59,6 +59,19 @@ def test_rake_with_given_targets(spark):
         assert by[key] == pytest.approx(share, rel=2e-2)
 
 
+def test_rake_goes_on_until_targets_are_met(spark, caplog):
+    def shares(name, **of):
+        return spark.createDataFrame(list(of.items()), f"{name} string, share double")
+
+    targets = {"s": shares("s", a=0.7, b=0.3), "l": shares("l", x=0.3, y=0.7)}
+    near = [("a", "x", 1000), ("a", "y", 60), ("b", "x", 60), ("b", "y", 1000)]
+    rows = rake(spark.createDataFrame(near, "s string, l string, tokens bigint"), targets).collect()
+    assert sum(r.tokens * r.weight for r in rows if r.s == "a") / 2120 == pytest.approx(0.7, abs=TOLERANCE)
+    assert not caplog.records
+    rake(spark.createDataFrame([near[0], near[3]], "s string, l string, tokens bigint"), targets)
+    assert "misses its target by 0.4" in caplog.text
+
+
 def test_one_stray_document_does_not_set_the_scale(spark):
     plain = [(i, prose(i, 40), "en" if i % 2 else "de", f"src{i % 5}") for i in range(400)]
     schema = "doc_id bigint, text string, lang string, source string"
