@@ -25,14 +25,13 @@ WINDOW = 13
 #: Text bytes of a block of documents, windows of a bucket of hashes, characters of one automaton.
 BLOCK_BYTES, BUCKET_WINDOWS, AUTOMATON_CHARS = 8 << 20, 2 << 20, 4 << 20
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_BITS = np.uint64(16)  # a window is known by the upper 48 bits of its hash; the automata compare words
 
 
 # Packing of sorted hashes ------------------------------------------------------------------
 
 
 def pack(hashes: np.ndarray) -> bytes:
-    """Sorted numbers as compressed differences, byte by byte: some four bytes each."""
+    """Sorted numbers as compressed differences, byte by byte."""
     steps = np.diff(hashes, prepend=np.uint64(0))
     return zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
@@ -58,7 +57,7 @@ class Block:
         """Of every window the hash, the document's number and the position of its first word there."""
         hashes, rows, starts = [], [], []
         for row, own in enumerate(self.words):
-            found = run_hashes(word_hashes()(own), n) >> _BITS
+            found = run_hashes(word_hashes()(own), n)
             hashes.append(found)
             rows.append(np.full(len(found), row))
             starts.append(np.arange(len(found)))
@@ -79,7 +78,7 @@ def _groups(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def block_windows(block: Block, number: int, n: int, buckets: int) -> Iterator[tuple[int, int, bytes]]:
     """``bucket, block, hashes``: the different windows of a block, by ranges of the hash."""
     hashes = np.unique(block.windows(n)[0])
-    width = -(-(1 << 48) // buckets)
+    width = -(-(1 << 64) // buckets)
     bucket = hashes // np.uint64(width)
     if len(hashes):
         for first, last in zip(*_groups(bucket), strict=True):
@@ -245,7 +244,8 @@ def remove_repeats(
        where they first occur, once per block that needs them.
     3. Each block compiles the passages it got into automata and streams its
        documents through them; an occurrence is extended word by word and so
-       confirmed on the text. Hashes only choose what is compiled.
+       confirmed on the text. Hashes only choose what is compiled: two different
+       windows of one 64-bit hash could hide a repeat, but never cut anything.
 
     The blocks' documents are shuffled once and used by all three steps. Null
     texts stay null and have no words. Rows with a null key are neither earlier

@@ -1,10 +1,13 @@
 """Repeated passages against brute force, in one block and in many."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from planted import make, prose
 from pyspark.sql import functions as F
 
-from tabscout.llm.substring import Passages, pack, remove_repeats, unpack, without
+from tabscout.llm import substring
+from tabscout.llm.substring import Block, Passages, block_windows, pack, passages, recurring, remove_repeats, unpack, without
 
 
 def brute(rows, n):
@@ -36,6 +39,23 @@ def check(docs, n, **options):
     assert sum(r.text is None for r in got) == sum(t is None for _, t in rows)
 
 
+def test_windows_whose_hashes_differ_in_low_bits_only(monkeypatch):
+    """Another window with the upper 48 bits of a repeated one does not take its place."""
+
+    def close(words, n):
+        text = [tuple(words[k : k + n].tolist()) for k in range(len(words) - n + 1)]
+        return np.array([(7 << 16) + seen.setdefault(t, len(seen)) for t in text], np.uint64)
+
+    seen = {}
+    monkeypatch.setattr(substring, "run_hashes", close)
+    texts = {0: ["a b c", "d e f"], 1: ["d e f"]}
+    blocks = {i: Block(pa.table({"id": [10 * i + k for k in range(len(t))], "text": t}), "id", "text") for i, t in texts.items()}
+    rows = [r for i, b in blocks.items() for r in block_windows(b, i, 3, 16)]
+    assert len({bucket for bucket, _, _ in rows}) == 1
+    (source, targets, hashes), = recurring(np.array([number for _, number, _ in rows]), [blob for _, _, blob in rows])
+    assert source == 0 and list(passages(blocks[0], 0, 3, [(targets, hashes)])) == [(1, None, "d e f")]
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 1500])
 def test_edges(edge_docs, block_bytes):
     check(edge_docs, 13, block_bytes=block_bytes)
