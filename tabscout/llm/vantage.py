@@ -19,8 +19,8 @@ SHARD, BLOCK = 8192, 8192
 LEAF = 128
 #: Pruning with factor 1 is exact; a larger one skips more.
 FACTOR = 1.0
-# Distances come from differences of products, so they are a little off near zero.
-_SLACK = 1e-6
+# Rounding of products of vectors, by width and lengths; distances are roots of differences of products.
+_ROUNDING = 2.0**-50
 
 
 @dataclass
@@ -42,6 +42,12 @@ class Tree:
 
     @classmethod
     def build(cls, ids: np.ndarray, vectors: np.ndarray, norm: float, leaf: int = LEAF) -> Tree:
+        with np.errstate(over="ignore", invalid="ignore"):
+            return cls._build(ids, vectors, norm, leaf)
+
+    @classmethod
+    def _build(cls, ids: np.ndarray, vectors: np.ndarray, norm: float, leaf: int) -> Tree:
+        norm = np.float64(norm)
         lifted = np.column_stack([vectors, np.sqrt(np.maximum(norm**2 - (vectors**2).sum(1), 0))])
         order, nodes = np.arange(len(ids)), []
 
@@ -76,14 +82,21 @@ class Tree:
         """For each query the ids and scores of the ``k`` best (score, then smaller id); -inf where there are fewer."""
         if factor < 1:
             raise ValueError("the pruning factor is at least 1")
-        lengths = (queries**2).sum(1) + norm**2
+        with np.errstate(over="ignore", invalid="ignore"):
+            return self._search(query_ids, queries, np.float64(norm), k, factor)
+
+    def _search(self, query_ids: np.ndarray, queries: np.ndarray, norm: np.float64, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
+        own = (queries**2).sum(1)
+        lengths = own + norm**2
+        rounding = _ROUNDING * (queries.shape[1] + 4)
+        slack, product_slack = np.sqrt(rounding) * (norm + np.sqrt(own)), rounding * norm * np.sqrt(own)
         scores = np.full((len(queries), k), -np.inf)
         best = np.full((len(queries), k), np.iinfo(np.int64).max)
         reach = np.full(len(queries), np.inf)
 
         def scan(start: int, end: int, active: np.ndarray) -> None:
             near = queries[active] @ self.vectors[start:end].T
-            row, col = np.nonzero(near >= scores[active, -1][:, None] - _SLACK)
+            row, col = np.nonzero(~(near < (scores[active, -1] - product_slack[active])[:, None]))
             other = self.ids[start + col] != query_ids[active[row]]
             row, col = row[other], start + col[other]
             if not len(row):
@@ -115,7 +128,7 @@ class Tree:
             first = distance <= (most_in + least_out) / 2
 
             def open_(bound: np.ndarray, side: np.ndarray) -> np.ndarray:
-                return active[side & (factor * (bound - _SLACK) <= reach[active] + _SLACK)]
+                return active[side & ~(factor * (bound - slack[active]) > reach[active] + slack[active])]  # opened if not a number
 
             visit(left, open_(inside, first))
             visit(right, open_(outside, ~first))

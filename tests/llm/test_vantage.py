@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tabscout.llm.vantage import Tree, nearest
+from tabscout.llm.vantage import Tree, inner_products, nearest
 
 
 def brute(rows, queries, k):
@@ -55,3 +55,20 @@ def test_recall_of_relaxed_pruning(factor, least):
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(best, truth, strict=True)]) >= least
     with pytest.raises(ValueError):
         tree.search(np.arange(1), queries[:1], norm, 10, 0.5)
+
+
+@pytest.mark.parametrize("length", [1e12, 1e160])
+def test_exact_beside_one_very_long_vector(length):
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(2000, 8))
+    vectors[7] = 0
+    vectors[7, 0] = length
+    with np.errstate(over="ignore"):
+        norm = float(np.sqrt((vectors**2).sum(1).max())) * (1 + 1e-12)
+    tree = Tree.build(np.arange(2000), vectors, norm, leaf=16)
+    asked = np.setdiff1d(np.arange(0, 2000, 40), [7])
+    best, _ = tree.search(asked, vectors[asked], norm, 5, 1.0)
+    scores = inner_products(np.repeat(vectors[asked], 2000, 0), np.arange(2000 * len(asked)), np.tile(vectors, (len(asked), 1)), np.arange(2000 * len(asked)))
+    scores = scores.reshape(len(asked), 2000)
+    scores[np.arange(len(asked)), asked] = -np.inf
+    assert (best == np.argsort(-scores, axis=1, kind="stable")[:, :5]).all()
