@@ -217,6 +217,58 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTI
 FROM dealt
 """
 
+# The twin states its own rules and rates: votes are 1, -1 or 0, rates a pair per vote, on good and on bad documents.
+_VOTES = ", ".join(
+    f"CASE WHEN n_words = 0 THEN 0 WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END"
+    for good, bad in (
+        ("n_words BETWEEN 50 AND 100000", "n_words < 20 OR n_words > 1000000"),
+        ("word_chars / n_words BETWEEN 3 AND 10", "word_chars / n_words < 2 OR word_chars / n_words > 15"),
+        ("50 * n_symbols <= n_words", "10 * n_symbols > n_words"),
+        ("10 * n_dup_lines <= n_lines", "n_lines >= 8 AND 10 * n_dup_lines > 3 * n_lines"),
+        ("10 * n_repeat_words <= n_words", "10 * n_repeat_words > 3 * n_words"),
+        ("20 * n_bare_words <= n_words", "5 * n_bare_words > n_words"),
+        ("4 * n_distinct_words >= least(n_words, 400)", "10 * n_distinct_words < least(n_words, 400)"),
+        ("2 * n_ended_lines >= n_lines", "20 * n_ended_lines < n_lines"),
+    )
+)
+_TERM = """CASE {v} WHEN 1 THEN greatest(ln(r[{j}].gg / r[{j}].gb), 0) WHEN -1 THEN least(ln(r[{j}].bg / r[{j}].bb), 0) ELSE 0 END"""
+_ODDS = "ln(prior / (1 - prior)) + " + " + ".join(_TERM.format(v=f"v[{j}]", j=j) for j in range(1, 9))
+_RULES = f"""
+WITH RECURSIVE split AS MATERIALIZED (
+    SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, {_PLAIN_WORDS} AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l
+    FROM documents
+),
+windows AS (SELECT k, i, array_to_string(w[i:i + 7], ' ') AS run FROM (SELECT k, w, unnest(range(1, len(w) - 6)) AS i FROM split WHERE len(w) >= 8)),
+twice AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, run) AS n FROM windows) WHERE n > 1),
+repeats AS (SELECT k, count(DISTINCT word)::BIGINT AS n FROM (SELECT k, unnest(range(i, i + 8)) AS word FROM twice) GROUP BY k),
+measured AS MATERIALIZED (
+    SELECT k, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+        len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
+        (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words,
+        len(list_filter(w, lambda x: NOT regexp_matches(x, '[^\x00-\x40\x5B-\x60\x7B-\x7F]'))) AS n_bare_words,
+        len(list_distinct(w)) AS n_distinct_words,
+        len(list_filter(l, lambda x: regexp_matches(x, '[.!?:;"''”»)][\x20\x09-\x0D]*$'))) AS n_ended_lines
+    FROM split LEFT JOIN repeats USING (k)
+),
+voted AS MATERIALIZED (SELECT *, [{_VOTES}] AS v FROM measured),
+patterns AS MATERIALIZED (SELECT v, count(*)::DOUBLE AS n FROM voted GROUP BY v),
+fit AS (
+    SELECT 0 AS step, 0.9::DOUBLE AS prior, list_transform(range(8), lambda j: {{'gg': 0.8::DOUBLE, 'bg': 0.01::DOUBLE, 'gb': 0.6::DOUBLE, 'bb': 0.25::DOUBLE}}) AS r
+    UNION ALL
+    SELECT any_value(step) + 1, greatest(0.01, least(0.99, sum(good) / sum(good + bad))),
+        [{", ".join(f"{{'gg': (coalesce(sum(good) FILTER (WHERE v[{j}] = 1), 0) + 1) / (sum(good) + 3), 'bg': (coalesce(sum(good) FILTER (WHERE v[{j}] = -1), 0) + 1) / (sum(good) + 3), 'gb': (coalesce(sum(bad) FILTER (WHERE v[{j}] = 1), 0) + 1) / (sum(bad) + 3), 'bb': (coalesce(sum(bad) FILTER (WHERE v[{j}] = -1), 0) + 1) / (sum(bad) + 3)}}" for j in range(1, 9))}]
+    FROM (SELECT step, v, n * q AS good, n * (1 - q) AS bad FROM (SELECT step, v, n, 1 / (1 + exp(-({_ODDS}))) AS q FROM fit, patterns WHERE step < 50))
+    HAVING count(*) > 0
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND q >= 0.5 AS kept,
+    array_to_string(v, ',') AS votes, round(q, 6) AS quality
+FROM (
+    SELECT *, n_words < 20 OR 10 * n_repeat_words > 3 * n_words AS base_failed, 1 / (1 + exp(-({_ODDS}))) AS q
+    FROM voted, (SELECT prior, r FROM fit WHERE step = 50)
+)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_substring": _SUBSTRING,
     "op2_mixing": _mixing(),
@@ -226,4 +278,5 @@ ORACLES: dict[str, str] = {
     "op7_fingerprints": _FINGERPRINTS,
     "op8_near_duplicates": _NEAR_DUPLICATES,
     "op10_sharding": _SHARDING,
+    "op11_rules": _RULES,
 }

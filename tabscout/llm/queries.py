@@ -15,6 +15,7 @@ from tabscout.llm.minhash import near_duplicates
 from tabscout.llm.mixing import mix
 from tabscout.llm.ordinal import fit_grades, grade, quality_grade
 from tabscout.llm.packing import pack
+from tabscout.llm.rules import judge
 from tabscout.llm.sharding import balanced_shards, text_bytes
 from tabscout.llm.substring import remove_repeats
 from tabscout.llm.vantage import nearest
@@ -115,6 +116,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures, votes of the rules, probability of being good and verdict of all documents."""
+    return judge(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        F.array_join(F.col("votes").cast("array<string>"), ",").alias("votes"),
+        F.round("quality", 6).alias("quality"),  # logarithms differ in the last digits
+    )
+
+
 REGISTRY: dict[str, Query] = {
     "op1_substring": op1_substring,
     "op2_mixing": op2_mixing,
@@ -126,5 +143,6 @@ REGISTRY: dict[str, Query] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
+    "op11_rules": op11_rules,
     "pipeline": corpus_pipeline.run,
 }
