@@ -269,6 +269,27 @@ FROM (
 )
 """
 
+_LEXICAL = """
+WITH found AS (
+    SELECT k, doc_id, unnest(@terms) AS term FROM (SELECT row_number() OVER () AS k, doc_id, text FROM documents)
+),
+counted AS MATERIALIZED (SELECT k, doc_id, term, count(*) AS tf FROM found GROUP BY ALL),
+sizes AS MATERIALIZED (SELECT k, sum(tf)::BIGINT AS n FROM counted GROUP BY k),
+corpus AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM counted, corpus GROUP BY term),
+asked AS (SELECT DISTINCT r, item_id, term FROM (SELECT row_number() OVER () AS r, item_id, unnest(@terms) AS term FROM benchmark)),
+scored AS (
+    SELECT r, item_id, k, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score
+    FROM asked JOIN counted USING (term) JOIN weights USING (term) JOIN sizes USING (k), corpus
+    GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
+""".replace(
+    "@terms",
+    r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')",
+)
+
 ORACLES: dict[str, str] = {
     "op1_substring": _SUBSTRING,
     "op2_mixing": _mixing(),
@@ -279,4 +300,5 @@ ORACLES: dict[str, str] = {
     "op8_near_duplicates": _NEAR_DUPLICATES,
     "op10_sharding": _SHARDING,
     "op11_rules": _RULES,
+    "op13_lexical": _LEXICAL,
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tabscout.llm.defaults import table, tokenizer_file
 from tabscout.llm.fingerprint import contained, edited_neighbours, likeness
+from tabscout.llm.lexical import search
 from tabscout.llm.licenses import scan_licenses
 from tabscout.llm.minhash import near_duplicates
 from tabscout.llm.mixing import mix
@@ -20,6 +21,7 @@ from tabscout.llm.sharding import balanced_shards, text_bytes
 from tabscout.llm.substring import remove_repeats
 from tabscout.llm.vantage import nearest
 from tabscout.llm.warc import round_trip
+from tabscout.llm.whitening import whiten
 from tabscout.llm.words import words
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,6 +134,16 @@ def op11_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the four largest principal axes, at unit variance."""
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that score highest for every benchmark item."""
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 REGISTRY: dict[str, Query] = {
     "op1_substring": op1_substring,
     "op2_mixing": op2_mixing,
@@ -144,5 +156,7 @@ REGISTRY: dict[str, Query] = {
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
     "op11_rules": op11_rules,
+    "op12_whitening": op12_whitening,
+    "op13_lexical": op13_lexical,
     "pipeline": corpus_pipeline.run,
 }
