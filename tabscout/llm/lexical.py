@@ -132,11 +132,13 @@ class BallTree:
     def bounds(self, query: np.ndarray) -> np.ndarray:
         """For every node a number that no row's inner product with the query exceeds, rounding included.
 
-        By Cauchy and Schwarz q.x = q.c + q.(x - c) <= q.c + |q| * radius. All terms are
+        By Cauchy and Schwarz q.x = q.c + q.(x - c) <= q.c + |q| * radius, where only those entries of q
+        count that the ball's rows have, which are those of its centre. All numbers are
         non-negative, so a sum of n of them is off by n roundings at most.
         """
-        reach = float(np.sqrt(query @ query))
-        return (self.centres.products(query) + reach * self.radius) * (1 + 4 * _EPSILON * (self.width + 8)) + 1
+        own = query[self.centres.columns]
+        reach = np.sqrt(self.centres.sums(own * own))
+        return (self.centres.sums(self.centres.values * own) + reach * self.radius) * (1 + 4 * _EPSILON * (self.width + 8)) + 1
 
 
 @dataclass(frozen=True)
