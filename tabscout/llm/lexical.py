@@ -19,8 +19,8 @@ from tabscout.llm.ship import ship
 
 #: Documents and entries of one tree: what a task holds at a time.
 SHARD, ENTRIES = 8192, 4_000_000
-#: Documents of a leaf.
-LEAF = 64
+#: Documents of a leaf, and rounds of the power method that finds where to cut a ball in two.
+LEAF, POWER = 64, 4
 #: Text bytes of the items that are searched in one pass over the documents, on average.
 ITEM_BYTES = 2 << 20
 #: Scores are whole numbers: a document's part of a term is SCALE * tf div (1000 * tf + 8 * m), with m around 100.
@@ -74,8 +74,8 @@ class BallTree:
     """Balls around rows of a sparse matrix, halved until ``leaf`` rows are left.
 
     A ball is the mean of its rows and a radius that no row exceeds. Rows are
-    halved by how much nearer they are to one of two rows far apart, at the
-    median, so the tree is even however many rows are equal. ``order`` are row
+    halved at the median along a direction in which they spread widely, so the
+    tree is even however many rows are equal. ``order`` are row
     numbers in leaf order; node i covers ``first[i]`` to ``last[i]`` and has the
     children ``left[i]`` and ``right[i]`` (-1: a leaf).
     """
@@ -115,19 +115,30 @@ class BallTree:
         if n <= self.leaf:
             self.order[first : first + n] = numbers
             return node
-        one = self._distances(rows, squares, self._dense(rows, int(away.argmax())))
-        other = self._distances(rows, squares, self._dense(rows, int(one.argmax())))
-        halves = np.argsort(one - other, kind="stable")
+        halves = np.argsort(self._along(rows, dense, int(away.argmax())), kind="stable")
         for side, part in (("left", halves[: n // 2]), ("right", halves[n // 2 :])):
             getattr(self, side)[node] = self._build(rows.taken(part), first, numbers[part])
             first += len(part)
         return node
 
-    def _dense(self, rows: Sparse, i: int) -> np.ndarray:
-        dense = np.zeros(self.width)
-        a, b = rows.starts[i], rows.starts[i + 1]
-        dense[rows.columns[a:b]] = rows.values[a:b]
-        return dense
+    def _along(self, rows: Sparse, centre: np.ndarray, far: int) -> np.ndarray:
+        """Positions of the rows along a direction in which they spread widely.
+
+        Some rounds of the power method on the centred rows, from the row farthest from the
+        centre. Rows that are alike get positions that are alike, so they stay together.
+        """
+        a, b = rows.starts[far], rows.starts[far + 1]
+        direction = -centre
+        direction[rows.columns[a:b]] += rows.values[a:b]
+        lengths = np.diff(rows.starts)
+        for _ in range(POWER):
+            at = rows.products(direction) - centre @ direction
+            direction = np.bincount(rows.columns, rows.values * np.repeat(at, lengths), self.width) - centre * at.sum()
+            size = np.abs(direction).max()
+            if not 0 < size < np.inf:
+                break
+            direction /= size
+        return rows.products(direction)
 
     def bounds(self, query: np.ndarray) -> np.ndarray:
         """For every node a number that no row's inner product with the query exceeds, rounding included.
