@@ -10,7 +10,7 @@ from math import inf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabscout.functions.lineage import settle, stored
+from tabscout.functions.lineage import stored
 from tabscout.llm.words import words
 
 _log = logging.getLogger(__name__)
@@ -69,8 +69,8 @@ def rake(
     ``rounds`` rounds, more follow until no share misses its target by more than
     ``TOLERANCE``, up to ``LIMIT`` or until a round no longer helps; a miss that is
     left is logged as a warning, as targets that contradict each other cannot all be met. The
-    cells are combinations of values, not documents; each step is settled, so that
-    the plan stays short and a lost executor costs one step.
+    cells are combinations of values, not documents; each step is a written
+    table, so that the plan and the estimate of its size stay small, and a lost executor costs one step.
     """
     fitted = _with_shares(cells.withColumn("weight", F.lit(1.0)), targets)
     total = _number(cells.agg(F.sum(tokens)))
@@ -83,7 +83,7 @@ def _with_shares(cells: DataFrame, targets: Mapping[str, DataFrame]) -> DataFram
     for dimension, shares in targets.items():
         wanted = shares.select(F.col(dimension).alias("_value"), F.col("share").alias(f"_share_{dimension}"))
         cells = cells.join(wanted, F.col(dimension).eqNullSafe(F.col("_value")), "left").drop("_value")
-    return settle(cells)
+    return stored(cells)
 
 
 def _round(fitted: DataFrame, dimensions: Iterable[str], tokens: str, total: float, used: Column) -> DataFrame:
@@ -91,7 +91,7 @@ def _round(fitted: DataFrame, dimensions: Iterable[str], tokens: str, total: flo
     for dimension in dimensions:
         now = fitted.groupBy(F.col(dimension).alias("_value")).agg(F.sum(F.col(tokens) * used).alias("_now"))
         ratio = F.col(f"_share_{dimension}") * F.lit(total) / F.nullif(F.col("_now"), F.lit(0.0))
-        fitted = settle(
+        fitted = stored(
             fitted.join(now, F.col(dimension).eqNullSafe(F.col("_value")), "left")
             .withColumn("weight", F.col("weight") * F.coalesce(ratio, F.lit(1.0)))
             .drop("_value", "_now")
@@ -129,7 +129,7 @@ def _largest_miss(fitted: DataFrame, dimensions: Iterable[str], tokens: str, tot
 def reachable_shares(cells: DataFrame, dimension: str, shares: DataFrame, tokens: str, budget: float) -> DataFrame:
     """``<dimension>, share`` of a budget of tokens: no value gets more than it has, the others share the rest as before."""
     held = cells.groupBy(F.col(dimension).alias("_value")).agg(F.sum(tokens).cast("double").alias("_held")).where("_held > 0")
-    rows = settle(held.join(shares, F.col(dimension).eqNullSafe(F.col("_value"))).select(dimension, "share", "_held"))
+    rows = stored(held.join(shares, F.col(dimension).eqNullSafe(F.col("_value"))).select(dimension, "share", "_held"))
     wanted = _number(rows.agg(F.sum("share"))) * budget
     factor = budget
     while True:  # the factor rises until no further value is used up
@@ -199,7 +199,7 @@ def mix(
             F.size(words(F.col("text"))).cast("bigint").alias("n_tokens"),
         )
     )
-    cells = settle(rows.groupBy(*dimensions).agg(F.sum("n_tokens").alias("tokens")))
+    cells = stored(rows.groupBy(*dimensions).agg(F.sum("n_tokens").alias("tokens")))
     if targets is None:
         targets = {d: tempered_shares(cells, d, "tokens", temper.get(d, 1.0)) for d in dimensions}
     fitted = rake(cells, targets, rounds=rounds)

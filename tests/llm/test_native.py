@@ -1,8 +1,10 @@
 """Mixing, licence scan, fingerprints and shards: edge cases and properties."""
 
 import hashlib
+import time
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from planted import make, prose
 from pyspark.sql import functions as F
@@ -59,6 +61,27 @@ def test_rake_with_given_targets(spark):
         assert by[key] == pytest.approx(share, rel=2e-2)
 
 
+def test_fifty_rounds_over_three_dimensions(spark):
+    """Nearly diagonal cells converge slowly; the time of a round does not grow with the rounds before it."""
+    rows = [(s, l, t, 100_000 if s == l else 10 + t) for s in range(3) for l in range(3) for t in range(2)]
+    cells = spark.createDataFrame(rows, "s int, l int, t int, tokens bigint")
+    shares = {"s": (0.5, 0.3, 0.2), "l": (0.3, 0.3, 0.4), "t": (0.5, 0.5)}
+    targets = {d: spark.createDataFrame(list(enumerate(x)), f"{d} int, share double") for d, x in shares.items()}
+    start = time.time()
+    got = {(r.s, r.l, r.t): r.weight for r in rake(cells, targets, rounds=50).collect()}
+    assert time.time() - start < 100
+    tokens = np.zeros((3, 3, 2))
+    for s, l, t, n in rows:
+        tokens[s, l, t] = n
+    weights, total = np.ones_like(tokens), tokens.sum()
+    for _ in range(50):
+        for axis, d in enumerate("slt"):
+            now = (tokens * weights).sum(axis=tuple(a for a in range(3) if a != axis), keepdims=True)
+            wanted = np.array(shares[d]).reshape([-1 if a == axis else 1 for a in range(3)])
+            weights = weights * wanted * total / now
+    assert all(got[k] == pytest.approx(weights[k], rel=1e-9) for k in got)
+
+
 def test_rake_goes_on_until_targets_are_met(spark, caplog):
     def shares(name, **of):
         return spark.createDataFrame(list(of.items()), f"{name} string, share double")
