@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabscout.functions.hashing import row_hash64, row_md5
+from tabscout.functions.lineage import stored
+from tabscout.functions.metric import Limits, near_rows
 from tabscout.schema import FINDINGS, as_number, column, empty, finding, union_all
 
 TOOL = "contamination_detector"
@@ -288,15 +289,6 @@ def measure_near_duplicates_head(
     )
 
 
-def _shifted(place: Column) -> Column:
-    """A coarse coordinate and its two neighbours."""
-    return F.array(place - 1, place, place + 1)
-
-
-def _cells(vector: Column, side: float) -> Column:
-    return F.transform(vector, lambda x: F.floor(x / side))
-
-
 def measure_near_duplicates(
     train: DataFrame,
     test: DataFrame,
@@ -304,105 +296,42 @@ def measure_near_duplicates(
     columns: Sequence[str] | None = None,
     vector: str | None = None,
     standardize: bool = False,
-    probe_dimensions: int = 4,
-    salts: int = 8,
+    limits: Limits = Limits(),
 ) -> DataFrame:
-    """``total, count, percentage, threshold`` over whole splits, exactly.
+    """``total, count, percentage, threshold, pairs`` over whole splits, exactly.
 
-    Unit vectors with cosine >= t lie within ``r = sqrt(2 - 2t)`` of each other.
-
-    1. Fine cells of diagonal below ``r``: a test row that shares its cell with
-       a train row is a near-duplicate without any comparison. Both sides are
-       reduced to distinct cells first, so dense or copied regions cost one row.
-    2. Test vectors left over are compared with train vectors of adjacent coarse
-       cells (side ``r`` on the coordinates that vary most), copies removed
-       first. Coarse cells are salted, so a dense one spreads over many tasks.
+    Test rows are near-duplicates if their cosine to some train row is at least
+    ``threshold``. Copies are removed from both sides first; the distinct
+    directions meet in cells around centres, see ``near_rows``. ``pairs`` is how
+    many of them were compared. A vector that is zero, null or not finite
+    throughout counts as a row and is similar to none.
     """
-    schema = "total bigint, count bigint, percentage double, threshold double"
+    schema = "total bigint, count bigint, percentage double, threshold double, pairs bigint"
     sides = unit_vectors(train, test, columns, vector, standardize)
     if sides is None:
         return empty(train.sparkSession, schema)
-    # A zero vector has no direction: it counts as a row and is similar to none.
-    whole, directed = sides[1], F.exists("u", lambda x: x != 0)
+    whole = sides[1]
+    directed = F.exists("u", lambda x: x != 0) & F.forall("u", lambda x: x.isNotNull() & (F.abs(x) <= 1.5))
     a, b = (s.where(directed) for s in sides)
-    spread = _coordinate_order(a)
-    if not spread:
-        return empty(train.sparkSession, schema)
-    radius = math.sqrt(2 - 2 * threshold)
-    # A hair below the exact diagonal, so rounding can only send rows to step 2.
-    fine = radius / math.sqrt(len(spread)) * (1 - 1e-9)
+    rows = stored(b.groupBy("u").agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id()))
+    near = stored(near_rows(a.distinct(), rows.select("id", "u"), threshold, limits))
     zero = F.lit(0).cast("bigint")
-    a_cells = a.select(_cells(F.col("u"), fine).alias("cell")).distinct()
-    b_rows = b.groupBy("u").agg(F.count(F.lit(1)).alias("n")).withColumn("cell", _cells(F.col("u"), fine))
-    same_cell = b_rows.join(a_cells, "cell", "left_semi")
-    left_over = b_rows.join(a_cells, "cell", "left_anti").select("u", "n")
-
-    probe = spread[:probe_dimensions]
-    wide = radius * (1 + 1e-9)
-
-    def coarse(u: Column) -> list[Column]:
-        return [F.floor(F.element_at(u, i + 1) / wide).cast("int") for i in probe]
-
-    places = [f"p{j}" for j in range(len(probe))]
-    keyed = left_over.select("u", "n", *[c.alias(p) for c, p in zip(coarse(F.col("u")), places)])
-    around = keyed.groupBy(*places).agg(F.lit(1).alias("one")).select(*places)
-    around = around.select(*[F.col(p).alias(f"home_{p}") for p in places], *places)
-    for p in places:
-        others = [c for c in around.columns if c != p]
-        around = around.select(*others, F.explode(_shifted(F.col(f"home_{p}"))).alias(p))
-    train_units = (
-        a.distinct()
-        .select("u", *[c.alias(p) for c, p in zip(coarse(F.col("u")), places)])
-        .withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(salts)).cast("int"))
-    )
-    salted = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-    homes = [F.col(f"home_{p}").alias(f"home_{p}") for p in places]
-    # Only coarse cells that exist on both sides stay in the neighbour list.
-    neighbours = around.join(train_units.select(*places).distinct(), places, "left_semi").select(*homes, *places)
-    probes = (
-        keyed.select("u", "n", *[F.col(p).alias(f"home_{p}") for p in places])
-        .join(neighbours, [f"home_{p}" for p in places])
-        .select("u", "n", *places, salted)
-    )
-    near = (
-        probes.alias("b")
-        .join(
-            train_units.alias("a"),
-            reduce(
-                lambda x, y: x & y,
-                [F.col(f"b.{p}") == F.col(f"a.{p}") for p in [*places, "salt"]],
-            )
-            & (_dot(F.col("a.u"), F.col("b.u")) >= threshold),
-            "left_semi",
-        )
-        .groupBy("u")
-        .agg(F.max("n").alias("n"))
-    )
+    matched = rows.join(near.select("id").where("id IS NOT NULL").distinct(), "id", "left_semi")
     return _one_row(
         [
-            whole.agg(F.count(F.lit(1)).alias("total")).select("total", zero.alias("count")),
-            same_cell.select(zero.alias("total"), F.col("n").alias("count")),
-            near.select(zero.alias("total"), F.col("n").alias("count")),
+            whole.agg(F.count(F.lit(1)).alias("total")).select("total", zero.alias("count"), zero.alias("pairs")),
+            matched.select(zero.alias("total"), F.col("n").alias("count"), zero.alias("pairs")),
+            near.select(zero.alias("total"), zero.alias("count"), "pairs"),
         ]
     ).select(
         "total",
         "count",
         _share(F.col("count"), F.col("total")).alias("percentage"),
         F.lit(threshold).alias("threshold"),
+        "pairs",
     )
 
 
-def _coordinate_order(units: DataFrame) -> list[int]:
-    """Coordinate indexes, the most varying first; one number per coordinate."""
-    found = (
-        units.select(F.posexplode("u").alias("i", "x"))
-        .groupBy("i")
-        .agg(F.var_pop("x").alias("v"))
-        .collect()
-    )
-    return [r["i"] for r in sorted(found, key=lambda r: (-(r["v"] or 0.0), r["i"]))]
-
-
 def flag_near_duplicates(measure: DataFrame, mild_below: float = 5.0, dataset: str = "table") -> DataFrame:
     extra = ["avg_similarity"] if "avg_similarity" in measure.columns else []
     return measure.where("count > 0").select(
