@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabscout.functions.frequency import value_counts
+from tabscout.functions.lineage import stored
+from tabscout.functions.rolling import contained_pieces
 from tabscout.functions.stats import entropy_from_sum, guarded_corr, xlogx
 from tabscout.schema import (
     FINDINGS,
@@ -273,33 +275,14 @@ def flag_identical(identical: DataFrame, dataset: str = "table") -> DataFrame:
 def measure_encoded_target(t: LabelledTable) -> DataFrame:
     """``feature, distinct_values, matched_targets``: target values inside text.
 
-    A target value is contained in a text exactly when it equals one of the
-    text's substrings of its own length. So the containment test is an equality
-    semi-join between distinct substrings and distinct target values; nothing
+    Texts are searched by rolling hashes, see ``contained_pieces``; nothing
     compares every value with every target.
     """
     if not t.text:
         return empty(t.spark, "feature string, distinct_values bigint, matched_targets bigint")
-    values = value_counts(t.df, t.text).select("feature", "value")
-    targets = t.classes.select(F.col("class").alias("piece")).where("piece <> ''")
-    lengths = targets.agg(F.collect_set(F.length("piece")).alias("lengths")).scalar()
-    pieces = F.flatten(
-        F.transform(
-            F.filter("lengths", lambda k: k <= F.length("value")),
-            lambda k: F.transform(
-                F.sequence(F.lit(1), F.length("value") - k + 1),
-                lambda start: F.substring(F.col("value"), start, k),
-            ),
-        )
-    )
-    found = (
-        values.withColumn("lengths", lengths)
-        .select("feature", F.explode(pieces).alias("piece"))
-        .join(targets, "piece", "left_semi")
-        .groupBy("feature", "piece")
-        .agg(F.lit(1).alias("one"))
-        .groupBy("feature")
-        .agg(F.count(F.lit(1)).alias("matched_targets"))
+    values = stored(value_counts(t.df, t.text).select("feature", "value"))
+    found = contained_pieces(values, t.classes.select(F.col("class").alias("piece"))).groupBy("feature").agg(
+        F.count(F.lit(1)).alias("matched_targets")
     )
     sizes = values.groupBy("feature").agg(F.count(F.lit(1)).alias("distinct_values"))
     return sizes.join(found, "feature", "left").select(

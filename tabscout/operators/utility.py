@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from itertools import combinations
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabscout.functions.frequency import value_counts
-from tabscout.functions.stats import entropy_from_sum, guarded_corr, xlogx
+from tabscout.functions.gram import strong_pairs
+from tabscout.functions.stats import entropy_from_sum, xlogx
 from tabscout.operators.binning import bin_counts
 from tabscout.schema import (
     FINDINGS,
@@ -30,6 +29,8 @@ from tabscout.schema import (
 from tabscout.table import LabelledTable
 
 TOOL = "feature_utility"
+#: Two features that correlate more strongly than this are redundant.
+REDUNDANT = 0.95
 
 
 def measure_values(t: LabelledTable, features: Sequence[str] | None = None) -> DataFrame:
@@ -204,81 +205,32 @@ def flag_low_variance(measure: DataFrame, threshold: float = 0.01, dataset: str
     )
 
 
-PAIR_SUMS = "n double, sx double, sy double, sxx double, syy double, sxy double"
-
-
-def _gram_pairs(t: LabelledTable, centred: dict[str, Column]) -> DataFrame:
-    """Sums of every pair of columns: one Gram product per Arrow batch, added up by key."""
-    names = list(centred)
-    width = len(names)
-    matrix = t.df.select(*[c.alias(f"c{i}") for i, c in enumerate(centred.values())])
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        total = None
-        for batch in batches:
-            raw = batch.to_numpy(dtype=float)
-            held = ~np.isnan(raw)
-            x = np.where(held, raw, 0.0)
-            held = held.astype(float)
-            sums = np.stack([held.T @ held, x.T @ held, held.T @ x, (x * x).T @ held, held.T @ (x * x), x.T @ x])
-            total = sums if total is None else total + sums
-        if total is None:
-            return
-        i, j = np.triu_indices(width, 1)
-        out = pd.DataFrame({"i": i, "j": j})
-        for k, name in enumerate(("n", "sx", "sy", "sxx", "syy", "sxy")):
-            out[name] = total[k][i, j]
-        yield out
-
-    named = F.array(*[F.lit(n) for n in names])
-    sums = ("n", "sx", "sy", "sxx", "syy", "sxy")
-    return (
-        matrix.mapInPandas(partial, f"i int, j int, {PAIR_SUMS}")
-        .groupBy("i", "j")
-        .agg(*[F.sum(s).alias(s) for s in sums])
-        .select(
-            F.element_at(named, F.col("i") + 1).alias("feature1"),
-            F.element_at(named, F.col("j") + 1).alias("feature2"),
-            *sums,
-        )
-    )
-
-
-def measure_pairs(t: LabelledTable) -> DataFrame:
+def measure_pairs(t: LabelledTable, least: float = 0.0) -> DataFrame:
     """``feature1, feature2, n, correlation`` over pairwise complete rows.
 
-    Columns are centred on their mean first, so plain sums stay accurate.
+    Columns are centred on their mean first, so plain sums stay accurate. Pairs
+    with a correlation below ``least`` in size are left out before they become
+    rows; 0 keeps all, undefined ones included. A constant column has no correlation.
     """
     schema = "feature1 string, feature2 string, n bigint, correlation double"
     usable = [f for f in t.numeric if t.numeric_facts[f.name].filled > 1]
     if len(usable) < 2:
         return empty(t.spark, schema)
-    centred = {f.name: as_number(f) - F.lit(t.numeric_facts[f.name].mean) for f in usable}
-    # A constant column has no correlation; rounding must not give it one.
-    constant = [f.name for f in usable if t.numeric_facts[f.name].constant]
-    sums = _gram_pairs(t, centred)
-    n = F.col("n")
-    cov = F.try_divide(F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), n), n)
-    vx = F.try_divide(F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), n), n)
-    vy = F.try_divide(F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), n), n)
-
-    def real(variance: Column, sum_of_squares: str) -> Column:
-        """Variance, or NULL where only cancellation noise is left of it."""
-        return F.when(variance > 1e-14 * F.try_divide(F.col(sum_of_squares), n), variance)
-
-    r = guarded_corr(cov, F.sqrt(real(vx, "sxx")), F.sqrt(real(vy, "syy")))
-    flat = F.col("feature1").isin(constant) | F.col("feature2").isin(constant)
-    return sums.select(
-        "feature1",
-        "feature2",
-        n.cast("bigint").alias("n"),
-        F.when(~flat & (n > 1), r).alias("correlation"),
+    centred = [as_number(f) - F.lit(t.numeric_facts[f.name].mean) for f in usable]
+    # Rounding must not give a constant column a correlation.
+    constant = F.array(*[F.lit(t.numeric_facts[f.name].constant) for f in usable])
+    named = F.array(*[F.lit(f.name) for f in usable])
+    flat = F.get(constant, F.col("i")) | F.get(constant, F.col("j"))
+    pairs = strong_pairs(t.df, centred, least).select(
+        F.get(named, F.col("i")).alias("feature1"),
+        F.get(named, F.col("j")).alias("feature2"),
+        "n",
+        F.when(~flat, F.col("correlation")).alias("correlation"),
     )
+    return pairs.where("correlation IS NOT NULL") if least > 0 else pairs
 
 
-def flag_pairs(measure: DataFrame, threshold: float = 0.95, dataset: str = "table") -> DataFrame:
+def flag_pairs(measure: DataFrame, threshold: float = REDUNDANT, dataset: str = "table") -> DataFrame:
     strength = F.abs("correlation")
     return measure.where(strength > threshold).select(
         *finding(
@@ -422,7 +374,7 @@ def check_utility(t: LabelledTable) -> DataFrame:
     ]
     if t.numeric:
         parts.append(flag_low_variance(measure_variation(t), dataset=t.name))
-        parts.append(flag_pairs(measure_pairs(t), dataset=t.name))
+        parts.append(flag_pairs(measure_pairs(t, REDUNDANT), REDUNDANT, dataset=t.name))
         parts.append(flag_low_information(t, measure_information(t)))
     return union_all(parts)
 
