@@ -1,196 +1,234 @@
-"""Exact quantiles that never hold a column's values in one place.
+"""Exact quantiles of many columns at once that never hold a column's values in one place.
 
 Spark's exact ``percentile`` keeps every distinct value of a column in one
-aggregation buffer. Here a mergeable sketch brackets each wanted quantile, the
-bracket is narrowed until it holds few rows, and only values inside brackets
-are counted one by one; everything between two brackets is a single counter.
+aggregation buffer. Here the line of each column is cut into closed intervals. One
+aggregate counts the intervals of all columns together and sketches those that hold a wanted rank; the
+next intervals come from the sketches. What a sketch says only decides where the
+line is cut, the counts decide where a rank is, so results are exact. Once an
+interval is expected to hold few rows, its values are counted one by one.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tabscout.functions.lineage import stored
 from tabscout.schema import blocks, empty, melt, union_all
 
 SCHEMA = "feature string, prob double, value double"
 
-_ACCURACY = 1_000
-# A bracket with more rows than this is narrowed further.
-_BRACKET_ROWS = 1_000_000
-_COLUMNS_PER_PASS = 40
+# Steps of a sketch, and how many of them an interval around a rank spans to each side.
+_STEPS, _PAD = 200, 2
+_ACCURACY = 5 * _STEPS
+# Rows of an interval that are counted value by value.
+_BRACKET_ROWS = 100_000
+_COLUMNS_PER_SCAN = 40
 
+Interval = tuple[float, float]
+# What is done with the rows of a piece.
+_COUNT, _SKETCH, _LIST = 0, 1, 2
 
-def _merge(brackets: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    merged: list[tuple[float, float]] = []
-    for low, high in sorted(brackets):
-        if merged and low <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(high, merged[-1][1]))
-        else:
-            merged.append((low, high))
-    return merged
 
+@dataclass
+class _Search:
+    """Some ranks of a column, all within the ``pieces``, with what is done with each of these.
 
-def _brackets(
-    df: DataFrame,
-    cells: dict[str, Column],
-    sizes: dict[str, int],
-    probs: Sequence[float],
-    bracket_rows: int,
-) -> dict[str, list[tuple[float, float]]]:
-    """Intervals that hold every wanted order statistic of every column."""
-    first: dict[tuple[str, float], tuple[float, float]] = {}
-    crowded: dict[tuple[str, float], tuple[float, float]] = {}
-    # Columns of like size share a pass: the shortest one sets how wide brackets are.
-    for names in blocks(sorted(cells, key=lambda n: sizes[n]), _COLUMNS_PER_PASS):
-        # Twice the sketch's rank error, and the neighbour rank interpolation needs;
-        # the brackets of a short column hold all of it.
-        pad = 2 / _ACCURACY + 3 / sizes[names[0]]
-        ends = [e for p in probs for e in (max(0.0, p - pad), min(1.0, p + pad))]
-        found = melt(df, {n: cells[n] for n in names}).groupBy("feature").agg(
-            F.percentile_approx("value", ends, _ACCURACY).alias("ends")
-        )
-        wide = 2 * (pad + 1 / _ACCURACY)
-        for r in found.collect():
-            for i, p in enumerate(probs):
-                bracket = (r["ends"][2 * i], r["ends"][2 * i + 1])
-                first[r["feature"], p] = bracket
-                if sizes[r["feature"]] * wide > bracket_rows and bracket[0] < bracket[1]:
-                    crowded[r["feature"], p] = bracket
-    narrowed = {**first, **_narrow(df, cells, sizes, crowded, bracket_rows)}
-    merged: dict[str, list[tuple[float, float]]] = {}
-    for (name, _), bracket in narrowed.items():
-        merged.setdefault(name, []).append(bracket)
-    return {name: _merge(b) for name, b in merged.items()}
-
-
-def _narrow(
+    Pieces are closed intervals in ascending order; ``below`` values are less than the first.
+    """
+
+    feature: str
+    ranks: list[int]
+    below: int
+    pieces: list[Interval]
+    kinds: list[int]
+
+
+def order_statistics(
     df: DataFrame,
     cells: dict[str, Column],
+    ranks: dict[str, Sequence[int]],
     sizes: dict[str, int],
-    open_: dict[tuple[str, float], tuple[float, float]],
-    bracket_rows: int,
-) -> dict[tuple[str, float], tuple[float, float]]:
-    """Sketches inside brackets that still hold too many rows, until they do not."""
-    done: dict[tuple[str, float], tuple[float, float]] = {}
-    held: dict[tuple[str, float], int] = {}
-    while open_:
-        counts = []
-        for i, ((name, _), (low, high)) in enumerate(open_.items()):
-            counts.append(F.count_if(cells[name] < low).alias(f"u{i}"))
-            counts.append(F.count_if(cells[name].between(low, high)).alias(f"v{i}"))
-        counted = [v for part in blocks(counts, 20) for v in df.agg(*part).first()]
-        sketches, keys = [], []
-        for i, (key, (low, high)) in enumerate(list(open_.items())):
-            name, p = key
-            below, inside = counted[2 * i], counted[2 * i + 1]
-            stuck = key in held and inside * 2 > held[key]
-            held[key] = inside
-            if inside <= bracket_rows or low == high or stuck:
-                done[key] = (low, high)
-                continue
-            rank = p * (sizes[name] - 1) - below
-            ends = [
-                max(0.0, rank / inside - 2 / _ACCURACY),
-                min(1.0, (rank + 2) / inside + 2 / _ACCURACY),
-            ]
-            within = F.when(cells[name].between(low, high), cells[name])
-            sketches.append(F.percentile_approx(within, ends, _ACCURACY).alias(f"b{i}"))
-            keys.append(key)
-        found = [v for part in blocks(sketches, 20) for v in df.agg(*part).first()]
-        open_ = {key: (ends[0], ends[1]) for key, ends in zip(keys, found)}
-    return done
-
-
-def _compressed(long: DataFrame, brackets: dict[str, list[tuple[float, float]]]) -> DataFrame:
-    """``feature, position``: values inside brackets, one shared mark per gap.
-
-    A gap's mark lies between its two brackets, so the order of positions is the
-    order of values. The brackets come in as one small row per feature.
+    bracket_rows: int = _BRACKET_ROWS,
+) -> dict[tuple[str, int], float]:
+    """The value at every wanted rank (from 0) of every column, nulls left out.
+
+    ``sizes`` are the numbers of non-null values. The driver holds a few numbers
+    per wanted rank. The number of jobs depends on how many rows there are,
+    about one more for every factor of a hundred, and not on the number of columns.
     """
-    width = max(len(b) for b in brackets.values())
-    rows = []
-    for name, found in brackets.items():
-        lows = [low for low, _ in found]
-        highs = [high for _, high in found]
-        marks = [-math.inf] + [(h + l) / 2 for h, l in zip(highs, lows[1:])]
-        pad = [math.inf] * (width - len(found))
-        rows.append((name, lows + pad, highs + pad, marks + pad))
-    edges = long.sparkSession.createDataFrame(
-        rows, "feature string, lows array<double>, highs array<double>, marks array<double>"
+    whole = (-math.inf, math.inf)
+    open_ = [
+        _Search(f, sorted(set(wanted)), 0, [whole], [_LIST if sizes[f] <= bracket_rows else _SKETCH]) for f, wanted in ranks.items() if wanted and sizes[f]
+    ]
+    found: dict[tuple[str, int], float] = {}
+    while open_:
+        listing, sketching = [], []
+        for search in open_:
+            (listing if _LIST in search.kinds else sketching).append(search)
+        open_ = []
+        if sketching:
+            for search, measured in _sketch(df, cells, sketching):
+                open_ += _narrow(search, measured, found, bracket_rows)
+        if listing:
+            open_ += _list(df, cells, listing, found)
+    return found
+
+
+def _slots(df: DataFrame, cells: dict[str, Column], searches: Iterable[_Search]) -> tuple[DataFrame, dict[tuple[str, int], tuple[_Search, int]]]:
+    """``feature, slot, kind, value`` of all values inside a piece, and which piece a slot of a column is."""
+    rows, places = {}, {}
+    for search in sorted(searches, key=lambda s: (s.feature, s.pieces[0][0])):
+        held = rows.setdefault(search.feature, [])
+        for i, (piece, kind) in enumerate(zip(search.pieces, search.kinds, strict=True)):
+            places[search.feature, len(held)] = (search, i)
+            held.append((*piece, kind))
+    named = blocks(list(rows), _COLUMNS_PER_SCAN)
+    long = union_all([melt(df, {n: cells[n] for n in b}) for b in named]).where("value IS NOT NULL")
+    if all(held == [(-math.inf, math.inf, _SKETCH)] for held in rows.values()):
+        return long.select("feature", F.lit(0).alias("slot"), F.lit(_SKETCH).alias("kind"), "value"), places
+    table = [(f, [(i, *piece) for i, piece in enumerate(held)]) for f, held in rows.items()]
+    pieces = df.sparkSession.createDataFrame(table, "feature string, pieces array<struct<slot int, low double, high double, kind int>>")
+    # The generator drops rows outside all pieces and is evaluated once.
+    own = F.filter("pieces", lambda p: (p["low"] <= F.col("value")) & (F.col("value") <= p["high"]))
+    placed = long.join(F.broadcast(pieces), "feature").select("feature", "value", F.inline(own))  # one row per column
+    return placed.select("feature", "slot", "kind", "value"), places
+
+
+def _sketch(df: DataFrame, cells: dict[str, Column], searches: list[_Search]) -> list[tuple[_Search, list]]:
+    """Each search with the count, ends and quantile steps of its pieces, from one job for all columns."""
+    inside, places = _slots(df, cells, searches)
+    fractions = [i / _STEPS for i in range(_STEPS + 1)]
+    rows = inside.groupBy("feature", "slot").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("value").alias("low"),
+        F.max("value").alias("high"),
+        F.percentile_approx(F.when(F.col("kind") == _SKETCH, F.col("value")), fractions, _ACCURACY).alias("steps"),
     )
-    x = F.col("value")
-    position = F.when(x < F.get("lows", F.lit(0)), F.get("marks", F.lit(0)))
-    for k in range(width):
-        position = position.when(x <= F.get("highs", F.lit(k)), x)
-        if k + 1 < width:
-            position = position.when(x < F.get("lows", F.lit(k + 1)), F.get("marks", F.lit(k + 1)))
-    return long.join(F.broadcast(edges), "feature").select(
-        "feature", position.otherwise(math.inf).alias("position")
+    measured: dict[int, list] = {id(s): [None] * len(s.pieces) for s in searches}
+    for r in rows.collect():
+        search, i = places[r.feature, r.slot]
+        measured[id(search)][i] = r
+    return [(s, measured[id(s)]) for s in searches]
+
+
+def _narrow(search: _Search, measured: list, found: dict[tuple[str, int], float], bracket_rows: int) -> list[_Search]:
+    """What is left to search once the pieces are counted: smaller pieces around the ranks that are not yet found."""
+    below, left = search.below, []
+    for row, piece in zip(measured, search.pieces, strict=True):
+        if row is None:
+            continue
+        own = [r for r in search.ranks if below <= r < below + row.n]
+        if own and row.low == row.high:
+            found.update({(search.feature, r): row.low for r in own})
+        elif own and row.steps is None:  # a sketch was wrong about where they are
+            left.append(_Search(search.feature, own, below, [piece], [_SKETCH]))
+        elif own:
+            left.append(_around(search.feature, own, below, row, bracket_rows))
+        below += row.n
+    return left
+
+
+def _around(feature: str, ranks: list[int], below: int, row, bracket_rows: int) -> _Search:
+    """A counted piece cut around the steps that should hold its ranks."""
+    spans: list[list[int]] = []
+    for r in ranks:
+        at = (r - below) / row.n * _STEPS
+        first, last = max(0, math.floor(at) - _PAD), min(_STEPS, math.ceil(at) + _PAD)
+        if spans and first <= spans[-1][1]:
+            spans[-1][1] = max(last, spans[-1][1])
+        else:
+            spans.append([first, last])
+    close: list[tuple[float, float, int]] = []
+    for first, last in spans:
+        low, high = (row.low if first == 0 else row.steps[first]), (row.high if last == _STEPS else row.steps[last])
+        if close and low <= close[-1][1]:
+            close[-1] = (close[-1][0], max(high, close[-1][1]), close[-1][2] + last - first)
+        else:
+            close.append((low, high, last - first))
+    cut: list[tuple[float, float, int]] = []
+    before = None
+    for low, high, steps in close:
+        if before is not None or low > row.low:
+            cut.append((row.low if before is None else math.nextafter(before, math.inf), math.nextafter(low, -math.inf), _COUNT))
+        small = row.n * steps / _STEPS <= bracket_rows
+        if small or (low, high) != (row.low, row.high):
+            cut.append((low, high, _LIST if small else _SKETCH))
+        else:  # nothing was cut off: the ends may be frequent values, so they stand alone
+            inner = math.nextafter(low, math.inf), math.nextafter(high, -math.inf)
+            cut += [(low, low, _SKETCH), (*inner, _SKETCH), (high, high, _SKETCH)]
+        before = high
+    if before < row.high:
+        cut.append((math.nextafter(before, math.inf), row.high, _COUNT))
+    cut = [c for c in cut if c[0] <= c[1]]
+    return _Search(feature, ranks, below, [c[:2] for c in cut], [c[2] for c in cut])
+
+
+def _list(df: DataFrame, cells: dict[str, Column], searches: list[_Search], found: dict[tuple[str, int], float]) -> list[_Search]:
+    """Finds ranks among values counted singly; ranks that lie in another piece are searched there."""
+    inside, places = _slots(df, cells, searches)
+    counted = stored(
+        inside.groupBy("feature", "slot", F.when(F.col("kind") == _LIST, F.col("value")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     )
+    totals = {(r.feature, r.slot): r.n for r in counted.groupBy("feature", "slot").agg(F.sum("n").alias("n")).collect()}
+    left, wanted = [], []
+    slot_of = {(id(s), i): slot for (_, slot), (s, i) in places.items()}
+    for search in searches:
+        below = search.below
+        for i, piece in enumerate(search.pieces):
+            slot = slot_of[id(search), i]
+            n = totals.get((search.feature, slot), 0)
+            own = [r for r in search.ranks if below <= r < below + n]
+            if own and search.kinds[i] == _LIST:
+                wanted += [(search.feature, slot, r - below, r) for r in own]
+            elif own:
+                left.append(_Search(search.feature, own, below, [piece], [_SKETCH]))
+            below += n
+    if wanted:
+        spark = df.sparkSession
+        asked = spark.createDataFrame(wanted, "feature string, slot int, at bigint, rank bigint")
+        upto = F.sum("n").over(W.partitionBy("feature", "slot").orderBy("value"))
+        running = counted.where("value IS NOT NULL").withColumn("upto", upto)
+        hits = running.join(F.broadcast(asked), ["feature", "slot"]).where("at < upto AND at >= upto - n")  # one row per wanted rank
+        found.update({(r.feature, r["rank"]): r.value for r in hits.select("feature", "rank", "value").collect()})
+    return left
 
 
-def quantiles(
+def quantile_values(
     df: DataFrame,
     cells: dict[str, Column],
     sizes: dict[str, int],
     probs: Sequence[float],
     bracket_rows: int = _BRACKET_ROWS,
-) -> DataFrame:
-    """``feature, prob, value`` with linear interpolation between neighbours.
+) -> dict[str, list[float]]:
+    """The quantiles of every column with linear interpolation between neighbours; empty columns have none.
 
-    ``cells`` maps a feature to its DOUBLE expression and ``sizes`` to its
-    number of non-missing rows.
+    ``cells`` maps a feature to its DOUBLE expression and ``sizes`` to its number of non-null values.
     """
-    cells = {n: c for n, c in cells.items() if sizes[n] > 0}
-    if not cells:
-        return empty(df.sparkSession, SCHEMA)
-    brackets = _brackets(df, cells, sizes, probs, bracket_rows)
-    parts = []
-    for names in blocks(list(brackets), _COLUMNS_PER_PASS):
-        long = melt(df, {n: cells[n] for n in names}).where("value IS NOT NULL")
-        parts.append(_compressed(long, {n: brackets[n] for n in names}))
-    counted = union_all(parts).groupBy("feature", "position").agg(F.count(F.lit(1)).alias("n"))
-    by_feature = W.partitionBy("feature")
-    running = counted.select(
-        "feature",
-        "position",
-        F.sum("n").over(by_feature.orderBy("position")).alias("upto"),
-        F.sum("n").over(by_feature).alias("total"),
-    )
-    picks = []
-    for i, p in enumerate(probs):
-        rank = F.lit(float(p)) * (F.col("total") - 1)
-        for side, index in (("a", F.floor(rank)), ("b", F.ceil(rank))):
-            picks.append(
-                F.min(F.when(F.col("upto") > index, F.col("position"))).alias(f"{side}{i}")
-            )
-    found = running.groupBy("feature").agg(F.max("total").alias("total"), *picks)
-    rows = []
-    for i, p in enumerate(probs):
-        rank = F.lit(float(p)) * (F.col("total") - 1)
-        low, high = F.col(f"a{i}"), F.col(f"b{i}")
-        rows.append(
-            F.struct(
-                F.lit(float(p)).alias("prob"),
-                (low + (high - low) * (rank - F.floor(rank))).alias("value"),
-            )
-        )
-    return found.select("feature", F.inline(F.array(*rows)))
+    places = {n: [p * (sizes[n] - 1) for p in probs] for n in cells if sizes[n] > 0}
+    ranks = {n: [x for at in own for x in (math.floor(at), math.ceil(at))] for n, own in places.items()}
+    found = order_statistics(df, cells, ranks, sizes, bracket_rows)
 
+    def value(name: str, at: float) -> float:
+        low, high = found[name, math.floor(at)], found[name, math.ceil(at)]
+        return low if low == high else low + (high - low) * (at - math.floor(at))
 
-def quantile_values(
+    return {name: [value(name, at) for at in own] for name, own in places.items()}
+
+
+def quantiles(
     df: DataFrame,
     cells: dict[str, Column],
     sizes: dict[str, int],
     probs: Sequence[float],
-) -> dict[str, list[float]]:
-    """The same on the driver: features x probabilities numbers, no data rows."""
-    found: dict[str, dict[float, float]] = {}
-    for r in quantiles(df, cells, sizes, probs).collect():
-        found.setdefault(r["feature"], {})[r["prob"]] = r["value"]
-    return {name: [by_prob[float(p)] for p in probs] for name, by_prob in found.items()}
+    bracket_rows: int = _BRACKET_ROWS,
+) -> DataFrame:
+    """The same as a table ``feature, prob, value``."""
+    found = quantile_values(df, cells, sizes, probs, bracket_rows)
+    rows = [(name, float(p), v) for name, own in found.items() for p, v in zip(probs, own, strict=True)]
+    return df.sparkSession.createDataFrame(rows, SCHEMA) if rows else empty(df.sparkSession, SCHEMA)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabscout.functions.frequency import rank_sums
 from tabscout.functions.hashing import first_by_hash
-from tabscout.functions.quantiles import quantile_values
+from tabscout.functions.quantiles import order_statistics, quantile_values
 from tabscout.functions.stats import chi2_sf
 
 
@@ -56,6 +56,39 @@ def test_quantiles_are_exact(spark, bracket):
             assert found[name, p] == pytest.approx(linear_quantile([d[i] for d in data], p), rel=1e-12)
 
 
+@pytest.mark.parametrize("bracket", [100_000, 40, 1])
+def test_order_statistics_of_odd_columns(spark, bracket):
+    """Frequent values side by side, infinities, a huge range, few distinct values, all equal; every rank asked is exact."""
+    rng = random.Random(9)
+    data = []
+    for _ in range(6000):
+        tied = rng.choice([0.0, 0.0, 0.0, 1.0, 1.0, 1.0, rng.random(), None])
+        wide = rng.choice([-1, 1]) * 10.0 ** rng.randint(-300, 300)
+        ends = rng.choice([math.inf, -math.inf, 0.0, 5e-324, 1.5])
+        data.append((tied, wide, ends, 7.0, float(rng.randint(0, 1))))
+    names = ("tied", "wide", "ends", "same", "two")
+    df = spark.createDataFrame(data, ", ".join(f"{n} double" for n in names)).repartition(4)
+    columns = {n: sorted(d[i] for d in data if d[i] is not None) for i, n in enumerate(names)}
+    ranks = {n: [0, 1, len(c) // 3, len(c) // 2, len(c) // 2 + 1, len(c) - 1] for n, c in columns.items()}
+    got = order_statistics(df, {n: F.col(n) for n in names}, ranks, {n: len(c) for n, c in columns.items()}, bracket)
+    assert got == {(n, r): columns[n][r] for n in names for r in ranks[n]}
+
+
+def test_quantiles_take_as_many_jobs_for_200_columns_as_for_5(spark):
+    context = spark.sparkContext
+
+    def jobs(width):
+        df = spark.range(30_000, numPartitions=4).select(*[F.rand(i).alias(f"c{i}") for i in range(width)])
+        names = [f"c{i}" for i in range(width)]
+        context.setJobGroup(f"width {width}", "")
+        quantile_values(df, {n: F.col(n) for n in names}, dict.fromkeys(names, 30_000), [0.1, 0.5, 0.9], bracket_rows=1000)
+        context.setLocalProperty("spark.jobGroup.id", None)
+        return len(context.statusTracker().getJobIdsForGroup(f"width {width}"))
+
+    few, many = jobs(5), jobs(200)
+    assert few <= 12 and many <= few + 1  # adaptive execution makes a job of every exchange
+
+
 def test_quantile_values_skip_empty_columns(spark):
     df = spark.createDataFrame([(1.0, None), (3.0, None)], "a double, b double")
     got = quantile_values(df, {"a": F.col("a"), "b": F.col("b")}, {"a": 2, "b": 0}, [0.5])
