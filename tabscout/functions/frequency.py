@@ -10,12 +10,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabscout.functions.lineage import stored
 from tabscout.schema import as_number, as_text, blocks, melt, union_all
 
 # Columns unpivoted in one pass; more columns mean more passes, each of which
 # reads its own columns only.
 _COLUMNS_PER_PASS = 40
-# Ordered buckets of a feature's values: a square, for the search in two steps.
+#: Rows of a bucket within which values are ranked.
+BUCKET_ROWS = 100_000
+# Parts that a bucket is cut into: a square, for the search in two steps.
 _STEP = 16
 _BUCKETS = _STEP * _STEP
 
@@ -46,7 +49,7 @@ def rank_sums(
     """``feature, class, n, rank_sum, tie_sum``: mid-rank sums of each class.
 
     Ranks are needed within a whole feature, but no task sees a whole feature:
-    values are cut into ordered buckets, ranked inside their bucket, and the
+    values are cut into ordered buckets of a counted size, ranked inside their bucket, and the
     ranks are shifted by the size of all lower buckets. The shift is applied to
     the per-bucket sums, so no row is joined back. ``tie_sum`` is the class's
     share of the sum of ``t**3 - t`` over groups of equal values.
@@ -59,15 +62,7 @@ def rank_sums(
         .groupBy("feature", "value", "class")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    steps = [i / _BUCKETS for i in range(_BUCKETS + 1)]
-    sketches = union_all([melt(df, {n: numbers[n] for n in b}) for b in named]).groupBy("feature").agg(
-        F.percentile_approx("value", steps, 10 * _BUCKETS).alias("edges")
-    )
-    counted = (
-        counted.join(F.broadcast(sketches), "feature")  # one row per feature
-        .withColumn("coarse", _below(F.col("value"), F.lit(0), _STEP) * _STEP)
-        .withColumn("bucket", F.col("coarse") + _below(F.col("value"), F.col("coarse"), 1))
-    )
+    counted = rank_buckets(counted)
     within = W.partitionBy("feature", "bucket")
     tie = F.sum("n").over(W.partitionBy("feature", "bucket", "value"))
     upto = F.sum("n").over(within.orderBy("value"))
@@ -79,7 +74,7 @@ def rank_sums(
         F.sum(F.col("n") * F.col("mid")).alias("rank_sum"),
         F.sum(F.col("n") * (F.col("tie").cast("double") * F.col("tie") - 1)).alias("tie_sum"),
     )
-    # At most buckets x classes rows a feature from here on.
+    # One row per bucket and class from here on.
     lower = F.sum("n").over(W.partitionBy("feature").orderBy("bucket")) - F.sum("n").over(
         W.partitionBy("feature", "bucket")
     )
@@ -94,6 +89,40 @@ def rank_sums(
     )
 
 
+def rank_buckets(counted: DataFrame, most: int = BUCKET_ROWS) -> DataFrame:
+    """Rows ``feature, value, ...`` with ``bucket``, an array that orders a feature's values in groups.
+
+    All rows of a value share a bucket, and buckets ascend with the values. Buckets
+    are counted, and those with more than ``most`` rows are cut again at sketched quantiles of
+    their own rows, until none is left that holds more and has two values. The least
+    value of a bucket always parts from the others, so every cut helps. What is
+    broadcast is one row of ``_BUCKETS`` numbers for each bucket that is too large.
+    """
+    steps = [i / _BUCKETS for i in range(_BUCKETS + 1)]
+    rows = stored(counted.withColumn("bucket", F.array().cast("array<int>")))
+    while True:
+        sizes = rows.groupBy("feature", "bucket").agg(
+            F.count(F.lit(1)).alias("held"), F.min("value").alias("low"), F.max("value").alias("high")
+        )
+        large = stored(sizes.where((F.col("held") > most) & (F.col("low") < F.col("high"))).select("feature", "bucket"))
+        if large.isEmpty():
+            return rows
+        edges = stored(
+            rows.join(F.broadcast(large), ["feature", "bucket"])
+            .groupBy("feature", "bucket")
+            .agg(F.percentile_approx("value", steps, 10 * _BUCKETS).alias("edges"))
+        )
+        coarse = _below(F.col("value"), F.lit(0), _STEP) * _STEP
+        placed = (
+            rows.join(F.broadcast(edges), ["feature", "bucket"], "left")
+            .withColumn("coarse", coarse)
+            .withColumn("fine", F.col("coarse") + _below(F.col("value"), F.col("coarse"), 1))
+            # The least value stands alone; whether any other edge lies below a value is up to the sketch.
+            .withColumn("own", F.when(F.col("value") > F.get("edges", F.lit(0)), F.col("fine") + 1).otherwise(0))
+        )
+        rows = stored(placed.withColumn("bucket", F.concat("bucket", F.array(F.coalesce("own", F.lit(0))))).drop("coarse", "fine", "own", "edges"))
+
+
 def _below(value: Column, offset: Column, step: int) -> Column:
     """How many of fifteen of the ``edges``, ``step`` apart from ``offset`` on, lie below the value.
 

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tabscout.functions.frequency import rank_sums
+from tabscout.functions.frequency import rank_buckets, rank_sums
 from tabscout.functions.hashing import first_by_hash
 from tabscout.functions.quantiles import order_statistics, quantile_values
 from tabscout.functions.stats import chi2_sf
@@ -95,6 +95,24 @@ def test_quantile_values_skip_empty_columns(spark):
     assert got == {"a": [2.0]}
 
 
+@pytest.mark.parametrize("kind", ["smooth", "ties", "tail"])
+def test_rank_buckets_hold_a_counted_number_of_rows(spark, kind):
+    """Buckets ascend, keep equal values together and are cut until each is small or a single value."""
+    draw = {
+        "smooth": "rand(1)",
+        "ties": "CASE WHEN id % 3 = 0 THEN 5.0 ELSE floor(rand(1) * 2000) END",
+        "tail": "pow(10.0, 300 * rand(1) - 150)",
+    }[kind]
+    rows = spark.range(60_000, numPartitions=4).selectExpr("concat('f', id % 2) AS feature", f"CAST({draw} AS DOUBLE) AS value", "id")
+    got = rank_buckets(rows, 100)
+    assert got.count() == 60_000
+    sizes = got.groupBy("feature", "bucket").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    found = sorted((r.feature, r.bucket, r.n, r.low, r.high) for r in sizes.collect())
+    assert all(n <= 100 or low == high for _, _, n, low, high in found)
+    for a, b in zip(found, found[1:]):
+        assert a[0] != b[0] or a[4] < b[3]
+
+
 @pytest.mark.parametrize("sigma", [0.2, 3.0])
 def test_rank_sums_match_brute_force(spark, sigma):
     rng = random.Random(3)
