@@ -9,19 +9,20 @@ Tables used here, one row per line of the list:
 
 ``by`` names the columns that own a history (a team, a user); an empty ``by``
 is one global history. ``audit`` orders an owner's audits and is unique within an
-owner. Per-owner sequences
-are cut to a bounded number of audits before they are put together, except in
-``tune_threshold``, whose input is one row per audit of one owner.
+owner. Statistics that depend on the order of an
+owner's audits are folded over blocks of that order, so one owner may have any number.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tabscout.functions.lineage import stored
 from tabscout.operators.profile import dataset_type, profile_key
 from tabscout.schema import TOOLS
 
@@ -215,41 +216,75 @@ def similar_effectiveness(
 
     ``profiles`` are the tables to plan for, ``history`` the profiles of past
     audits. Similar: sizes and feature counts within a factor of two, complexity
-    within 0.3. Sizes within a factor of two differ by at most one binary digit,
-    which turns the inequality into an equality join on the digit count; equal
-    history rows are merged before the join, so a popular size is one row.
+    within 0.3. Past audits are summed up in cells of half an octave of size and of
+    features and 0.1 of complexity. A profile meets the cells of the sizes
+    around its own: the sums of a cell whose extremes are all similar count as
+    they are, one whose extremes rule it out is left, and only the audits in
+    cells on the border are compared singly, equal ones as one.
     """
     by = list(by)
-    digits = F.length(F.bin(F.col("num_rows")))
     gain = F.least(F.lit(1.0), F.col("criticals") / F.greatest(F.lit(1.0), F.col("seconds")))
-    past = (
-        steps.join(history.select(*by, "audit", "num_rows", "num_features", "complexity_score"), [*by, "audit"])
-        .groupBy(*by, "num_rows", "num_features", "complexity_score", "tool")
+
+    def octaves(name: str) -> Column:
+        return F.when(F.col(name) > 0, F.floor(2 * F.log2(F.col(name).cast("double")))).otherwise(-1).cast("int")
+
+    axes = {"num_rows": octaves("num_rows"), "num_features": octaves("num_features"), "complexity_score": F.floor(F.col("complexity_score") * 10).cast("int")}
+    cell = [f"cell_{name}" for name in axes]
+    past = stored(
+        steps.join(history.select(*by, "audit", *axes), [*by, "audit"])
+        .groupBy(*by, *axes, "tool")
         .agg(F.sum(gain).alias("gain"), F.count(F.lit(1)).alias("n"))
-        .withColumn("digits", digits)
+        .withColumns({f"cell_{name}": place for name, place in axes.items()})
+    )
+    ends = [e for name in axes for e in (F.min(name).alias(f"least_{name}"), F.max(name).alias(f"most_{name}"))]
+    cells = past.groupBy(*by, *cell, "tool").agg(F.sum("gain").alias("gain"), F.sum("n").alias("n"), *ends)
+    around = [axes["num_rows"] + i for i in range(-3, 4)]
+    wanted = profiles.select(*by, "audit", *axes, F.explode(F.array(*around)).alias("cell_num_rows"))
+
+    def near(name: str, other: Column) -> Column:
+        own = F.col(f"p.{name}")
+        if name == "complexity_score":
+            return F.abs(own - other) <= 0.3
+        return F.try_divide(F.abs(own - other).cast("double"), F.greatest(own, other)) <= 0.5
+
+    def whole(prefix: str) -> Column:
+        """Both extremes of every axis are similar, hence everything between them."""
+        return reduce(lambda a, b: a & b, [near(name, F.col(f"{prefix}.{end}_{name}")) for name in axes for end in ("least", "most")])
+
+    def apart(prefix: str) -> Column:
+        """On some axis all of the cell lies to one side, and the end that is closer is not similar."""
+        sides = []
+        for name in axes:
+            own, least, most = F.col(f"p.{name}"), F.col(f"{prefix}.least_{name}"), F.col(f"{prefix}.most_{name}")
+            sides.append(((own < least) & ~near(name, least)) | ((own > most) & ~near(name, most)))
+        return F.coalesce(reduce(lambda a, b: a | b, sides), F.lit(False))
+
+    def same(left: str, right: str, names: Sequence[str]) -> Column:
+        return reduce(lambda a, b: a & b, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in names])
+
+    met = (
+        wanted.alias("p")
+        .join(cells.alias("c"), same("p", "c", [*by, "cell_num_rows"]) & ~apart("c"))
+        .select(
+            *[F.col(f"p.{c}") for c in (*by, "audit", *axes)],
+            *[F.col(f"c.{c}") for c in (*cell, "tool", "gain", "n")],
+            F.coalesce(whole("c"), F.lit(False)).alias("inside"),
+        )
     )
-    wanted = profiles.select(
-        *by,
-        "audit",
-        "num_rows",
-        "num_features",
-        "complexity_score",
-        F.explode(F.array(digits - 1, digits, digits + 1)).alias("digits"),
+    met = stored(met)
+    single = (
+        met.where(~F.col("inside"))
+        .drop("gain", "n")
+        .alias("p")
+        .join(past.alias("h"), same("p", "h", [*by, *cell, "tool"]) & reduce(lambda a, b: a & b, [near(n, F.col(f"h.{n}")) for n in axes]))
+        .select(*[F.col(f"p.{c}") for c in (*by, "audit", "tool")], "h.gain", "h.n")
     )
-
-    def within(name: str) -> Column:
-        a, b = F.col(f"p.{name}"), F.col(f"h.{name}")
-        return F.try_divide(F.abs(a - b).cast("double"), F.greatest(a, b)) <= 0.5
-
-    same = F.col("p.digits") == F.col("h.digits")
-    for name in by:
-        same = same & F.col(f"p.{name}").eqNullSafe(F.col(f"h.{name}"))
-    close = F.abs(F.col("p.complexity_score") - F.col("h.complexity_score")) <= 0.3
     return (
-        wanted.alias("p")
-        .join(past.alias("h"), same & within("num_rows") & within("num_features") & close)
-        .groupBy(*[F.col(f"p.{c}") for c in (*by, "audit")], F.col("h.tool"))
-        .agg((F.sum("h.gain") / F.sum("h.n")).alias("effectiveness"))
+        met.where("inside")
+        .select(*by, "audit", "tool", "gain", "n")
+        .unionByName(single)
+        .groupBy(*by, "audit", "tool")
+        .agg((F.sum("gain") / F.sum("n")).alias("effectiveness"))
     )
 
 
@@ -316,21 +351,44 @@ def profile_variety(profiles: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def in_blocks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], blocks: int | None = None) -> DataFrame:
+    """The rows with ``_block``: runs of each key's order, numbered in it, so that a long history is many tasks' work.
+
+    A block is a range partition over keys and order, as many as shuffles have
+    partitions unless told. Rows that agree in both share one.
+    """
+    count = blocks or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [F.col(c) for c in (*keys, *order)]
+    return stored(rows.repartitionByRange(count, *names).withColumn("_block", F.spark_partition_id()))
+
+
 def running_effectiveness(
-    values: DataFrame, keys: Sequence[str], order: Sequence[str], from_first: bool
+    values: DataFrame, keys: Sequence[str], order: Sequence[str], from_first: bool, blocks: int | None = None
 ) -> DataFrame:
     """``keys..., effectiveness``: the recurrence ``e = (e + value) / 2`` per key.
 
-    It starts from the first value itself, or from 0. Unrolled, it is a sum with
-    weights 1/2, 1/4, ... from the newest value back, so it needs no sequential
-    pass over the values; those beyond some thousand weigh nothing in a double.
+    It starts from the first value itself, or from 0. A run of n values takes e to
+    e / 2^n + s, where s weighs them 1/2, 1/4, ... from the newest back. Runs are
+    folded block by block and then in the order of the blocks, s1 / 2^n2 + s2, so
+    no task holds a whole key, however many values it has.
     """
-    newest = F.row_number().over(W.partitionBy(*keys).orderBy(*[F.desc(o) for o in order]))
-    recent = values.withColumn("age", newest)
-    total = F.sum(F.col("value") * F.pow(F.lit(0.5), F.col("age")))
+    age = F.row_number().over(W.partitionBy(*keys, "_block").orderBy(*[F.desc(o) for o in order]))
+    folded = (
+        in_blocks(values, keys, order, blocks)
+        .withColumn("_age", age)
+        .groupBy(*keys, "_block")
+        .agg(
+            F.sum(F.col("value") * F.pow(F.lit(0.5), F.col("_age"))).alias("s"),
+            F.count(F.lit(1)).alias("n"),
+            F.max_by("value", "_age").alias("oldest"),
+        )
+    )
+    # From here on one row per key and block.
+    newer = F.sum("n").over(W.partitionBy(*keys).orderBy(F.desc("_block")).rowsBetween(W.unboundedPreceding, -1))
+    total = F.sum(F.col("s") * F.pow(F.lit(0.5), F.coalesce("_newer", F.lit(0))))
     if from_first:
-        total = total + F.max_by("value", "age") * F.pow(F.lit(0.5), F.max("age"))
-    return recent.groupBy(*keys).agg(total.alias("effectiveness"))
+        total = total + F.min_by("oldest", "_block") * F.pow(F.lit(0.5), F.sum("n"))
+    return folded.withColumn("_newer", newer).groupBy(*keys).agg(total.alias("effectiveness"))
 
 
 def strategy_effectiveness(steps: DataFrame, profiles: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -419,38 +477,89 @@ def best_sequences(perf: DataFrame, by: Sequence[str] = (), min_efficiency: floa
     return means.withColumn("rank", rank).where("rank = 1").drop("rank", "successes")
 
 
-def recent_empty_share(perf: DataFrame, by: Sequence[str] = (), last: int = 10) -> DataFrame:
+def recent_empty_share(perf: DataFrame, by: Sequence[str] = (), last: int = 10, blocks: int | None = None) -> DataFrame:
     """Each audit with ``seen`` (audits so far) and the mean empty share of the last ten."""
-    order = W.partitionBy(*by).orderBy("audit")
-    return perf.select(
+    return _recent_in_blocks(perf, by, last, blocks).drop("_block")
+
+
+def _recent_in_blocks(perf: DataFrame, by: Sequence[str], last: int, blocks: int | None) -> DataFrame:
+    """The same with the block of the owner's history that an audit is in.
+
+    Each block gets the last nine rows before it,
+    which the last nine blocks before it have, and the number of rows before it.
+    """
+    by, halo = list(by), last - 1
+    rows = in_blocks(perf.select(*by, "audit", "empty_share"), by, ["audit"], blocks)
+    newest = F.row_number().over(W.partitionBy(*by, "_block").orderBy(F.desc("audit")))
+    ends = (
+        rows.withColumn("_age", newest)
+        .groupBy(*by, "_block")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sort_array(F.collect_list(F.when(F.col("_age") <= halo, F.struct("audit", "empty_share")))).alias("tail"),
+        )
+    )
+    earlier = W.partitionBy(*by).orderBy("_block")  # one row per key and block
+    before = ends.select(
         *by,
-        "audit",
-        F.row_number().over(order).alias("seen"),
-        F.avg("empty_share").over(order.rowsBetween(-(last - 1), 0)).alias("recent_empty_share"),
+        "_block",
+        F.coalesce(F.sum("n").over(earlier.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.flatten(F.collect_list("tail").over(earlier.rowsBetween(-halo, -1))).alias("tails"),
+    ).withColumn("tails", F.slice("tails", F.greatest(F.lit(1), F.size("tails") - (halo - 1)), halo))
+    same = reduce(lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*by, "_block")])
+    own = rows.alias("r").join(before.alias("b"), same).select("r.*", "_before", F.lit(False).alias("_halo"))
+    extra = before.select(*by, F.inline("tails"), "_block", "_before", F.lit(True).alias("_halo"))
+    order = W.partitionBy(*by, "_block").orderBy(F.desc("_halo"), "audit")
+    return (
+        own.unionByName(extra)
+        .select(
+            *by,
+            "audit",
+            "_halo",
+            (F.count_if(~F.col("_halo")).over(order.rowsBetween(W.unboundedPreceding, 0)) + F.col("_before")).alias("seen"),
+            F.avg("empty_share").over(order.rowsBetween(-halo, 0)).alias("recent_empty_share"),
+            "_block",
+        )
+        .where(~F.col("_halo"))
+        .drop("_halo")
     )
 
 
-def tune_threshold(perf: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """``by..., skip_threshold, steps``: the threshold after all audits in order.
+def _clamped(value: Column, low: Column, high: Column) -> Column:
+    return F.least(high, F.greatest(low, value))
+
+
+def tune_threshold(perf: DataFrame, by: Sequence[str] = (), blocks: int | None = None) -> DataFrame:
+    """``by..., audits, steps, skip_threshold``: the threshold after all audits in order.
 
     From 0.45, 0.05 up when more than 40 % of recent tools found nothing, 0.05
     down below 10 %, within [0.3, 0.6]. Kept as whole steps of 0.05, so repeated
-    additions do not drift. Only the order of an owner's non-zero moves matters.
+    additions do not drift. A run of moves takes any level x to x + shift, held
+    between low and high; that triple is folded move by move within a block of the
+    history, and block by block after that.
     """
-    share = F.col("recent_empty_share")
-    moves = recent_empty_share(perf, by).withColumn(
+    by = list(by)
+    share, low, high = F.col("recent_empty_share"), F.lit(-3), F.lit(3)
+    moves = _recent_in_blocks(perf, by, 10, blocks).withColumn(
         "move",
         F.when(F.col("seen") < 3, 0).when(share > 0.4, 1).when(share < 0.1, -1).otherwise(0),
     )
     ordered = F.sort_array(F.collect_list(F.when(F.col("move") != 0, F.struct("audit", "move"))))
+    free = F.struct(F.lit(0).alias("shift"), F.lit(-1_000_000).alias("low"), F.lit(1_000_000).alias("high"))
+
+    def moved(run: Column, m: Column) -> Column:
+        ends = [_clamped(run[e] + m["move"], low, high).alias(e) for e in ("low", "high")]
+        return F.struct((run["shift"] + m["move"]).alias("shift"), *ends)
+
+    runs = moves.groupBy(*by, "_block").agg(F.aggregate(ordered, free, moved).alias("run"), F.count(F.lit(1)).alias("n"))
     level = F.aggregate(
-        ordered,
+        F.sort_array(F.collect_list(F.struct("_block", "run"))),
         F.lit(0),
-        lambda s, m: F.greatest(F.lit(-3), F.least(F.lit(3), s + m["move"])),
+        lambda x, b: _clamped(x + b["run"]["shift"], b["run"]["low"], b["run"]["high"]),
     )
     return (
-        moves.groupBy(*by)
-        .agg(ordered.alias("moves"), F.count(F.lit(1)).alias("audits"), level.alias("steps"))
+        runs.groupBy(*by)
+        .agg(F.sum("n").alias("audits"), level.alias("steps"))
         .select(
             *by,
             "audits",
