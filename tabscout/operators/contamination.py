@@ -27,22 +27,44 @@ def _one_row(parts: Sequence[DataFrame]) -> DataFrame:
     return total.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in total.columns])
 
 
+#: log2 of the bits of the filter that rows pass before they are grouped by their columns.
+FILTER_BITS = 25
+_WORD = 63
+
+
+def _place(digest: Column) -> dict[str, Column]:
+    """Which bit of the filter a digest is: its leading bits, as a word and a bit of the word."""
+    at = F.shiftrightunsigned(digest, 64 - FILTER_BITS)
+    return {"_word": F.floor(at / _WORD).cast("int"), "_bit": (at % _WORD).cast("int")}
+
+
+def _behind(rows: DataFrame, digests: DataFrame) -> DataFrame:
+    """Rows whose digest ``_h`` is among ``digests``, and few others, without a shuffle.
+
+    The digests become a bit filter of fixed size: at most 2 ** FILTER_BITS / 63 words
+    of two numbers (8 MB), whatever the tables, so it may be broadcast. Rows that
+    pass it by chance are told apart by the grouping that follows.
+    """
+    words = digests.withColumns(_place(F.col("_h"))).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_held"))
+    passed = rows.withColumns(_place(F.col("_h"))).join(F.broadcast(words), "_word")
+    return passed.where(F.expr("(_held & shiftleft(1L, _bit)) <> 0")).drop("_word", "_bit", "_held")
+
+
 def measure_duplicates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``total, count, percentage``: rows beyond the first of each distinct row.
 
     The shuffle of the whole table carries 8-byte digests only, pre-aggregated
-    per task. Rows whose digest repeats are then grouped by their real columns,
-    which makes the count exact.
+    per task. Rows behind a repeated digest are grouped by digest and real columns
+    in the task that reads them, so a row repeated any number of times leaves a task once; the
+    grouping makes the count exact.
     """
     names = list(columns or df.columns)
     hashed = df.select(*[column(n) for n in names]).withColumn("_h", row_hash64(names))
-    digests = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("n"))
+    digests = stored(hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("n")))
     suspects = digests.where("n > 1").select("_h")
-    copies = hashed.join(suspects, "_h", "left_semi").groupBy(*[column(n) for n in names]).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    copies = _behind(hashed, suspects).groupBy("_h", *[column(n) for n in names]).agg(F.count(F.lit(1)).alias("n"))
     total = digests.select(F.col("n").alias("total"), F.lit(0).cast("bigint").alias("count"))
-    beyond = copies.select(F.lit(0).cast("bigint").alias("total"), (F.col("n") - 1).alias("count"))
+    beyond = copies.where("n > 1").select(F.lit(0).cast("bigint").alias("total"), (F.col("n") - 1).alias("count"))
     return _one_row([total, beyond]).withColumn("percentage", _share(F.col("count"), F.col("total")))
 
 
@@ -82,18 +104,19 @@ def measure_exact_overlap(train: DataFrame, test: DataFrame, columns: Sequence[s
     """``total, count, percentage``: test rows that also occur in train.
 
     Distinct digests of both sides meet first; only rows behind a common digest
-    are compared on their real columns (NULL equals NULL). Both sides are
-    grouped before each join, so a row repeated any number of times is one row.
+    are compared on their real columns (NULL equals NULL). Both sides are grouped by
+    digest and columns in the task that reads them, before anything moves, so
+    a row repeated any number of times leaves a task once.
     """
     train, test, names = aligned(train, test, columns)
     train = train.withColumn("_h", row_hash64(names))
     test = test.withColumn("_h", row_hash64(names))
-    in_train = train.select("_h").distinct()
-    digests = test.groupBy("_h").agg(F.count(F.lit(1)).alias("n"))
-    suspects = digests.join(in_train, "_h", "left_semi").select("_h")
+    in_train = train.groupBy("_h").agg(F.lit(1).alias("one")).select("_h")
+    digests = stored(test.groupBy("_h").agg(F.count(F.lit(1)).alias("n")))
+    suspects = stored(digests.join(in_train, "_h", "left_semi").select("_h"))
     wanted = [column(n) for n in names]
-    test_rows = test.join(suspects, "_h", "left_semi").groupBy("_h", *wanted).agg(F.count(F.lit(1)).alias("n"))
-    train_rows = train.join(suspects, "_h", "left_semi").select("_h", *wanted).distinct()
+    test_rows = _behind(test, suspects).groupBy("_h", *wanted).agg(F.count(F.lit(1)).alias("n"))
+    train_rows = _behind(train, suspects).select("_h", *wanted).distinct()
     equal = reduce(
         lambda a, b: a & b,
         [F.col(f"a.`{n.replace('`', '``')}`").eqNullSafe(F.col(f"b.`{n.replace('`', '``')}`")) for n in names],

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
+from datetime import UTC, datetime
 from functools import cached_property
 from multiprocessing.pool import ThreadPool
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabscout.functions.lineage import settle, stored
+from tabscout.functions.lineage import stored
 from tabscout.operators import report as roll
 from tabscout.operators.bias import check_bias
 from tabscout.operators.contamination import check_contamination
@@ -30,6 +32,11 @@ class AuditResult:
     table: LabelledTable
     findings: DataFrame
     executed: DataFrame
+    #: ``dataset, tool, timestamp, execution_time``: when each check began and the seconds it took, writing its
+    #: findings included. Checks overlap. Null times where findings were not materialised, as nothing ran then.
+    times: DataFrame
+    started: datetime
+    seconds: float
 
     @cached_property
     def profile(self) -> DataFrame:
@@ -39,6 +46,21 @@ class AuditResult:
     def status(self) -> DataFrame:
         return roll.tool_status(self.executed, self.findings)
 
+    @property
+    def steps(self) -> DataFrame:
+        """``status`` with the time and the seconds of each check: the timeline of the audit."""
+        return self.status.join(self.times, ["dataset", "tool"], "left")
+
+    @property
+    def metadata(self) -> Column:
+        """What was audited, when, and how long it took."""
+        return F.struct(
+            F.array(F.lit(self.table.rows).cast("bigint"), F.lit(len(self.table.df.columns)).cast("bigint")).alias("dataset_shape"),
+            F.lit(self.table.target).alias("target_column"),
+            F.lit(self.started).alias("timestamp"),
+            F.lit(self.seconds).alias("execution_time"),
+        )
+
     @property
     def critiques(self) -> DataFrame:
         return roll.critique(self.executed, self.findings)
@@ -57,7 +79,8 @@ class AuditResult:
 
     @property
     def report(self) -> DataFrame:
-        return roll.report(self.executed, self.findings)
+        """One nested row: verdict, findings, advice, the timeline with times, and what was audited."""
+        return roll.report(self.executed, self.findings, self.steps).withColumn("audit_metadata", self.metadata)
 
 
 def audit(
@@ -83,10 +106,11 @@ def audit(
     row and column samplers for the bias and shortcut checks; the sample is written
     once, and class counts always come from the whole table. The forest checks
     always train on at most 10 000 sampled rows. Rules that need exact row order
-    use ``key``. The findings, a few rows per column, are written out once unless
-    ``materialize`` is False, as every roll-up reads them several times. ``cache``
+    use ``key``. Each check writes its findings, a few rows per column, unless
+    ``materialize`` is False, as every roll-up reads them several times; so its time is known. ``cache``
     keeps the table in memory until the findings are written.
     """
+    started = datetime.now(UTC)
     unknown = set(tools) - set(TOOLS)
     if unknown:
         raise ValueError(f"unknown checks: {', '.join(sorted(unknown))}")
@@ -129,16 +153,25 @@ def audit(
         # Facts that several checks share; measured once, before they start.
         for shared in {id(t): t, id(narrowed): narrowed}.values():
             _ = (shared.numeric_facts, shared.class_summary)
+        def timed(tool: str) -> tuple[DataFrame, tuple]:
+            begun, clock = datetime.now(UTC), time.monotonic()
+            found = union_all(checks[tool]())
+            if materialize:
+                return stored(found), (name, tool, begun, time.monotonic() - clock)
+            return found, (name, tool, None, None)
+
         # The checks wait for small results most of the time, so they overlap.
         with ThreadPool(len(run)) as pool:
-            parts = [part for found in pool.map(lambda tool: checks[tool](), run) for part in found]
+            parts, times = zip(*pool.map(timed, run), strict=True)
     else:
-        parts = []
-    findings = union_all(parts) if parts else empty(df.sparkSession, FINDINGS)
+        parts, times = [], []
+    spark = df.sparkSession
+    findings = union_all(parts) if parts else empty(spark, FINDINGS)
     if materialize:
-        findings = settle(findings)
         for used in (t, narrowed):
             used.release()
         if cache:
             whole.unpersist()
-    return AuditResult(t, findings, roll.executed_tools(df.sparkSession, name, tuple(run)))
+    recorded = spark.createDataFrame(list(times), "dataset string, tool string, timestamp timestamp, execution_time double")
+    executed = roll.executed_tools(spark, name, tuple(run))
+    return AuditResult(t, findings, executed, recorded, started, (datetime.now(UTC) - started).total_seconds())

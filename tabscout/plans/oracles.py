@@ -104,6 +104,17 @@ UNION ALL SELECT 'leakage_detector', 'identical_to_target', 'critical', 'leak'
 UNION ALL SELECT 'leakage_detector', 'suspicious_name', 'warning', feature
   FROM m WHERE len(list_filter({WORDS}, lambda w: contains(lower(feature), w))) > 0"""
 
+_LA_COLUMNS = ", ".join((*LA_FEATURES, "target"))
+ORACLES["audit_timeline"] = f"""WITH {LA},
+lf AS (SELECT count(*) AS n, count(*) FILTER (WHERE severity = 'critical') AS hard FROM ({ORACLES["leak_findings"]})),
+rows AS (SELECT count(*) AS n FROM la),
+dups AS (SELECT rows.n - (SELECT count(*) FROM (SELECT DISTINCT {_LA_COLUMNS} FROM la)) AS n FROM rows),
+steps AS (
+  SELECT 0 AS position, 'leakage_detector' AS tool, CASE WHEN n = 0 THEN 'pass' WHEN hard > 0 THEN 'fail' ELSE 'warning' END AS status, n AS findings_count FROM lf
+  UNION ALL SELECT 1, 'contamination_detector', CASE WHEN n = 0 THEN 'pass' ELSE 'warning' END, CASE WHEN n = 0 THEN 0 ELSE 1 END FROM dups)
+SELECT position::BIGINT AS position, tool, status, findings_count::BIGINT AS findings_count, TRUE AS timed, rows.n AS num_rows,
+  {len(LA_FEATURES) + 1}::BIGINT AS num_columns, 'target' AS target_column FROM steps, rows"""
+
 # --- contamination ---
 
 ORACLES["dup_rows"] = f"""SELECT 'documents' AS source, count(*) AS total,

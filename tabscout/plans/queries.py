@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabscout.functions.lineage import shared_folder
 from tabscout.operators import bias, contamination, fleet, generators, leakage, sampling, spurious, utility
 from tabscout.operators import profile as prof
 from tabscout.operators import report as roll
@@ -611,9 +613,14 @@ def profile_variety(spark, d):
 
 @query
 def history_round_trip(spark, d):
+    """The history written to a folder, twice under one run id and once more under a later one, and read back."""
     steps, profiles_ = _history(spark, d)
     nested = sinks.history_rows(profiles_, steps, BY)
-    return rounded(_longs(sinks.history_steps(nested, BY), "position"))
+    path = f"{shared_folder(spark).rstrip('/')}/history-{uuid.uuid4().hex}"
+    for run in ("1", "1", "2"):
+        sinks.append_history(nested, path, run)
+    back = sinks.load_history(spark, path, [*BY, "audit"])
+    return rounded(_longs(sinks.history_steps(back, BY), "position"))
 
 
 @query
@@ -773,6 +780,27 @@ def audit_findings(spark, d):
     return found.select("tool", "type", "severity", "feature")
 
 
+@query
+def audit_timeline(spark, d):
+    """The recorded steps of an audit and of its report: every step has its time, which differs from run to run."""
+    table = wl.line_audit(spark, d)
+    result = audit(table.df, "target", name="lineitem", tools=("leakage_detector", "contamination_detector"), forests=False)
+    listed = result.report.select(
+        "audit_metadata", F.inline("execution_timeline").alias("position", "tool", "status", "findings_count", "timestamp", "execution_time")
+    )
+    inside = (F.col("execution_time") > 0) & (F.col("execution_time") <= F.col("audit_metadata.execution_time"))
+    return listed.select(
+        F.col("position").cast("bigint").alias("position"),
+        "tool",
+        "status",
+        "findings_count",
+        (inside & (F.col("timestamp") >= F.col("audit_metadata.timestamp"))).alias("timed"),
+        F.element_at("audit_metadata.dataset_shape", 1).alias("num_rows"),
+        F.element_at("audit_metadata.dataset_shape", 2).alias("num_columns"),
+        F.col("audit_metadata.target_column").alias("target_column"),
+    )
+
+
 @query
 def audit_split_findings(spark, d):
     train, test = wl.document_split(spark, d)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabscout.schema import column
+
 
 def write_report_json(report: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One JSON document per dataset; evidence is nested JSON text."""
@@ -109,14 +111,22 @@ def history_steps(history: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def append_history(history: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Appends audits to the Parquet history."""
-    writer = history.write.mode("append")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-
+def append_history(history: DataFrame, path: str, run: str) -> None:
+    """Adds the audits of one run to the Parquet history.
 
-def load_history(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(path)
+    A run owns the folder ``run=<run>`` and replaces it, so a job that is run again
+    under its id adds nothing, and neither does a task that Spark tries twice. Runs
+    with other ids may write at the same time. Later runs need greater ids, as text.
+    """
+    if not run or "/" in run or "=" in run:
+        raise ValueError("a run id is a name of its own, without / and =")
+    history.write.mode("overwrite").parquet(f"{path.rstrip('/')}/run=_{run}")
+
+
+def load_history(spark: SparkSession, path: str, keys: list[str], schema: T.StructType | None = None) -> DataFrame:
+    """The audits of all runs, of each (by ``keys``, null is a key) what the latest run says."""
+    reader = spark.read.option("mergeSchema", "true") if schema is None else spark.read.schema(T.StructType([*schema.fields, T.StructField("run", T.StringType())]))
+    rows = reader.parquet(path)
+    names = [c for c in rows.columns if c != "run"]
+    whole = F.struct(*[column(c) for c in names])
+    return rows.groupBy(*[column(k) for k in keys]).agg(F.max_by(whole, "run").alias("_latest")).select("_latest.*")

@@ -185,12 +185,40 @@ def test_history_survives_a_round_trip(spark, tmp_path):
     profiles = spark.createDataFrame([("o", "a1", 10)], "owner string, audit string, num_rows bigint")
     path = str(tmp_path / "h")
     for _ in range(2):
-        sinks.append_history(sinks.history_rows(profiles, steps, ["owner"]), path)
-    back = sinks.load_history(spark, path)
-    assert back.count() == 2
+        sinks.append_history(sinks.history_rows(profiles, steps, ["owner"]), path, "2026-01-05")
+    back = sinks.load_history(spark, path, ["owner", "audit"])
+    assert back.count() == 1
     assert sorted(map(tuple, sinks.history_steps(back, ["owner"]).distinct().collect())) == sorted(map(tuple, steps.collect()))
 
 
+def test_history_of_several_runs(spark, tmp_path):
+    """A run again adds nothing; a later run replaces what it has, null owners included, and leaves the rest."""
+    path, schema = str(tmp_path / "h"), "owner string, audit string, tools map<string,int>, n int"
+    first = [("o", "a1", {"x": 1}, 1), ("o", "a2", None, 2), (None, "a1", {}, 3)]
+    for run, rows in (("r1", first), ("r1", first), ("r2", [(None, "a1", {"y": 2}, 30), ("p", "a9", {}, 4)]), ("r1", first)):
+        sinks.append_history(spark.createDataFrame(rows, schema), path, run)
+    back = sinks.load_history(spark, path, ["owner", "audit"])
+    assert {(r.owner, r.audit): r.n for r in back.collect()} == {("o", "a1"): 1, ("o", "a2"): 2, (None, "a1"): 30, ("p", "a9"): 4}
+    assert back.count() == 4
+    with pytest.raises(ValueError):
+        sinks.append_history(back, path, "a/b")
+
+
+def test_audit_records_times_and_what_it_audited(spark):
+    df = spark.range(400).select((F.col("id") % 2).cast("int").alias("y"), F.lit(3).alias("flat"), *[F.rand(i).alias(f"a{i}") for i in range(12)])
+    result = audit(df, "y", tools=("leakage_detector", "feature_utility"), forests=False)
+    steps = {r.tool: r for r in result.steps.collect()}
+    assert set(steps) == {"leakage_detector", "feature_utility"}
+    assert all(0 < r.execution_time <= result.seconds for r in steps.values())
+    row = result.report.first()
+    assert row.audit_metadata.dataset_shape == [400, 14] and row.audit_metadata.target_column == "y"
+    assert {s.tool: s.execution_time for s in row.execution_timeline} == {t: r.execution_time for t, r in steps.items()}
+    record = sinks.audit_record(result.profile, result.steps, result.findings, "y").first()
+    assert all(s.execution_time > 0 and s.timestamp for s in record.audit_steps)
+    lazy = audit(df, "y", tools=("leakage_detector",), forests=False, materialize=False)
+    assert [r.execution_time for r in lazy.steps.collect()] == [None]
+
+
 def test_audit_of_a_wide_table(spark):
     """A profile of 3,000 columns: no expression may nest as deep as the table is wide."""
     wide = spark.range(1000).select(

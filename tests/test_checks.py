@@ -154,6 +154,49 @@ def test_whole_near_duplicates_match_brute_force(spark):
         assert got["total"] == 200
 
 
+def shuffled_rows(df):
+    """Rows that the exchanges of a collected DataFrame wrote, by the plan's own counters."""
+    def children(node):
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            return [node.executedPlan()]
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            return [node.plan()]
+        own = node.children()
+        return [own.apply(i) for i in range(own.size())]
+
+    total, nodes = 0, [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.getClass().getSimpleName() == "ShuffleExchangeExec":
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+        nodes += children(node)
+    return total
+
+
+def test_a_row_that_is_half_of_the_table_moves_once_per_task(spark):
+    """20,000 copies of one row among 20,000 others, 8 tasks: its copies are counted where they are read."""
+    rows = spark.range(40_000, numPartitions=8).select(
+        F.when(F.col("id") % 2 == 0, -1).otherwise(F.col("id")).alias("a"), F.when(F.col("id") % 2 == 0, "copy").alias("b")
+    )
+    hashed = contamination.stored(rows.withColumn("_h", contamination.row_hash64(["a", "b"])).repartition(8))
+    repeated = hashed.groupBy("_h").count().where("count > 1").select("_h")
+    copies = contamination._behind(hashed, repeated).groupBy("_h", "a", "b").count()
+    found = [r["count"] for r in copies.collect() if r["count"] > 1]
+    assert found == [20_000]
+    # What moves: the digests of the filter (here at most 20,001 a task each) and the copies, once per task, besides chance hits.
+    moved = shuffled_rows(copies) - shuffled_rows(_collected(hashed.groupBy("_h").count()))
+    assert moved < 300
+    got = contamination.measure_duplicates(rows).first()
+    assert (got.total, got["count"]) == (40_000, 19_999)
+    both = contamination.measure_exact_overlap(rows, rows.where("a < 100")).first()
+    assert (both.total, both["count"]) == (20_050, 20_050)
+
+
+def _collected(df):
+    df.collect()
+    return df
+
+
 def test_null_rows_are_equal_rows(spark):
     df = spark.createDataFrame([(None, "a"), (None, "a"), (1, None), (1, "a")], "x int, y string")
     assert contamination.measure_duplicates(df).first()["count"] == 1
