@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabscout.functions.lineage import shared_folder
+from tabscout.functions.lineage import shared_folder, stored
 from tabscout.llm.ship import ship
 from tabscout.llm.tokens import word_encoder
 
@@ -84,7 +84,7 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1,
     pieces.write.partitionBy("length").parquet(path)
     written = spark.read.schema(pieces.schema).parquet(path)
     placed = written.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    counts = placed.groupBy("length", "_file").agg(F.count(F.lit(1)).alias("rows"))
+    counts = stored(placed.groupBy("length", "_file").agg(F.count(F.lit(1)).alias("rows")))
     before = W.partitionBy("length").orderBy("_file").rowsBetween(W.unboundedPreceding, -1)
     shorter = W.orderBy("length").rowsBetween(W.unboundedPreceding, -1)
     zero = F.lit(0).cast("bigint")
