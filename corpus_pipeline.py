@@ -7,20 +7,23 @@ of ``documents``; columns that a stage does not know are passed on.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscout.functions.lineage import shared_folder
+from tabscout.functions.lineage import shared_folder, stored
 from tabscout.llm.defaults import table, tokenizer_file
 from tabscout.llm.minhash import near_duplicates
-from tabscout.llm.mixing import mix
+from tabscout.llm.mixing import form_topic, mix
 from tabscout.llm.ordinal import fit_grades, grade, quality_grade
 from tabscout.llm.packing import pack
 from tabscout.llm.substring import remove_repeats
 
 #: A document stays if its probability of the highest grade is at least this.
 LEAST_TAIL = 0.5
+#: The column that numbers rows while near-duplicates are sought.
+ROW = "__pipeline_row"
 #: Word runs of near-duplicate sets, their least similarity in percent, words of a repeated passage.
 SHINGLE, PERCENT, PASSAGE = 5, 80, 50
 
@@ -33,9 +36,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id."""
-    dropped = near_duplicates(docs, SHINGLE, PERCENT).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates: that with the smallest id.
+
+    Rows are numbered in the order of their ids, ties by text, so that rows that
+    share an id are documents of their own: of equal rows one stays, and a text
+    is not dropped for another text under its id.
+    """
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+    numbered = docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(ROW, F.monotonically_increasing_id())
+    numbered = stored(numbered)
+    groups = near_duplicates(numbered.select(F.col(ROW).alias("doc_id"), "text"), SHINGLE, PERCENT)
+    dropped = groups.where(~F.col("kept")).select(F.col("doc_id").alias(ROW))
+    return numbered.join(dropped, ROW, "left_anti").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +58,16 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose tokens meet the target weights of sources, languages and topics."""
-    dropped = mix(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """A sample whose tokens meet the target weights of sources, languages and topics.
+
+    The draw depends on the id, the source, the language and the topic, so rows
+    that share an id but not all of these are drawn each for itself.
+    """
+    drawn = ("doc_id", "source", "lang", "topic")
+    dropped = mix(docs).where(~F.col("kept")).select(*[F.col(c).alias(f"_{c}") for c in drawn]).distinct()
+    own = {"topic": form_topic(F.col("text"))}
+    same = reduce(lambda a, b: a & b, [own.get(c, F.col(c)).eqNullSafe(F.col(f"_{c}")) for c in drawn])
+    return docs.join(dropped, same, "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
