@@ -45,6 +45,23 @@ def test_stages_on_planted_documents(spark, tmp_path):
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in mixed.collect()}
 
 
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    """A text is not lost because another row with its id is a copy; of equal rows one stays."""
+    a, own = prose(31, 120), prose(32, 120)
+    docs = make(spark, [(1, a), (5, a), (5, own), (7, own), (9, prose(33, 90)), (9, prose(33, 90)), (None, prose(34, 80)), (None, a)])
+    kept = pipeline.near_dedup(spark, docs, SF)
+    assert kept.columns == docs.columns
+    found = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert found == sorted([(1, a), (5, own), (9, prose(33, 90)), (None, prose(34, 80))], key=repr)
+    texts = [(3, prose(40 + i, 30 + 60 * i)) for i in range(40)]
+    docs = make(spark, texts)
+    mixed = pipeline.mixing(spark, docs, SF)
+    drawn = {(r.doc_id, r.source, r.lang, r.topic): r.kept for r in pipeline.mix(docs).collect()}
+    topics = docs.withColumn("t", pipeline.form_topic(F.col("text"))).collect()
+    want = sorted(r.text for r in topics if drawn[r.doc_id, r.source, r.lang, r.t])
+    assert sorted(r.text for r in mixed.collect()) == want
+
+
 def test_quality_stage_keeps_good_documents(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
