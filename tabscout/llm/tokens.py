@@ -8,8 +8,8 @@ from functools import lru_cache
 
 import numpy as np
 
-# White space before a space: the space then belongs to a run that the tokenizer reads as a whole. Spaces are found first.
-_RUN = re.compile(r" (?<=\s )")
+# White space before a space: the space then belongs to a run that the tokenizer reads as a whole.
+_RUN = re.compile(r"\s ")
 # A space after anything else always starts a new pre-token.
 _CUT = re.compile(r"(?<=\S) ")
 _ID = np.dtype("<u4")
@@ -25,9 +25,7 @@ class WordEncoder:
     pre-tokens. So a text may be cut there, and the ids of the parts put side
     by side are the ids of the text. Special tokens in a text are ordinary text.
 
-    A text's first word, which no space precedes, is remembered apart. ``words``
-    bounds the memory: when half as many are new, those that have not been seen
-    since the last time are forgotten.
+    ``words`` bounds the memory: with so many remembered, all are forgotten.
     """
 
     def __init__(self, path: str, words: int = 800_000):
@@ -37,8 +35,6 @@ class WordEncoder:
         self._tokenizer.encode_special_tokens = True
         self._words = words
         self._known: dict[str, bytes] = {}
-        self._older: dict[str, bytes] = {}
-        self._first: dict[str, bytes] = {"": b""}
         vocabulary = self._tokenizer.get_vocab()
         # A byte-level vocabulary writes each byte as one character.
         self._bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -48,14 +44,6 @@ class WordEncoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, _ID)
 
-    def _learn_first(self, words: set[str]) -> None:
-        """Encodes the first words of many texts in one call."""
-        if len(self._first) > self._words:
-            self._first = {"": b""}
-        new = list(words.difference(self._first))
-        for word, ids in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self._first[word] = np.array(ids.ids, _ID).tobytes()
-
     def _learn(self, words: Sequence[str]) -> None:
         """Encodes many words as one text and cuts the ids where the words end."""
         ids = self._ids("".join(words))
@@ -69,28 +57,28 @@ class WordEncoder:
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """For each text its ids, as little-endian unsigned 32-bit numbers."""
         split = [_CUT.split(t) if _RUN.search(t) else t.split(" ") for t in texts]
-        if len(self._known) > self._words // 2:
-            self._known, self._older = {}, self._known
-        known, older = self._known, self._older
+        known = self._known
+        if len(known) > self._words:
+            known.clear()
         missing: set[str] = set()
         for parts in split:
             missing.update(parts[1:])
         block, length = [], 0
         for word in missing.difference(known):
-            if word in older:
-                known[word] = older[word]
-            elif not word or word[-1].isspace():  # could run into its neighbour in a joined text
+            if not word or word[-1].isspace():  # could run into its neighbour in a joined text
                 known[word] = self._ids(f" {word}").tobytes()
-            else:
-                block.append(f" {word}")
-                length += len(word) + 1
-                if length >= _BLOCK:
-                    self._learn(block)
-                    block, length = [], 0
+                continue
+            block.append(f" {word}")
+            length += len(word) + 1
+            if length >= _BLOCK:
+                self._learn(block)
+                block, length = [], 0
         if block:
             self._learn(block)
-        self._learn_first({parts[0] for parts in split})
-        return [b"".join([self._first[parts[0]], *map(known.__getitem__, parts[1:])]) for parts in split]
+        return [
+            b"".join([self._ids(parts[0]).tobytes() if parts[0] else b"", *map(known.__getitem__, parts[1:])])
+            for parts in split
+        ]
 
 
 @lru_cache(maxsize=2)
