@@ -457,6 +457,12 @@ ORACLES["critical_leaks"] = f"""WITH {EF} SELECT dataset, tool, type, severity,
 FROM ef WHERE tool = 'leakage_detector' AND severity = 'critical'"""
 _STATUS = f"""st AS (SELECT ex.dataset, ex.tool, CAST(ex.position AS BIGINT) AS position, count(ef.type) AS findings_count, {_COUNTS}
   FROM ex LEFT JOIN ef USING (dataset, tool) GROUP BY ALL)"""
+ORACLES["single_check_status"] = f"""WITH {EF}, {_STATUS} SELECT *, CASE WHEN findings_count = 0 THEN 'pass' WHEN critical_count > 0 THEN 'fail'
+  WHEN warning_count > 0 THEN 'warning' ELSE 'info' END AS status FROM st"""
+ORACLES["split_sources"] = """WITH s AS (SELECT CASE WHEN o_orderkey % 10 < 7 THEN 'train' ELSE 'test' END AS side, o_orderstatus, o_totalprice FROM orders),
+b AS (SELECT * FROM s UNION ALL SELECT 'both', o_orderstatus, o_totalprice FROM s)
+SELECT side, o_orderstatus, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS price FROM b GROUP BY ALL"""
+ORACLES["findings_export"] = f"""WITH {EF} SELECT tool, type, severity, feature, count(*) AS n FROM ef GROUP BY ALL"""
 ORACLES["tool_status"] = f"""WITH {EF}, {_STATUS} SELECT *, CASE WHEN findings_count = 0 THEN 'pass'
   WHEN critical_count > 0 THEN 'fail' ELSE 'warning' END AS status FROM st"""
 

@@ -16,6 +16,7 @@ from tabscout.plans import workloads as wl
 from tabscout.plans.audit import audit
 from tabscout.schema import union_all
 from tabscout.sources import sinks
+from tabscout.sources.tables import load_split, read_table
 from tabscout.table import LabelledTable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -470,6 +471,36 @@ def critical_leaks(spark, d):
     return rounded(found.select("dataset", "tool", "type", "severity", "feature", "metric"))
 
 
+@query
+def single_check_status(spark, d):
+    """The status of each tool as a check by itself reports it, which tells info-only results apart."""
+    return _longs(roll.tool_status(*_found(spark, d), info_status=True), "position")
+
+
+@query
+def split_sources(spark, d):
+    """Orders written as a training and a test CSV file, and loaded again as one labelled table."""
+    orders = wl.read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    folder = f"{shared_folder(spark).rstrip('/')}/split-{uuid.uuid4().hex}"
+    sides = {"train": orders.where("o_orderkey % 10 < 7"), "test": orders.where("o_orderkey % 10 >= 7")}
+    for name, side in sides.items():
+        side.write.csv(f"{folder}/{name}.csv", header=True)
+    t, train, test = load_split(spark, f"{folder}/train.csv", f"{folder}/test.csv", "o_orderstatus", ("o_orderkey",), schema=orders.schema)
+    parts = {"both": t.df, "train": train, "test": test}
+    total = F.round(F.sum(F.col("o_totalprice").cast("decimal(18,2)")), 2).cast("double").alias("price")
+    counted = [df.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), total).withColumn("side", F.lit(n)) for n, df in parts.items()]
+    return rounded(union_all(counted), 2)
+
+
+@query
+def findings_export(spark, d):
+    """The findings of the fleet written as CSV and read back; commas, quotes and missing features survive."""
+    path = f"{shared_folder(spark).rstrip('/')}/findings-{uuid.uuid4().hex}.csv"
+    sinks.write_findings_csv(_found(spark, d)[1], path)
+    back = read_table(spark, path, "type string, severity string, feature string, message string, evidence string, tool string")
+    return back.groupBy("tool", "type", "severity", "feature").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def tool_status(spark, d):
     return _longs(roll.tool_status(*_found(spark, d)), "position")
