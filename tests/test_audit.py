@@ -1,5 +1,7 @@
+import hashlib
 import json
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -233,3 +235,18 @@ def test_plans_that_change_thresholds(spark):
     fired = spark.createDataFrame(rows, "dataset string, trigger string, place int").join(fleet.plan_table(spark), "trigger")
     got = {(r.dataset, r.threshold): r.value for r in fleet.adjusted_thresholds(fired).collect()}
     assert got == {("d", "skip_threshold"): 0.6, ("d", "critical_threshold"): 0.5, ("e", "skip_threshold"): 0.3}
+
+
+def test_cluster_sample_by_brute_force(spark):
+    """Five clusters far apart: each gives its share of the sample, the rows whose seeded digests are smallest."""
+    rng = random.Random(3)
+    sizes = (1000, 500, 300, 150, 50)
+    rows = [(1000 * c + i, 100.0 * c * (-1) ** c + rng.random(), 70.0 * c + rng.random(), c % 2) for c, n in enumerate(sizes) for i in range(n)]
+    t = LabelledTable(spark.createDataFrame(rows, "k bigint, a double, b double, y int").repartition(4).select("k", "a", "b", "y"), "y", ("k",))
+    spread = LabelledTable(t.df.withColumn("v", F.array("a", "b")), "y", ("k",))
+    got = {r.k for r in sampling.cluster_sample(spread, 200, vector="v").collect()}
+    expected = set()
+    for c, n in enumerate(sizes):
+        own = sorted((hashlib.md5(f"{t.seed}|{r[0]}".encode()).hexdigest(), r[0]) for r in rows if r[0] // 1000 == c)
+        expected |= {k for _, k in own[: max(1, n * 200 // sum(sizes))]}
+    assert got == expected and len(got) == 200
