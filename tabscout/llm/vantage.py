@@ -190,11 +190,14 @@ def nearest(
     precision from the first coordinate; ties go to the smaller key. Rows whose
     key equals the query's are its own. Vectors are compared with vectors of the
     same width; see ``usable`` for the rows left out. Fewer than ``k`` candidates
-    give fewer ranks; an empty table gives no rows.
+    give fewer ranks; an empty table gives no rows. Equal query rows are one
+    query; rows that share a key but not the vector are ranked each for itself.
+    Repeated candidate rows take a rank each.
     """
     spark = candidates.sparkSession
     ship(spark)
-    rows, asked = usable(candidates, key, column), usable(queries, key, column)
+    rows = usable(candidates, key, column)
+    asked = usable(queries, key, column).distinct().withColumn("digest", F.xxhash64("vector"))
     # Two counts and a norm reach the driver.
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)).alias("most")).first()
     n_queries = asked.count()
@@ -222,21 +225,22 @@ def nearest(
     posed = asked.withColumn("block", _spread(n_queries, block)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def search(trees: pa.Table, posed: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
+        names = ["query_id", "digest", "vec_id", "score"]
         if not trees.num_rows or not posed.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names)
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64())], names)
         row = trees.to_pylist()[0]
         ids = np.frombuffer(row["ids"], np.int64)
         tree = Tree(ids, np.frombuffer(row["vectors"]).reshape(len(ids), -1), np.frombuffer(row["nodes"]).reshape(-1, 9))
         query_ids, vectors = _matrix(posed)
         best, scores = tree.search(query_ids, vectors, norm, k, factor)
         found = np.isfinite(scores)
-        return pa.table([np.repeat(query_ids, found.sum(1)), best[found], scores[found]], names)
+        asker = [np.repeat(x, found.sum(1)) for x in (query_ids, posed.column("digest").to_numpy())]
+        return pa.table([*asker, best[found], scores[found]], names)
 
     found = (
         trees.groupBy("shard", "width", "block")
         .cogroup(posed.groupBy("shard", "width", "block"))
-        .applyInArrow(search, "query_id bigint, vec_id bigint, score double")
+        .applyInArrow(search, "query_id bigint, digest bigint, vec_id bigint, score double")
     )
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(W.partitionBy("query_id", "digest").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -40,6 +40,20 @@ def test_exact_on_edges(spark):
     assert nearest(df.where("vec_id < 3"), df.where("vec_id = 0"), 7).count() == 2
 
 
+def test_repeated_rows(spark):
+    """A repeated query is one query; ids with two vectors ask twice, and each answer has its own ranks."""
+    rng = np.random.default_rng(8)
+    vectors = [rng.normal(size=4).tolist() for _ in range(41)]
+    rows = [*enumerate(vectors), (20, vectors[20]), (20, vectors[20]), (40, vectors[3]), (7, vectors[7])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id bigint, embedding array<double>, digest int").repartition(3)
+    for shard in (8192, 8):
+        found = nearest(df, df.where("vec_id % 20 = 0"), 6, shard=shard, block=2).collect()
+        got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found)
+        assert len(got) == 6 * 4  # queries 0, 20 and twice 40
+        assert set(got) == brute([(i, v) for i, v in rows], [0, 20, 40], 6)
+        assert [r[1] for r in got if r[0] == 20] == [1, 2, 3, 4, 5, 6]
+
+
 @pytest.mark.parametrize(("factor", "least"), [(1.0, 1.0), (1.5, 0.99), (2.0, 0.9)])
 def test_recall_of_relaxed_pruning(factor, least):
     rng = np.random.default_rng(1)
