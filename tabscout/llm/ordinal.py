@@ -39,10 +39,10 @@ def features(text: str) -> np.ndarray:
     found = {t.lower() for t in stripped.values()}
     odd = [t[-3:] for t in tokens if not t[-2:].isalnum()]
     found.update("\x00" + end for end in odd)
-    bare = [t for t, word in stripped.items() if not word]
+    bare = {t for t, word in stripped.items() if not word}
     shares = (
         sum(map(eq, sequence, sequence[1:])) / max(1, len(sequence)),
-        sum(map(sequence.count, bare)) / max(1, len(sequence)) if len(bare) < 20 else len(bare) / len(tokens),
+        sum(map(bare.__contains__, sequence)) / max(1, len(sequence)) if bare else 0.0,
         len(odd) / max(1, len(tokens)),
         sum(map(str.isupper, tokens)) / max(1, len(tokens)),
     )
@@ -103,17 +103,9 @@ def _descend(
     row: np.ndarray, at: np.ndarray, grades: np.ndarray, weights: np.ndarray, thresholds: np.ndarray, penalty: float
 ) -> tuple[np.ndarray, np.ndarray]:
     """Fits weights and thresholds to the pairs of row and feature that the sample has."""
-    n, cuts = len(grades), len(thresholds)
-    every, sums, sums_t = np.arange(n), np.full(len(weights), 1e-8), np.full(cuts, 1e-8)
+    sums, sums_t = np.full(len(weights), 1e-8), np.full(len(thresholds), 1e-8)
     for _ in range(STEPS):
-        score = np.bincount(row, weights[at], n)
-        below = 1 / (1 + np.exp(np.clip(score[:, None] - thresholds, -30, 30)))  # P(grade <= j)
-        padded = np.column_stack([np.zeros(n), below, np.ones(n)])
-        slope = np.column_stack([np.zeros(n), below * (1 - below), np.zeros(n)])
-        likely = np.maximum(padded[every, grades + 1] - padded[every, grades], 1e-12)
-        upper, lower = slope[every, grades + 1] / likely, slope[every, grades] / likely
-        gradient = np.bincount(at, (upper - lower)[row], len(weights)) / n
-        gradient_t = np.array([((grades == j + 1) * lower - (grades == j) * upper).mean() for j in range(cuts)])
+        _, gradient, gradient_t = loss(row, at, grades, weights, thresholds)
         sums += gradient**2
         sums_t += gradient_t**2
         rate = RATE / np.sqrt(sums)
@@ -123,6 +115,23 @@ def _descend(
     return weights, thresholds
 
 
+def loss(
+    row: np.ndarray, at: np.ndarray, grades: np.ndarray, weights: np.ndarray, thresholds: np.ndarray
+) -> tuple[float, np.ndarray, np.ndarray]:
+    """The mean of -log P(grade) over the sample, and its gradients by weights and by thresholds."""
+    n, cuts = len(grades), len(thresholds)
+    every = np.arange(n)
+    score = np.bincount(row, weights[at], n)
+    below = 1 / (1 + np.exp(np.clip(score[:, None] - thresholds, -30, 30)))  # P(grade <= j)
+    padded = np.column_stack([np.zeros(n), below, np.ones(n)])
+    slope = np.column_stack([np.zeros(n), below * (1 - below), np.zeros(n)])
+    likely = np.maximum(padded[every, grades + 1] - padded[every, grades], 1e-12)
+    upper, lower = slope[every, grades + 1] / likely, slope[every, grades] / likely
+    gradient = np.bincount(at, (upper - lower)[row], len(weights)) / n
+    gradient_t = np.array([((grades == j + 1) * lower - (grades == j) * upper).mean() for j in range(cuts)])
+    return float(-np.log(likely).mean()), gradient, gradient_t
+
+
 def hash_unit(key: Column, seed: int) -> Column:
     """A number in [0, 1) that depends on the key and the seed alone."""
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)).cast("double") / F.lit(float(1 << 40))

@@ -1,10 +1,14 @@
 """Ordinal grades: held-out accuracy and edge cases."""
 
+import math
+
 import numpy as np
 import pytest
+import xxhash
+from planted import make
 from pyspark.sql import functions as F
 
-from tabscout.llm.ordinal import Grades, features, fit_grades, grade, quality_grade
+from tabscout.llm.ordinal import Grades, features, fit_grades, grade, loss, quality_grade
 
 SF = "/root/testdata/sf0.1"
 
@@ -63,3 +67,54 @@ def test_levels_and_thresholds():
 def test_grades_of_labels(spark):
     rows = spark.createDataFrame([(0, 0), (1, 0), (0, 1), (1, 1), (None, 0), (1, None), (None, 1)], "q int, t int")
     assert [r[0] for r in rows.select(quality_grade(F.col("q"), F.col("t"))).collect()] == [1, 2, 0, 0, None, None, 0]
+
+
+def test_gradients_against_finite_differences():
+    rng = np.random.default_rng(4)
+    n, width, levels = 60, 9, 4
+    row, at = np.nonzero(rng.random((n, width)) < 0.4)
+    grades, weights, thresholds = rng.integers(0, levels, n), rng.normal(size=width), np.array([-1.0, 0.2, 1.5])
+    _, by_weight, by_threshold = loss(row, at, grades, weights, thresholds)
+    step = 1e-6
+    for given, found in ((weights, by_weight), (thresholds, by_threshold)):
+        for i in range(len(given)):
+            sides = []
+            for sign in (1, -1):
+                moved = given.copy()
+                moved[i] += sign * step
+                sides.append(loss(row, at, grades, *((moved, thresholds) if given is weights else (weights, moved)))[0])
+            assert found[i] == pytest.approx((sides[0] - sides[1]) / (2 * step), abs=1e-7)
+
+
+def test_loss_against_the_definition():
+    weights, thresholds = np.array([0.5, -1.0, 2.0]), np.array([-0.5, 1.0])
+    rows, grades = [[0], [0, 1], [2], []], np.array([0, 1, 2, 1])
+    total = 0.0
+    for own, g in zip(rows, grades, strict=True):
+        score = sum(weights[i] for i in own)
+        below = [0.0, *[1 / (1 + math.exp(score - t)) for t in thresholds], 1.0]
+        total -= math.log(below[g + 1] - below[g])
+    row, at = np.repeat(np.arange(4), [len(r) for r in rows]), np.array([i for r in rows for i in r])
+    assert loss(row, at, grades, weights, thresholds)[0] == pytest.approx(total / 4)
+
+
+def test_grades_of_documents_against_the_definition(spark):
+    """Every row's two numbers, from weights of single words."""
+    weight = {"good": 1.5, "bad": -2.0, "fine": 0.25}
+    hashes = np.array([xxhash.xxh32_intdigest(w) for w in weight], np.uint32)
+    order = np.argsort(hashes)
+    model = Grades(hashes[order], np.array(list(weight.values()))[order], np.array([-1.0, 0.5]))
+    texts = ["good", "Good, good bad.", "nothing", "", None, "fine\tBAD! " + "word " * 5000, "fine good bad"]
+    for r in grade(make(spark, texts), model).select("text", "expected_grade", "tail_probability").collect():
+        score = sum(weight.get(w, 0) for w in {t.strip("!,.").lower() for t in (r.text or "").split()})
+        above = [1 / (1 + math.exp(t - score)) for t in (-1.0, 0.5)]
+        assert (r.expected_grade, r.tail_probability) == (pytest.approx(sum(above)), pytest.approx(above[1]))
+
+
+@pytest.mark.parametrize("kinds", [1, 19, 20, 31])
+def test_share_of_bare_words_counts_words_however_many_kinds_there_are(kinds):
+    text = " ".join(["-" * (k + 1) for k in range(kinds)] + ["!"] * 10 + [f"w{k}" for k in range(300)])
+    share = (kinds + 10) / (kinds + 310)
+    own = set(features(text).tolist())
+    for step in (0.02, 0.05, 0.1, 0.2, 0.4):
+        assert (xxhash.xxh32_intdigest(f"\x011 {step}") in own) == (share >= step)
