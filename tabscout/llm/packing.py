@@ -18,8 +18,6 @@ from tabscout.llm.tokens import word_encoder
 
 # Texts that are encoded before their pieces are handed on.
 _TEXTS = 128
-# Counters of so many files, some 30 MB, may be sent to every task.
-_BROADCAST_FILES = 200_000
 
 
 def binary_lengths(tokens: int, longest: int) -> list[int]:
@@ -94,8 +92,7 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1,
         .join(F.broadcast(lengths), "length")  # one row per power of two
         .select("_file", (F.col("base") + F.col("before")).alias("first"))
     )
-    if counts.count() <= _BROADCAST_FILES:  # else Spark chooses, and may move the ids once
-        files = F.broadcast(files)
-    return placed.join(files, "_file").select(
+    # Written first, so that Spark knows its size and moves the smaller side.
+    return placed.join(stored(files), "_file").select(
         f"`{key}`", "start", "length", "doc_tokens", "ids", (F.col("first") + F.col("_row")).alias("sequence_id"), zero.alias("offset")
     )
