@@ -234,8 +234,14 @@ def event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One profile per owner and day, its numbers taken from the day's events."""
+    """One profile per owner and day, its numbers taken from the day's events.
+
+    A day whose largest amount is 0 has the floating-point quotient as its
+    balance, NaN or minus infinity, and fails no query.
+    """
     cents = F.round(F.col("value") * 100).cast("bigint")
+    least, most = F.min(cents).cast("double"), F.max(cents)
+    over_zero = F.when(least == 0, float("nan")).otherwise(float("-inf"))
     return (
         read(spark, sf_dir, "events")
         .groupBy(F.col("user_id").alias("owner"), F.to_date("ts").cast("string").alias("audit"))
@@ -243,7 +249,7 @@ def event_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.sum(cents) + 1).alias("num_rows"),
             (F.count(F.lit(1)) * 7 + 5).alias("num_features"),
             (F.count_distinct("event_type") + 2).alias("num_classes"),
-            (F.min(cents).cast("double") / F.max(cents)).alias("class_balance_ratio"),
+            F.when(most == 0, over_zero).otherwise(F.try_divide(least, most)).alias("class_balance_ratio"),
             (F.count_if(F.col("event_type") == "error") / (4.0 * F.count(F.lit(1)))).alias("missing_ratio"),
             F.lit(0.5).alias("numeric_ratio"),
             F.lit(0.5).alias("categorical_ratio"),
