@@ -79,13 +79,13 @@ def near_rows(known: DataFrame, sought: DataFrame, threshold: float, limits: Lim
             break
         small = known.join(open_, "cell", "left_anti"), sought.join(open_, "cell", "left_anti")
         cut, routed, stats = _cut(known.join(open_, "cell"), sought.join(open_, "cell"), threshold, limits, turn)
-        done = stored(routed.where("cell IS NULL").groupBy("id").agg(F.sum("pairs").alias("pairs")))
+        done = stored(routed.where("slots IS NULL").groupBy("id").agg(F.sum("pairs").alias("pairs")))
         settled.append(done)
         # A row that a centre has settled need not be sought elsewhere.
-        left = routed.where("cell IS NOT NULL").join(done, "id", "left_anti")
+        left = routed.where(F.size("slots") > 0).join(done, "id", "left_anti")
         useful = (
             left.groupBy("parent")
-            .agg(F.count(F.lit(1)).alias("entered"), F.count_if("first").alias("rows"))
+            .agg(F.sum(F.size("slots")).alias("entered"), F.count(F.lit(1)).alias("rows"))
             .join(stats.groupBy("parent").agg(F.count(F.lit(1)).alias("cells")), "parent")
             .where(F.col("entered") <= limits.fan_out * F.col("rows") * F.col("cells"))
             .select("parent")
@@ -95,7 +95,8 @@ def near_rows(known: DataFrame, sought: DataFrame, threshold: float, limits: Lim
         closed.append((small[0], _without(small[1], settled)))
         closed.append((known.join(whole, "cell", "left_semi"), _without(sought.join(whole, "cell", "left_semi"), settled)))
         known = stored(cut.join(useful, "parent", "left_semi").select("cell", "u"))
-        sought = stored(left.join(useful, "parent", "left_semi").select("id", "cell", "u"))
+        entering = left.join(useful, "parent", "left_semi").select("id", "parent", "u", F.explode("slots").alias("slot"))
+        sought = stored(entering.select("id", F.concat_ws(".", "parent", "slot").alias("cell"), "u"))
         still = stats.join(useful, "parent", "left_semi").where(
             (F.col("n") > limits.cell) & (F.col("n") < 0.9 * F.col("whole"))
         )
@@ -115,9 +116,10 @@ def _without(sought: DataFrame, settled: list[DataFrame]) -> DataFrame:
 
 
 def _cut(known: DataFrame, sought: DataFrame, threshold: float, limits: Limits, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Known rows in their new cells, sought rows in those that they have to enter, and what is known of the new cells.
+    """Known rows in their new cells, sought rows with those that they have to enter, and what is known of the new cells.
 
-    A sought row without ``cell`` is settled; ``first`` marks one row of each that is not.
+    Cells to enter are ``slots``, numbers below the parent, so a row and its vector leave a
+    task once however many there are. A row without ``slots`` is settled.
     """
     slot = F.pmod(F.xxhash64(F.lit(turn), "u"), F.lit(_DRAWN * limits.centres)).cast("int")
     drawn = known.groupBy("cell", slot.alias("slot")).agg(
@@ -148,7 +150,7 @@ def _cut(known: DataFrame, sought: DataFrame, threshold: float, limits: Limits,
     routed = (
         posed.groupBy("cell", "block")
         .cogroup(around.groupBy("cell", "block"))
-        .applyInArrow(_routing(threshold), "id bigint, parent string, cell string, u array<double>, first boolean, pairs bigint")
+        .applyInArrow(_routing(threshold), "id bigint, parent string, u array<double>, slots array<int>, pairs bigint")
     )
     return cut, stored(routed), stats
 
@@ -210,40 +212,36 @@ def _joining() -> Callable[[pa.Table, pa.Table], pa.Table]:
 
 def _routing(threshold: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
     reach, slack = math.acos(max(-1.0, min(1.0, threshold))), _SLACK
-    names = ["id", "parent", "cell", "u", "first", "pairs"]
+    names = ["id", "parent", "u", "slots", "pairs"]
 
     def route(rows: pa.Table, around: pa.Table) -> pa.Table:
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.float64()), pa.bool_(), pa.int64())
+        kinds = (pa.int64(), pa.string(), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.int64())
         if not rows.num_rows or not around.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names)
         own = around.slice(0, 1).to_pylist()[0]
         rings = {r["cell"]: r for r in own["rings"]}
-        held = [(f"{own['cell']}.{c['slot']}", c["u"]) for c in own["centres"]]
-        held = [(cell, u) for cell, u in held if cell in rings]
-        centres = np.array([u for _, u in held])
+        held = [(f"{own['cell']}.{c['slot']}", c["slot"], c["u"]) for c in own["centres"]]
+        held = [h for h in held if h[0] in rings]
+        centres = np.array([u for _, _, u in held])
         column = rows.column("u").combine_chunks()
         vectors = column.flatten().to_numpy().reshape(len(column), -1)
         cosines = vectors @ centres.T
         settled = (cosines >= threshold).any(1)
         angles = np.arccos(np.clip(cosines, -1, 1))
-        least, most = (np.array([rings[cell][n] for cell, _ in held]) for n in ("least", "most"))
+        least, most = (np.array([rings[cell][n] for cell, _, _ in held]) for n in ("least", "most"))
         enter = (angles <= angles.min(1, keepdims=True) + 2 * reach + slack) & (angles <= most + reach + slack) & (angles >= least - reach - slack)
         enter[settled] = False
-        # A row that no cell can hold a match for still shows that its centres were looked at.
-        at, to = np.nonzero(enter)
-        first = np.ones(len(at), bool)
-        first[1:] = at[1:] != at[:-1]
-        ids = rows.column("id").combine_chunks()
-        done = np.flatnonzero(settled)
+        slots = np.array([slot for _, slot, _ in held], np.int32)[np.nonzero(enter)[1]]
+        ends = np.concatenate([[0], np.cumsum(enter.sum(1))]).astype(np.int32)
+        # A null start makes a null list.
+        entered = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.append(settled, False)), pa.array(slots))
+        # One more row, without id, only says how many centres were looked at.
         none = pa.nulls(1, pa.int64())
-        counts = np.zeros(len(at) + len(done) + 1, np.int64)
-        counts[-1] = cosines.size
-        parent = [own["cell"]] * len(counts)
-        cells = pa.array([held[j][0] for j in to] + [None] * (len(done) + 1), pa.string())
-        taken = pa.concat_arrays([column.take(pa.array(at)), pa.nulls(len(done) + 1, column.type)])
-        keys = pa.concat_arrays([ids.take(pa.array(at)), ids.take(pa.array(done)), none])
-        firsts = pa.array(np.concatenate([first, np.zeros(len(done) + 1, bool)]))
-        return pa.table([keys, pa.array(parent), cells, taken.cast(kinds[3]), firsts, pa.array(counts)], names)
+        keys = pa.concat_arrays([rows.column("id").combine_chunks(), none])
+        vectors = pa.concat_arrays([column, pa.nulls(1, column.type)]).cast(kinds[2])
+        counts = np.append(np.zeros(len(column), np.int64), cosines.size)
+        lists = pa.concat_arrays([entered, pa.nulls(1, kinds[3])])
+        return pa.table([keys, pa.array([own["cell"]] * len(counts)), vectors, lists, pa.array(counts)], names)
 
     return route
 

@@ -88,3 +88,26 @@ def test_cells_are_cut_until_they_are_small(spark):
     ids, pairs = found(near_rows(*frames(spark, known, sought), 0.9995, limits))
     assert ids == {int(i) for i in np.flatnonzero(((sought @ known.T) >= 0.9995).any(1))}
     assert pairs < 0.2 * len(known) * len(sought)
+
+
+def test_a_routed_row_carries_its_vector_once():
+    """Vectors that the triangle inequality excludes nothing for: as many rows come out as went in, and one count."""
+    import pyarrow as pa
+
+    from tabscout.functions import metric
+
+    rng = np.random.default_rng(5)
+    centres, sought = unit(rng.normal(size=(32, 64))), unit(rng.normal(size=(500, 64)))
+    sought[7] = centres[3]
+    rows = pa.table({"id": pa.array(range(500), pa.int64()), "u": pa.array(sought.tolist(), pa.list_(pa.float64()))})
+    own = {
+        "cell": "64",
+        "centres": [{"slot": 2 * i, "u": c.tolist()} for i, c in enumerate(centres)],
+        "rings": [{"cell": f"64.{2 * i}", "least": 0.0, "most": 2.0} for i in range(32)],
+    }
+    got = metric._routing(0.7)(rows, pa.Table.from_pylist([own]))
+    assert got.num_rows == 501
+    slots = got.column("slots").to_pylist()
+    assert slots[7] is None and slots[500] is None
+    assert all(s == list(range(0, 64, 2)) for i, s in enumerate(slots[:500]) if i != 7)
+    assert sum(got.column("pairs").to_pylist()) == 500 * 32
