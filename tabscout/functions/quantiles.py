@@ -1,52 +1,49 @@
 """Exact quantiles of many columns at once that never hold a column's values in one place.
 
 Spark's exact ``percentile`` keeps every distinct value of a column in one
-aggregation buffer. Here the line of each column is cut into closed intervals. One
-aggregate counts the intervals of all columns together and sketches those that hold a wanted rank; the
-next intervals come from the sketches. What a sketch says only decides where the
-line is cut, the counts decide where a rank is, so results are exact. Once an
-interval is expected to hold few rows, its values are counted one by one.
+aggregation buffer. Here the line of each column is cut into closed intervals of
+doubles that share leading bits. Tasks count the next bits of all columns in arrays of fixed
+size, Spark adds the counters up, and the intervals that hold a wanted rank are cut on.
+Counts alone decide where a rank is, so results are exact. Once an
+interval holds few rows, its values are counted one by one.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabscout.functions.lineage import stored
 from tabscout.schema import blocks, empty, melt, union_all
 
 SCHEMA = "feature string, prob double, value double"
 
-# Steps of a sketch, and how many of them an interval around a rank spans to each side.
-_STEPS, _PAD = 200, 2
-_ACCURACY = 5 * _STEPS
+# Bits of a double that a round cuts by: first sign and exponent, then the fraction.
+_WIDTHS = (12, 10, 10, 10, 10, 12)
 # Rows of an interval that are counted value by value.
 _BRACKET_ROWS = 100_000
 _COLUMNS_PER_SCAN = 40
-
-Interval = tuple[float, float]
-# What is done with the rows of a piece.
-_COUNT, _SKETCH, _LIST = 0, 1, 2
+_COUNTERS = "place int, slot int, digit int, n bigint, low double, high double"
 
 
 @dataclass
 class _Search:
-    """Some ranks of a column, all within the ``pieces``, with what is done with each of these.
+    """Some ranks of a column, all within the ``rows`` values whose key starts with ``prefix``.
 
-    Pieces are closed intervals in ascending order; ``below`` values are less than the first.
+    ``below`` values are less than these.
     """
 
     feature: str
     ranks: list[int]
     below: int
-    pieces: list[Interval]
-    kinds: list[int]
+    rows: int
+    prefix: int = 0
 
 
 def order_statistics(
@@ -59,144 +56,126 @@ def order_statistics(
     """The value at every wanted rank (from 0) of every column, nulls left out.
 
     ``sizes`` are the numbers of non-null values. The driver holds a few numbers
-    per wanted rank. The number of jobs depends on how many rows there are,
-    about one more for every factor of a hundred, and not on the number of columns.
+    per wanted rank and the counters of their intervals. There are at most as many jobs
+    as a double has digits, and a column of few rows or few values needs two of them,
+    however many rows and columns there are.
     """
-    whole = (-math.inf, math.inf)
-    open_ = [
-        _Search(f, sorted(set(wanted)), 0, [whole], [_LIST if sizes[f] <= bracket_rows else _SKETCH]) for f, wanted in ranks.items() if wanted and sizes[f]
-    ]
+    open_ = [_Search(f, sorted(set(wanted)), 0, sizes[f]) for f, wanted in ranks.items() if wanted and sizes[f]]
     found: dict[tuple[str, int], float] = {}
-    while open_:
-        listing, sketching = [], []
-        for search in open_:
-            (listing if _LIST in search.kinds else sketching).append(search)
-        open_ = []
-        if sketching:
-            for search, measured in _sketch(df, cells, sketching):
-                open_ += _narrow(search, measured, found, bracket_rows)
+    bits = 0
+    for width in _WIDTHS:
+        listing = [s for s in open_ if s.rows <= bracket_rows]
         if listing:
-            open_ += _list(df, cells, listing, found)
+            _list(df, cells, listing, bits, found)
+        open_ = _cut(df, cells, [s for s in open_ if s.rows > bracket_rows], bits, width, found)
+        bits += width
+        if not open_:
+            break
     return found
 
 
-def _slots(df: DataFrame, cells: dict[str, Column], searches: Iterable[_Search]) -> tuple[DataFrame, dict[tuple[str, int], tuple[_Search, int]]]:
-    """``feature, slot, kind, value`` of all values inside a piece, and which piece a slot of a column is."""
-    rows, places = {}, {}
-    for search in sorted(searches, key=lambda s: (s.feature, s.pieces[0][0])):
-        held = rows.setdefault(search.feature, [])
-        for i, (piece, kind) in enumerate(zip(search.pieces, search.kinds, strict=True)):
-            places[search.feature, len(held)] = (search, i)
-            held.append((*piece, kind))
-    named = blocks(list(rows), _COLUMNS_PER_SCAN)
-    long = union_all([melt(df, {n: cells[n] for n in b}) for b in named]).where("value IS NOT NULL")
-    if all(held == [(-math.inf, math.inf, _SKETCH)] for held in rows.values()):
-        return long.select("feature", F.lit(0).alias("slot"), F.lit(_SKETCH).alias("kind"), "value"), places
-    table = [(f, [(i, *piece) for i, piece in enumerate(held)]) for f, held in rows.items()]
-    pieces = df.sparkSession.createDataFrame(table, "feature string, pieces array<struct<slot int, low double, high double, kind int>>")
-    # The generator drops rows outside all pieces and is evaluated once.
-    own = F.filter("pieces", lambda p: (p["low"] <= F.col("value")) & (F.col("value") <= p["high"]))
-    placed = long.join(F.broadcast(pieces), "feature").select("feature", "value", F.inline(own))  # one row per column
-    return placed.select("feature", "slot", "kind", "value"), places
-
-
-def _sketch(df: DataFrame, cells: dict[str, Column], searches: list[_Search]) -> list[tuple[_Search, list]]:
-    """Each search with the count, ends and quantile steps of its pieces, from one job for all columns."""
-    inside, places = _slots(df, cells, searches)
-    fractions = [i / _STEPS for i in range(_STEPS + 1)]
-    rows = inside.groupBy("feature", "slot").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("value").alias("low"),
-        F.max("value").alias("high"),
-        F.percentile_approx(F.when(F.col("kind") == _SKETCH, F.col("value")), fractions, _ACCURACY).alias("steps"),
-    )
-    measured: dict[int, list] = {id(s): [None] * len(s.pieces) for s in searches}
-    for r in rows.collect():
-        search, i = places[r.feature, r.slot]
-        measured[id(search)][i] = r
-    return [(s, measured[id(s)]) for s in searches]
-
-
-def _narrow(search: _Search, measured: list, found: dict[tuple[str, int], float], bracket_rows: int) -> list[_Search]:
-    """What is left to search once the pieces are counted: smaller pieces around the ranks that are not yet found."""
-    below, left = search.below, []
-    for row, piece in zip(measured, search.pieces, strict=True):
-        if row is None:
+def _cut(
+    df: DataFrame, cells: dict[str, Column], searches: list[_Search], bits: int, width: int, found: dict[tuple[str, int], float]
+) -> list[_Search]:
+    """What is left to search once the next ``width`` bits are counted, from one job for all columns."""
+    by_feature: dict[str, list[_Search]] = {}
+    for search in sorted(searches, key=lambda s: s.prefix):
+        by_feature.setdefault(search.feature, []).append(search)
+    if not by_feature:
+        return []
+    names = list(by_feature)
+    parts = []
+    for block in blocks(list(enumerate(names)), _COLUMNS_PER_SCAN):
+        wanted = [(place, [s.prefix for s in by_feature[n]]) for place, n in block]
+        wide = df.select(*[cells[n].alias(f"c{place}") for place, n in block])
+        parts.append(wide.mapInArrow(_counting(wanted, bits, width), _COUNTERS))
+    counted = union_all(parts).groupBy("place", "slot", "digit").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    # An interval has as many counters as a digit has values; the driver sees those that hold a rank.
+    upto = F.sum("n").over(W.partitionBy("place", "slot").orderBy("digit"))
+    rows = [(i, j, r - s.below, r) for i, n in enumerate(names) for j, s in enumerate(by_feature[n]) for r in s.ranks]
+    asked = df.sparkSession.createDataFrame(rows, "place int, slot int, at bigint, rank bigint")
+    hits = counted.withColumn("upto", upto).join(F.broadcast(asked), ["place", "slot"]).where("at < upto AND at >= upto - n")  # one row per wanted rank
+    left: dict[tuple[str, int], _Search] = {}
+    for r in hits.collect():
+        search = by_feature[names[r.place]][r.slot]
+        if r.low == r.high or bits + width == 64:
+            found[search.feature, r["rank"]] = r.low
             continue
-        own = [r for r in search.ranks if below <= r < below + row.n]
-        if own and row.low == row.high:
-            found.update({(search.feature, r): row.low for r in own})
-        elif own and row.steps is None:  # a sketch was wrong about where they are
-            left.append(_Search(search.feature, own, below, [piece], [_SKETCH]))
-        elif own:
-            left.append(_around(search.feature, own, below, row, bracket_rows))
-        below += row.n
-    return left
-
-
-def _around(feature: str, ranks: list[int], below: int, row, bracket_rows: int) -> _Search:
-    """A counted piece cut around the steps that should hold its ranks."""
-    spans: list[list[int]] = []
-    for r in ranks:
-        at = (r - below) / row.n * _STEPS
-        first, last = max(0, math.floor(at) - _PAD), min(_STEPS, math.ceil(at) + _PAD)
-        if spans and first <= spans[-1][1]:
-            spans[-1][1] = max(last, spans[-1][1])
-        else:
-            spans.append([first, last])
-    close: list[tuple[float, float, int]] = []
-    for first, last in spans:
-        low, high = (row.low if first == 0 else row.steps[first]), (row.high if last == _STEPS else row.steps[last])
-        if close and low <= close[-1][1]:
-            close[-1] = (close[-1][0], max(high, close[-1][1]), close[-1][2] + last - first)
-        else:
-            close.append((low, high, last - first))
-    cut: list[tuple[float, float, int]] = []
-    before = None
-    for low, high, steps in close:
-        if before is not None or low > row.low:
-            cut.append((row.low if before is None else math.nextafter(before, math.inf), math.nextafter(low, -math.inf), _COUNT))
-        small = row.n * steps / _STEPS <= bracket_rows
-        if small or (low, high) != (row.low, row.high):
-            cut.append((low, high, _LIST if small else _SKETCH))
-        else:  # nothing was cut off: the ends may be frequent values, so they stand alone
-            inner = math.nextafter(low, math.inf), math.nextafter(high, -math.inf)
-            cut += [(low, low, _SKETCH), (*inner, _SKETCH), (high, high, _SKETCH)]
-        before = high
-    if before < row.high:
-        cut.append((math.nextafter(before, math.inf), row.high, _COUNT))
-    cut = [c for c in cut if c[0] <= c[1]]
-    return _Search(feature, ranks, below, [c[:2] for c in cut], [c[2] for c in cut])
-
-
-def _list(df: DataFrame, cells: dict[str, Column], searches: list[_Search], found: dict[tuple[str, int], float]) -> list[_Search]:
-    """Finds ranks among values counted singly; ranks that lie in another piece are searched there."""
-    inside, places = _slots(df, cells, searches)
-    counted = stored(
-        inside.groupBy("feature", "slot", F.when(F.col("kind") == _LIST, F.col("value")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    )
-    totals = {(r.feature, r.slot): r.n for r in counted.groupBy("feature", "slot").agg(F.sum("n").alias("n")).collect()}
-    left, wanted = [], []
-    slot_of = {(id(s), i): slot for (_, slot), (s, i) in places.items()}
+        prefix = (search.prefix << width) | r.digit
+        inner = left.setdefault((search.feature, prefix), _Search(search.feature, [], search.below + r.upto - r.n, r.n, prefix))
+        inner.ranks.append(r["rank"])
+    return list(left.values())
+
+
+def _counting(wanted: list[tuple[int, list[int]]], bits: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows, least and greatest value of each next digit of the wanted intervals of each column, over a task's rows.
+
+    Keys are the bits of a double such that they ascend with the value, NaN last.
+    """
+    names = ["place", "slot", "digit", "n", "low", "high"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = [np.array(prefixes, np.uint64) for _, prefixes in wanted]
+        held = [(np.zeros(len(a) << width, np.int64), np.full(len(a) << width, np.inf), np.full(len(a) << width, -np.inf)) for a in asked]
+        for batch in batches:
+            for prefixes, (n, low, high), column in zip(asked, held, batch.columns, strict=True):
+                # Adding 0 makes one zero of the two.
+                values = column.drop_null().to_numpy(zero_copy_only=False) + 0.0
+                values[np.isnan(values)] = np.nan
+                raw = values.view(np.uint64)
+                keys = raw ^ np.where(raw >> np.uint64(63), np.uint64(2**64 - 1), np.uint64(2**63))
+                at = (keys >> np.uint64(64 - bits - width)) & np.uint64(2**width - 1)
+                if bits:
+                    lead = keys >> np.uint64(64 - bits)
+                    slot = np.minimum(np.searchsorted(prefixes, lead), len(prefixes) - 1)
+                    inside = prefixes[slot] == lead
+                    values, at = values[inside], at[inside] + (slot[inside].astype(np.uint64) << np.uint64(width))
+                at = at.astype(np.int64)
+                np.add.at(n, at, 1)
+                np.minimum.at(low, at, values)
+                np.maximum.at(high, at, values)
+        for (place, _), (n, low, high) in zip(wanted, held, strict=True):
+            at = np.flatnonzero(n)
+            numbers = [np.full(len(at), place, np.int32), (at >> width).astype(np.int32), (at & (2**width - 1)).astype(np.int32), n[at], low[at], high[at]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in numbers], names)
+
+    return count
+
+
+def _value(key: int) -> float:
+    """The double with this key; keys below that of minus infinity stand for it."""
+    raw = key ^ (2**63 if key >> 63 else 2**64 - 1)
+    value = float(np.array([raw], np.uint64).view(np.float64)[0])
+    return -math.inf if math.isnan(value) and not key >> 63 else value
+
+
+def _list(df: DataFrame, cells: dict[str, Column], searches: list[_Search], bits: int, found: dict[tuple[str, int], float]) -> None:
+    """Finds ranks among values counted singly."""
+    by_feature: dict[str, list[_Search]] = {}
     for search in searches:
-        below = search.below
-        for i, piece in enumerate(search.pieces):
-            slot = slot_of[id(search), i]
-            n = totals.get((search.feature, slot), 0)
-            own = [r for r in search.ranks if below <= r < below + n]
-            if own and search.kinds[i] == _LIST:
-                wanted += [(search.feature, slot, r - below, r) for r in own]
-            elif own:
-                left.append(_Search(search.feature, own, below, [piece], [_SKETCH]))
-            below += n
-    if wanted:
-        spark = df.sparkSession
-        asked = spark.createDataFrame(wanted, "feature string, slot int, at bigint, rank bigint")
-        upto = F.sum("n").over(W.partitionBy("feature", "slot").orderBy("value"))
-        running = counted.where("value IS NOT NULL").withColumn("upto", upto)
-        hits = running.join(F.broadcast(asked), ["feature", "slot"]).where("at < upto AND at >= upto - n")  # one row per wanted rank
-        found.update({(r.feature, r["rank"]): r.value for r in hits.select("feature", "rank", "value").collect()})
-    return left
+        by_feature.setdefault(search.feature, []).append(search)
+    rest = 64 - bits
+    table, asked = [], []
+    for feature, own in by_feature.items():
+        ends = [(_value(s.prefix << rest), _value(((s.prefix + 1) << rest) - 1)) for s in own]
+        table.append((feature, [(i, low, high) for i, (low, high) in enumerate(ends)]))
+        asked += [(feature, i, r - s.below, r) for i, s in enumerate(own) for r in s.ranks]
+    spark = df.sparkSession
+    named = blocks(list(by_feature), _COLUMNS_PER_SCAN)
+    long = union_all([melt(df, {n: cells[n] for n in b}) for b in named]).where("value IS NOT NULL")
+    if bits:
+        pieces = spark.createDataFrame(table, "feature string, pieces array<struct<slot int, low double, high double>>")
+        # The generator drops rows outside all pieces and is evaluated once.
+        own = F.filter("pieces", lambda p: (p["low"] <= F.col("value")) & (F.col("value") <= p["high"]))
+        long = long.join(F.broadcast(pieces), "feature").select("feature", "value", F.inline(own))  # one row per column
+    else:
+        long = long.withColumn("slot", F.lit(0))
+    # An interval has few rows, so they may meet in one task.
+    counted = long.repartition("feature", "slot").groupBy("feature", "slot", "value").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(W.partitionBy("feature", "slot").orderBy("value"))
+    ranked = spark.createDataFrame(asked, "feature string, slot int, at bigint, rank bigint")
+    hits = counted.withColumn("upto", upto).join(F.broadcast(ranked), ["feature", "slot"]).where("at < upto AND at >= upto - n")  # one row per wanted rank
+    found.update({(r.feature, r["rank"]): r.value for r in hits.select("feature", "rank", "value").collect()})
 
 
 def quantile_values(

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tabscout.functions.frequency import value_counts
 from tabscout.functions.gram import strong_pairs
+from tabscout.functions.quantiles import order_statistics
 from tabscout.functions.stats import entropy_from_sum, xlogx
 from tabscout.operators.binning import bin_counts
 from tabscout.schema import (
@@ -59,8 +60,8 @@ def measure_values(t: LabelledTable, features: Sequence[str] | None = None) -> D
 def concentrated_features(t: LabelledTable, share: float = 0.95) -> list[str]:
     """Names of features where one value may hold more than ``share`` of all rows.
 
-    A value held by most rows is the median under any order, so a median sketch
-    names the only candidate. Two narrow passes replace a shuffle of every
+    A value held by most rows is the median under any order, so the median is
+    the only candidate. A few narrow passes replace a shuffle of every
     distinct value; survivors are then counted exactly.
     """
     if share < 0.6:
@@ -73,10 +74,12 @@ def concentrated_features(t: LabelledTable, share: float = 0.95) -> list[str]:
         for f in t.features
     }
     value = F.col("value")
-    middle = measure_cells(
-        t.df, order, {"middle": F.percentile_approx(value, 0.5, 100)}, "middle double"
-    ).collect()
-    found = {r["feature"]: r["middle"] for r in middle if r["middle"] is not None}
+    sizes = {n: facts.filled for n, facts in t.numeric_facts.items()}
+    others = {n: c for n, c in order.items() if n not in sizes}
+    counts = measure_cells(t.df, others, {"filled": F.count(value)}, "filled bigint").collect()
+    sizes |= {r["feature"]: r["filled"] for r in counts}
+    middles = {n: [size // 2] for n, size in sizes.items() if size}
+    found = {n: m for (n, _), m in order_statistics(t.df, order, middles, sizes).items()}
     # NULL where the cell is missing, else whether it holds the candidate.
     held = {n: order[n] == F.lit(m) for n, m in found.items()}
     counted = measure_cells(
