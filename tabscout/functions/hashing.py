@@ -70,7 +70,8 @@ def first_by_hash(
     rank = F.row_number().over(W.partitionBy("stratum", "prefix").orderBy("digest"))
     return (
         hashed.alias("h")
-        .join(cuts.alias("q"), same & (F.col("h.prefix") <= F.col("q.cut")))
+        # One row per stratum with a quota; shuffled by stratum, a whole stratum would meet in one task.
+        .join(F.broadcast(cuts).alias("q"), same & (F.col("h.prefix") <= F.col("q.cut")))
         .select("h.row", "h.stratum", "h.prefix", "h.digest", "q.cut", "q.wanted")
         .withColumn("rank", rank)
         .where((F.col("prefix") < F.col("cut")) | (F.col("rank") <= F.col("wanted")))

@@ -176,3 +176,32 @@ def test_hash_sample_of_half_the_rows_keeps_user_columns(spark):
     assert got.columns == df.columns
     rows = got.collect()
     assert len(rows) == 2000 and all(r.stratum == f"s{r.id}" and r.quota == r.id % 5 for r in rows)
+
+
+def test_hash_sample_does_not_shuffle_rows_by_stratum(spark):
+    """All rows are of one stratum: the cuts travel to the rows, also where Spark would not broadcast them by itself."""
+    df = spark.range(1000).select("id")
+    quotas = spark.createDataFrame([(0, 10)], "stratum int, quota bigint")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = first_by_hash(df, F.col("id").cast("string"), quotas, 1, (F.col("id") % 1).cast("int"))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and got.count() == 10
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_order_statistics_count_and_do_not_sketch(spark, monkeypatch):
+    """NaN is the greatest value, the zeros are one, and no pass over the rows sorts them into a sketch."""
+
+    def sketch(*_):
+        raise AssertionError("sketched")
+
+    monkeypatch.setattr(F, "percentile_approx", sketch)
+    values = [-math.inf, -1.5, -0.0, 0.0, 5e-324, 0.1, 0.1, 0.2, 1e300, math.inf, math.nan, math.nan, None]
+    df = spark.createDataFrame([(v,) for v in values for _ in range(50)], "v double").repartition(3)
+    size = 50 * 12
+    for bracket in (10, 120, 1000):
+        got = order_statistics(df, {"v": F.col("v")}, {"v": range(0, size, 25)}, {"v": size}, bracket)
+        assert [repr(got["v", r] + 0.0) for r in range(0, size, 25)] == [repr(values[r // 50] + 0.0) for r in range(0, size, 25)]
