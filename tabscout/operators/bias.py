@@ -314,7 +314,7 @@ def _shape(t: LabelledTable, fields: Sequence[T.StructField]) -> DataFrame:
     return measure_cells(
         t.df,
         {f.name: as_number(f) for f in fields},
-        {"n": F.count("value"), "g1": F.skewness("value"), "mean": F.avg("value")},
+        lambda value: {"n": F.count(value), "g1": F.skewness(value), "mean": F.avg(value)},
         "n bigint, g1 double, mean double",
     )
 
@@ -325,7 +325,7 @@ def measure_skewness(t: LabelledTable, features: Sequence[str] | None = None) ->
     shape = _shape(t, fields)
     cells = {f.name: as_number(f) for f in fields}
     sizes = {f.name: t.numeric_facts[f.name].filled for f in fields}
-    medians = quantiles(t.df, cells, sizes, [0.5]).select("feature", F.col("value").alias("median"))
+    medians = quantiles(t.df, cells, sizes, [0.5], ends=t.ends).select("feature", F.col("value").alias("median"))
     return shape.join(medians, "feature", "left").select(
         "feature", "n", unbiased_skewness(F.col("g1"), F.col("n")).alias("skewness"), "mean", "median"
     )

@@ -43,22 +43,20 @@ def measure_target_fit(t: LabelledTable) -> DataFrame:
     """
     schema = "n bigint, cov double, vx double, vy double, mx double, my double"
     cells = {f.name: as_number(f) for f in t.numeric_or_bool} if t.target_is_numeric else {}
-    x, y = F.col("value"), F.col("y")
-    xs, ys = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-    raw = measure_cells(
-        t.df,
-        cells,
-        {
+    y = F.col("y")
+
+    def sums(x: Column) -> dict[str, Column]:
+        xs, ys = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+        return {
             "n": F.count(xs),
             "cov": F.covar_pop(x, y),
             "vx": F.var_pop(xs),
             "vy": F.var_pop(ys),
             "mx": F.avg(xs),
             "my": F.avg(ys),
-        },
-        schema,
-        {"y": t.target_number} if cells else None,
-    )
+        }
+
+    raw = measure_cells(t.df, cells, sums, schema, {"y": t.target_number} if cells else None)
     slope = F.try_divide(F.col("cov"), F.col("vx"))
     r = guarded_corr(F.col("cov"), F.sqrt("vx"), F.sqrt("vy"))
     return raw.where("n >= 2").select(
@@ -217,7 +215,7 @@ def measure_names(t: LabelledTable) -> DataFrame:
     counts = measure_cells(
         t.df,
         {f.name: column(f.name).isNotNull() for f in t.features},
-        {"filled": F.count_if("value")},
+        lambda value: {"filled": F.count_if(value)},
         "filled bigint",
     )
     hit = F.filter(words, lambda w: F.contains(F.lower("feature"), w))
@@ -252,7 +250,7 @@ def measure_identical(t: LabelledTable) -> DataFrame:
     return measure_cells(
         t.df,
         {f.name: column(f.name).eqNullSafe(column(t.target)) for f in same_type},
-        {"identical": F.bool_and("value")},
+        lambda value: {"identical": F.bool_and(value)},
         "identical boolean",
     )
 

@@ -34,7 +34,7 @@ def score_columns(t: LabelledTable, budget: int = DEFAULT_COLUMNS) -> DataFrame:
     parts = [empty(t.spark, schema)]
     if t.numeric:
         variance = measure_cells(
-            t.df, {f.name: as_number(f) for f in t.numeric}, {"score": F.var_samp("value")}, "score double"
+            t.df, {f.name: as_number(f) for f in t.numeric}, lambda value: {"score": F.var_samp(value)}, "score double"
         )
         parts.append(
             variance.select("feature", F.lit("numeric").alias("kind"), F.coalesce("score", F.lit(0.0)).alias("score"))
@@ -127,7 +127,7 @@ def quantile_code(t: LabelledTable, size: int = DEFAULT_ROWS, with_target: bool
     bins = min(10, max(5, size // 1000))
     fields = _numeric_fields(t, with_target)
     cells = {f.name: as_number(f) for f in fields}
-    facts = measure_cells(t.df, cells, {"filled": F.count("value")}, "filled bigint").collect()
+    facts = measure_cells(t.df, cells, lambda value: {"filled": F.count(value)}, "filled bigint").collect()
     sizes = {r["feature"]: r["filled"] for r in facts}
     edges = quantile_values(t.df, cells, sizes, [i / bins for i in range(bins + 1)])
     code = F.lit(0)

@@ -121,11 +121,11 @@ def measure_threshold_rules(t: LabelledTable) -> DataFrame:
         return empty(t.spark, schema)
     # The number of quartiles below the value decides all three rules at once.
     cells = {f.name: bin_number(t.imputed(f), [found[f.name][p] for p in QUARTILES]) for f in fields}
-    above, y = F.col("value"), F.col("y")
+    y = F.col("y")
     counted = measure_cells(
         t.labelled_rows(),
         cells,
-        {
+        lambda above: {
             "n": F.count(F.lit(1)),
             **{
                 f"hits{i}": F.count_if(((above > i) & (y == 1)) | ((above <= i) & (y == 0)))
@@ -336,7 +336,7 @@ def measure_relative_spread(t: LabelledTable) -> DataFrame:
     spread = measure_cells(
         t.df,
         {f.name: as_number(f) for f in t.numeric},
-        {"n": F.count("value"), "mean": F.avg("value"), "std": F.stddev_samp("value")},
+        lambda value: {"n": F.count(value), "mean": F.avg(value), "std": F.stddev_samp(value)},
         "n bigint, mean double, std double",
     )
     ratio = F.when(F.col("mean") == 0, 0.0).otherwise(F.try_divide(F.col("std"), F.col("mean")))

@@ -73,19 +73,18 @@ def concentrated_features(t: LabelledTable, share: float = 0.95) -> list[str]:
         else F.when(as_text(f).isNotNull(), F.hash(as_text(f)).cast("double"))
         for f in t.features
     }
-    value = F.col("value")
     sizes = {n: facts.filled for n, facts in t.numeric_facts.items()}
     others = {n: c for n, c in order.items() if n not in sizes}
-    counts = measure_cells(t.df, others, {"filled": F.count(value)}, "filled bigint").collect()
+    counts = measure_cells(t.df, others, lambda value: {"filled": F.count(value)}, "filled bigint").collect()
     sizes |= {r["feature"]: r["filled"] for r in counts}
     middles = {n: [size // 2] for n, size in sizes.items() if size}
-    found = {n: m for (n, _), m in order_statistics(t.df, order, middles, sizes).items()}
+    found = {n: m for (n, _), m in order_statistics(t.df, order, middles, sizes, ends=t.ends).items()}
     # NULL where the cell is missing, else whether it holds the candidate.
     held = {n: order[n] == F.lit(m) for n, m in found.items()}
     counted = measure_cells(
         t.df,
         held,
-        {"top": F.count_if(value), "filled": F.count(value), "rows": F.count(F.lit(1))},
+        lambda value: {"top": F.count_if(value), "filled": F.count(value), "rows": F.count(F.lit(1))},
         "top bigint, filled bigint, rows bigint",
     ).where((F.col("top") > share * F.col("rows")) | (F.col("top") == F.col("filled")))
     return [r["feature"] for r in counted.select("feature").collect()]
@@ -183,7 +182,7 @@ def measure_variation(t: LabelledTable) -> DataFrame:
     return measure_cells(
         t.df,
         {f.name: as_number(f) for f in t.numeric},
-        {"n": F.count("value"), "mean": F.avg("value"), "std": F.stddev_samp("value")},
+        lambda value: {"n": F.count(value), "mean": F.avg(value), "std": F.stddev_samp(value)},
         "n bigint, mean double, std double",
     ).withColumn(
         "coefficient_of_variation",
@@ -331,7 +330,7 @@ def measure_missing(t: LabelledTable) -> DataFrame:
     return measure_cells(
         t.df,
         {f.name: missing(f) for f in t.features},
-        {"missing_count": F.count_if("value"), "total_count": F.count(F.lit(1))},
+        lambda value: {"missing_count": F.count_if(value), "total_count": F.count(F.lit(1))},
         "missing_count bigint, total_count bigint",
     ).withColumn("missing_rate", F.try_divide(F.col("missing_count").cast("double"), F.col("total_count")))
 

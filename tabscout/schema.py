@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,9 +35,9 @@ TOOLS = (
     "feature_utility",
 )
 
-# This many columns are unpivoted in one pass; a wider table is measured in
-# several, each of which prunes the scan to its own columns.
-COLUMNS_PER_AGGREGATE = 40
+# This many columns are aggregated side by side in one pass; a wider table is measured
+# in several, each of which prunes the scan to its own columns.
+COLUMNS_PER_AGGREGATE = 4
 
 
 def column(name: str) -> Column:
@@ -90,21 +90,27 @@ def blocks(items: Sequence, size: int) -> list[Sequence]:
 def measure_cells(
     df: DataFrame,
     cells: dict[str, Column],
-    aggregates: dict[str, Column],
+    aggregates: Callable[[Column], dict[str, Column]],
     schema: str,
     keep: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """One row per cell name holding aggregates over ``value`` (and ``keep``).
+    """One row per cell name holding its ``aggregates`` over the cells (and ``keep``); none for an empty table.
 
-    The unpivoted rows never leave the task: the partial aggregate turns them
-    into one row per feature before the exchange. One short loop over all columns
-    is also what the JVM compiles well, unlike an aggregate with hundreds of
-    expressions. Every block of columns is a scan of those columns only.
+    Columns stay side by side, so no row is multiplied and no cell is looked up in
+    a hash table; a task hands on one row. Every block of columns is a scan
+    of those columns only, and few enough that the JVM compiles its loop.
     """
     if not cells:
         return empty(df.sparkSession, f"feature string, {schema}")
-    parts = [melt(df, {n: cells[n] for n in b}, keep) for b in blocks(list(cells), COLUMNS_PER_AGGREGATE)]
-    return union_all(parts).groupBy("feature").agg(*[e.alias(n) for n, e in aggregates.items()])
+    parts = []
+    for block in blocks(list(cells), COLUMNS_PER_AGGREGATE):
+        own = [f"__cell_{i}" for i in range(len(block))]
+        wide = df.select(*[c.alias(k) for k, c in (keep or {}).items()], *[cells[n].alias(c) for n, c in zip(block, own)])
+        measured = [F.struct(*[e.alias(k) for k, e in aggregates(F.col(c)).items()]).alias(c) for c in own]
+        held = wide.agg(F.count(F.lit(1)).alias("__rows"), *measured).where("__rows > 0")
+        named = [F.struct(F.lit(n).alias("feature"), F.col(f"{c}.*")) for n, c in zip(block, own)]
+        parts.append(held.select(F.inline(F.array(*named))))
+    return union_all(parts)
 
 
 def melt(

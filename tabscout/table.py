@@ -106,11 +106,10 @@ class LabelledTable:
 
     @cached_property
     def numeric_facts(self) -> dict[str, ColumnFacts]:
-        value = F.col("value")
         rows = measure_cells(
             self.df,
             {f.name: as_number(f) for f in self.numeric},
-            {
+            lambda value: {
                 "rows": F.count(F.lit(1)),
                 "filled": F.count(value),
                 "mean": F.avg(value),
@@ -127,6 +126,11 @@ class LabelledTable:
         nothing = ColumnFacts(0, 0, None, None, None)
         return {f.name: found.get(f.name, nothing) for f in self.numeric}
 
+    @property
+    def ends(self) -> dict[str, tuple[float, ...]]:
+        """Numbers between which all cells of a numeric column lie, imputed ones included."""
+        return {n: (x.low, x.high, x.mean) for n, x in self.numeric_facts.items() if x.filled}
+
     @cached_property
     def rows(self) -> int:
         facts = self.__dict__.get("numeric_facts")

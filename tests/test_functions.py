@@ -205,3 +205,53 @@ def test_order_statistics_count_and_do_not_sketch(spark, monkeypatch):
     for bracket in (10, 120, 1000):
         got = order_statistics(df, {"v": F.col("v")}, {"v": range(0, size, 25)}, {"v": size}, bracket)
         assert [repr(got["v", r] + 0.0) for r in range(0, size, 25)] == [repr(values[r // 50] + 0.0) for r in range(0, size, 25)]
+
+
+def test_order_statistics_cut_between_the_ends_of_a_column(spark, monkeypatch):
+    """Rounds cut between the named ends: exact for any column within them, and in fewer rounds."""
+    from tabscout.functions import quantiles as module
+
+    rng = random.Random(5)
+    data = [(rng.uniform(900, 1000), rng.choice([-1, 1]) * rng.random(), 3.0, rng.choice([math.nan, math.inf, 2.0])) for _ in range(8000)]
+    names = ("near", "signed", "same", "odd")
+    df = spark.createDataFrame(data, ", ".join(f"{n} double" for n in names)).repartition(3)
+    order = {n: sorted((d[i] for d in data), key=lambda x: (math.isnan(x), x)) for i, n in enumerate(names)}
+    ranks = {n: [0, 799, 4000, 7999] for n in names}
+    ends = {n: (c[-1], c[0], c[4000]) for n, c in order.items()}
+    sizes = dict.fromkeys(names, len(data))
+    rounds = []
+    cut = module._cut
+    monkeypatch.setattr(module, "_cut", lambda df, cells, searches, *rest: rounds.append(len(searches)) or cut(df, cells, searches, *rest))
+    got = order_statistics(df, {n: F.col(n) for n in names}, ranks, sizes, 10, ends)
+    assert {k: repr(v) for k, v in got.items()} == {(n, r): repr(order[n][r]) for n in names for r in ranks[n]}
+    rounds.clear()
+    order_statistics(df, {"near": F.col("near")}, {"near": [4000]}, sizes, 10, ends)
+    assert sum(map(bool, rounds)) == 1
+    order_statistics(df, {"same": F.col("same")}, {"same": [4000]}, sizes, 10, ends)
+    assert sum(map(bool, rounds)) == 1
+
+
+def test_bins_of_many_columns_compile(spark):
+    """Bins are told by a few comparisons, so that forty columns stay within what the JVM compiles; a null has no bin."""
+    from tabscout.operators.binning import bin_number
+
+    edges = [0.5, 1.0, 1.0, 2.5, 4.0, 7.0, 7.5, 8.0, 9.0]
+    values = [-math.inf, 0.5, 0.6, 1.0, 1.1, 2.5, 3.0, 7.0, 7.2, 9.0, 9.5, math.inf, math.nan, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    want = [None if v is None else sum(math.isnan(v) or v > e for e in edges) for v in values]
+    for some in (edges, edges[:4], edges[:1], []):
+        got = [r[0] for r in df.select(bin_number(F.col("v"), some)).collect()]
+        assert got == ([0] * len(values) if not some else [None if v is None else sum(math.isnan(v) or v > e for e in some) for v in values])
+    assert want[-2] == len(edges)
+
+
+def test_measures_of_an_empty_table_and_of_odd_names(spark):
+    from tabscout.schema import measure_cells
+
+    measures = lambda v: {"n": F.count(v), "most": F.max(v)}
+    df = spark.createDataFrame([(1.0, None, 2.0), (3.0, None, math.nan)], "a double, `b.c` double, `value` double")
+    cells = {n: F.col(f"`{n}`") for n in df.columns} | {f"x{i}": F.col("a") + i for i in range(6)}
+    got = {r.feature: (r.n, r.most) for r in measure_cells(df, cells, measures, "n bigint, most double").collect()}
+    assert repr(got.pop("value")) == "(2, nan)"
+    assert got == {"a": (2, 3.0), "b.c": (0, None)} | {f"x{i}": (2, 3.0 + i) for i in range(6)}
+    assert measure_cells(df.where("a > 5"), cells, measures, "n bigint, most double").collect() == []
