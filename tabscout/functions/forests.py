@@ -210,7 +210,8 @@ def _grow_nodes(rows: DataFrame, parts: list[tuple[Tree, int, int]], level: int,
     chosen = counters.groupBy("part").applyInArrow(
         _choosing(shapes, classes), "part int, slot binary, cut binary, gain binary, counts binary, below binary"
     )
-    for r in chosen.toLocalIterator():
+    # At most a sixteenth of the counters of a task.
+    for r in chosen.collect():
         tree, low, high = parts[r["part"]]
         slot, cut = (np.frombuffer(r[name], np.int64) for name in ("slot", "cut"))
         counts, left = (np.frombuffer(r[name], np.int64).reshape(-1, classes) for name in ("counts", "below"))
